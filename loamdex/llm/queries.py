@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import bpe, fusion, pieces, topn
+from loamdex.llm import bpe, fusion, neighbours, pieces, topn
 from loamdex.session import table
 
 
@@ -31,6 +31,12 @@ def p2_leximin(spark: SparkSession, d: str) -> DataFrame:
     return fusion.leximin_ranking(places, "query_id", "chunk_id", ["lexical", "semantic"]).select("query_id", "chunk_id", "rank")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """profile_id, chunk_a, chunk_b of each pair of at least 0.92 of which one is among the five most similar of the other."""
+    near = neighbours.nearest(table(spark, d, "chunk_embeddings"), table(spark, d, "embedding_profiles"), 5, 0.92)
+    return near.select("profile_id", F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """chunk_id, piece_no, start_line, end_line, n_tokens of the pieces of oversized chunks."""
     found = pieces.split_oversized(table(spark, d, "chunks"), table(spark, d, "file_indexing_profiles"))
@@ -62,4 +68,11 @@ select distinct hit_id from r where p <= 3""",
 select query_id, chunk_id, row_number() over (partition by query_id order by least(a, b) desc, greatest(a, b) desc, chunk_id) "rank" from k""",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_leximin, p6_found, p7_ids)}
+SQL["p3_found"] = """
+with n as (select * from (select profile_id, chunk_id, vector, row_number() over (partition by profile_id, chunk_id order by embedded_at desc nulls last) p from chunk_embeddings) where p = 1),
+v as (select profile_id, chunk_id, vector::double[] x from n join embedding_profiles e on e.id = n.profile_id where vector is not null and len(vector) = dimensions and len(list_filter(vector, lambda y: y is null or isnan(y))) = 0 and len(list_filter(vector, lambda y: y <> 0)) > 0),
+s as (select a.profile_id, a.chunk_id a, b.chunk_id b, list_cosine_similarity(a.x, b.x) c from v a join v b on a.profile_id = b.profile_id and len(a.x) = len(b.x) and a.chunk_id <> b.chunk_id),
+r as (select *, row_number() over (partition by profile_id, a order by c desc, b) p from s where c >= 0.92)
+select distinct profile_id, least(a, b) chunk_a, greatest(a, b) chunk_b from r where p <= 5"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_leximin, p3_found, p6_found, p7_ids)}

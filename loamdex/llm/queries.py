@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm import bpe, fusion, neighbours, pieces, topn
+from loamdex.llm import bpe, fusion, handwritten, mixture, neighbours, pieces, sentences, topn
 from loamdex.session import table
 
 
@@ -37,6 +37,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select("profile_id", F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """file_id of each SOURCE_CODE file that nobody on the project wrote by hand."""
+    return handwritten.unwritten_files(table(spark, d, "files"), table(spark, d, "documents")).select("file_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """chunk_id, piece_no, start_line, end_line, n_tokens of the pieces of oversized chunks."""
     found = pieces.split_oversized(table(spark, d, "chunks"), table(spark, d, "file_indexing_profiles"))
@@ -48,6 +53,21 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), keep=["doc_id"])
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """shard, slot, source, block_no, pass, ids: the mixture itself."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each listed source."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, start_char, end_char of each sentence unit of the PLAIN_TEXT documents."""
+    return sentences.sentence_units(table(spark, d, "documents").filter("document_type = 'PLAIN_TEXT'"))
+
+
 _PLACES = """
 with h as (select distinct hit_id, query_id, query_mode, source_path, chunk_index, chunk_id, score, fused_ranks.lexical fl, fused_ranks.semantic fs from search_hits where query_id is not null and chunk_id is not null),
 s as (select query_id, chunk_id, query_mode m, row_number() over (partition by query_id, query_mode order by case when query_mode = 'lexical' then score else -score end, source_path, chunk_index, chunk_id, hit_id) p from h where query_mode in ('lexical', 'semantic') and score is not null and not isnan(score)
@@ -75,4 +95,4 @@ s as (select a.profile_id, a.chunk_id a, b.chunk_id b, list_cosine_similarity(a.
 r as (select *, row_number() over (partition by profile_id, a order by c desc, b) p from s where c >= 0.92)
 select distinct profile_id, least(a, b) chunk_a, greatest(a, b) chunk_b from r where p <= 5"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_leximin, p3_found, p6_found, p7_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_leximin, p3_found, p5_found, p6_found, p7_ids, p8_mixture, p8_shares, p9_found)}

@@ -12,42 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamdex.sources.storage import Folder
+
 #: Partitions of a log; a plan holds two numbers for each.
 PARTITIONS = 64
 
 
-class _Folder:
-    """Small files in a folder of any file system that Spark reads."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark._jvm, path
-        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def names(self) -> list[str]:
-        if not self.fs.exists(self._path("")):
-            return []
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path("")))
-
-    def read(self, name: str) -> str:
-        stream = self.fs.open(self._path(name))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def write(self, name: str, text: str) -> None:
-        """Appears whole or not at all."""
-        stream = self.fs.create(self._path(f"_{name}.tmp"), True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        self.fs.delete(self._path(name), False)
-        if not self.fs.rename(self._path(f"_{name}.tmp"), self._path(name)):
-            raise OSError(f"{self.path}/{name} could not be written")
-
-
 @dataclass(frozen=True)
 class Batch:
     """A planned batch: for each log partition the offset it starts after (None: from the beginning) and the one it ends with."""
@@ -73,13 +43,13 @@ class ChangeFeed:
 
     def __init__(self, spark: SparkSession, folder: str, key: str, offset: str, partitions: int = PARTITIONS):
         self.spark, self.folder, self.key, self.offset, self.partitions = spark, folder.rstrip("/"), key, offset, partitions
-        self.plans, self.commits = _Folder(spark, f"{self.folder}/plans"), _Folder(spark, f"{self.folder}/commits")
+        self.plans, self.commits = Folder(spark, f"{self.folder}/plans"), Folder(spark, f"{self.folder}/commits")
 
     def _log(self, records: DataFrame) -> DataFrame:
         placed = records.filter(F.col(self.key).isNotNull() & F.col(self.offset).isNotNull())
         return placed.withColumns({"_partition": F.pmod(F.xxhash64(self.key), F.lit(self.partitions)).cast("int"), "_offset": F.col(self.offset).cast("long")})
 
-    def _numbers(self, folder: _Folder) -> list[int]:
+    def _numbers(self, folder: Folder) -> list[int]:
         return [int(n[:-5]) for n in folder.names() if n.endswith(".json") and n[0] != "_"]
 
     def _plan(self, number: int) -> Batch:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.functions import scoring, text
+from loamdex.session import materialise
 
 COLUMNS = ["content", "headings", "source_path"]
 
@@ -77,19 +78,26 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     return ones.unionByName(many)
 
 
-def bm25_scores(index: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_scores(index: DataFrame, lengths: DataFrame, queries: DataFrame, many: bool = True) -> DataFrame:
     """query_id, chunk_id, score of each chunk that holds all phrases of a query; lower is better.
 
-    Phrases are matched once however many queries share them. The one row of statistics is joined by a plain cross of one row, which the planner ships.
+    Phrases are matched once however many queries share them. With ``many`` queries the matches are written once, and each query meets first the chunks of its rarest phrase and only for these its other phrases, so a frequent word costs no more than the rare one beside it. The one row of statistics is joined by a plain cross of one row, which the planner ships.
     """
     asked = query_phrases(queries)
     found = phrase_matches(index, asked)
-    stats = corpus_stats(lengths)
+    if many:
+        found = materialise(found, "matches")
     counts = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    weighted = found.join(counts, "phrase").join(lengths, "chunk_id").crossJoin(stats)
+    weighted = found.join(counts, "phrase").join(lengths, "chunk_id").crossJoin(corpus_stats(lengths))
     part = scoring.bm25_part(scoring.idf(F.col("n_rows"), F.col("n")), F.col("frequency"), F.col("n_tokens"), F.col("avg_tokens"))
     scored = weighted.select("phrase", "chunk_id", part.alias("part_score"))
-    sums = asked.join(scored, "phrase").groupBy("query_id", "chunk_id").agg(F.sum("part_score").alias("score"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
+    if many:
+        known = asked.join(counts, "phrase").groupBy("query_id").agg(F.min_by("phrase", F.struct("n", "part")).alias("phrase"), (F.count(F.lit(1)) == F.max("parts")).alias("all"))
+        candidates = known.filter("all").join(found.select("phrase", "chunk_id"), "phrase").select("query_id", "chunk_id")
+        met = candidates.join(asked, "query_id").join(scored, ["phrase", "chunk_id"])
+    else:
+        met = asked.join(scored, "phrase")
+    sums = met.groupBy("query_id", "chunk_id").agg(F.sum("part_score").alias("score"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
     return sums.filter("n = parts").select("query_id", "chunk_id", "score")
 
 

@@ -241,7 +241,7 @@ class Engine:
         if result.effective_mode in ("lexical", "hybrid"):
             if problem.n > text.MAX_PARTS:
                 result.notices.append("LEXICAL_SIDE_SKIPPED")
-            scores = lexical.bm25_scores(snapshot.table("postings"), snapshot.table("lengths"), asked)
+            scores = lexical.bm25_scores(snapshot.table("postings"), snapshot.table("lengths"), asked, many=False)
             lex = lexical.top_hits(scores, keys, depth)
         if vector is not None:
             near = snapshot.table("vectors").filter(F.col("fingerprint") == self.profile.fingerprint())

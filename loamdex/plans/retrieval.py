@@ -60,16 +60,16 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return lexical.index_rows(table(spark, d, "chunks"), table(spark, d, "files"))
 
 
-def _search(spark: SparkSession, d: str, queries: DataFrame, limit: int = 10) -> DataFrame:
+def _search(spark: SparkSession, d: str, queries: DataFrame, limit: int = 10, many: bool = True) -> DataFrame:
     rows = materialise(_rows(spark, d), "rows")
     index = materialise(lexical.postings(rows), "postings")
     lengths = lexical.chunk_lengths(rows)
-    hits = lexical.top_hits(lexical.bm25_scores(index, lengths, queries), rows, limit, digits=9)
+    hits = lexical.top_hits(lexical.bm25_scores(index, lengths, queries, many), rows, limit, digits=9)
     return hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def _one(spark: SparkSession, d: str, words: str) -> DataFrame:
-    return _search(spark, d, spark.createDataFrame([(0, words)], "query_id long, text string"))
+    return _search(spark, d, spark.createDataFrame([(0, words)], "query_id long, text string"), many=False)
 
 
 @query(f"select doc_id, unnest({TOK_SQL % 'text'}) term, unnest(range(len({TOK_SQL % 'text'}))) pos from documents")

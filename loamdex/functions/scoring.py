@@ -39,7 +39,8 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity within [-1, 1]; null for vectors without direction or of other lengths."""
     raw = dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
-    return F.when(F.size(a) == F.size(b), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
+    known = (F.size(a) == F.size(b)) & raw.isNotNull() & ~F.isnan(raw)  # greatest and least pass over nulls
+    return F.when(known, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
 def norm(v: Column) -> Column:

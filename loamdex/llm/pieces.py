@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.session import materialise
+
 #: Bytes of a range. Items of up to one range are read as one.
 RANGE_BYTES = 1 << 20
 
@@ -135,9 +137,9 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def split_oversized(chunks: DataFrame, profiles: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """chunk_id, piece_no, start_line, end_line, n_tokens, first_token, end_token: a row for each piece of each chunk with more tokens than its file's limit.
 
-    Chunks of files without a profile are no cases; a null start_line counts as 1; repeated rows give their pieces once. Only boundary tables are shuffled and joined. The tables of a giant chunk's ranges meet to be stitched; they hold a few bytes a line.
+    Chunks of files without a profile are no cases; a null start_line counts as 1; repeated rows give their pieces once. Boundary tables are written once, so contents are read once; only these tables are shuffled and joined. The tables of a giant chunk's ranges meet to be stitched; they hold a few bytes a line.
     """
-    tables = boundary_tables(chunks, range_bytes)
+    tables = materialise(boundary_tables(chunks, range_bytes), "boundaries")
     sized = tables.join(newest_limits(profiles), "file_id").withColumn("start_line", F.coalesce("start_line", F.lit(1)))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

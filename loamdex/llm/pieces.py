@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.session import materialise
@@ -87,6 +87,85 @@ def plan_pieces(tokens: int, at: np.ndarray, lines: np.ndarray, max_tokens: int,
     return out
 
 
+def file_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Boundary tables of files on storage that all executors mount (id, path, byte_size): each range is read by itself, with one byte of halo, so no task and no table ever holds a whole file. Rows as of ``boundary_tables``, with id as file_id too and lines from 1."""
+    count = F.greatest(F.lit(1), F.ceil(F.col("byte_size") / range_bytes)).cast("int")
+    spread = files.select("id", "path", count.alias("ranges"), F.explode(F.sequence(F.lit(0), count - 1)).alias("range_no"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                halo = min(1, r.range_no)
+                found = range_table(read_bytes(r.path, r.range_no * range_bytes - halo, range_bytes + halo), halo)
+                yield pd.DataFrame([(r.id, r.id, 1, r.range_no, r.ranges, *found)], columns=["item", "file_id", "start_line", "range_no", "ranges", "tokens", "places", "counts", "breaks"])
+
+    return spread.repartition(_partitions(files), "id", "range_no").mapInPandas(run, _TABLE)
+
+
+def read_bytes(path: str, at: int, size: int) -> bytes:
+    with open(path, "rb") as f:
+        f.seek(at)
+        return f.read(size)
+
+
+def _partitions(df: DataFrame) -> int:
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def split_files(files: DataFrame, max_tokens: int, overlap: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """chunk_id (the file's id), piece_no, start_line, end_line, n_tokens, start_byte, end_byte, text of each piece of each file with more than ``max_tokens`` tokens.
+
+    Two passes over ranges, none over whole files: the first gives the boundary tables from which the pieces are planned; the second finds the bytes at which the pieces' first and last tokens lie, each within its own range. A piece is then read by its offsets. An empty file has no pieces; overlap below 0 is 0.
+    """
+    tables = materialise(file_ranges(files, range_bytes), "boundaries")
+    limits = tables.withColumns({"max_tokens": F.lit(max_tokens), "overlap": F.lit(max(0, overlap))})
+    pieces = materialise(limits.groupBy("item").applyInPandas(_plan_ranges, _PIECES), "pieces")
+    before = Window.partitionBy("item").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tables.select("item", "range_no", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
+    wanted = pieces.select(F.col("chunk_id").alias("item"), F.explode(F.array("first_token", F.col("end_token") - 1)).alias("token")).distinct()
+    placed = wanted.join(starts, "item").filter("token >= first and token < first + tokens").groupBy("item", "range_no", "first").agg(F.collect_list("token").alias("sought"))
+
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                halo = min(1, r.range_no)
+                raw = np.frombuffer(read_bytes(r.path, r.range_no * range_bytes - halo, range_bytes + halo), np.uint8)
+                space = _CLASS[raw].astype(bool)
+                begins = np.flatnonzero(~space[halo:] & (np.concatenate([[True], space[:-1]])[halo:]))
+                rows = []
+                for token in r.sought:
+                    a = r.range_no * range_bytes + int(begins[token - r.first])
+                    rows.append((r.item, int(token), a, _token_end(r.path, a)))
+                yield pd.DataFrame(rows, columns=["item", "token", "start_byte", "end_byte"])
+
+    paths = files.select(F.col("id").alias("item"), "path")
+    found = placed.join(paths, "item").mapInPandas(locate, "item long, token int, start_byte long, end_byte long")
+    first = found.select(F.col("item").alias("chunk_id"), F.col("token").alias("first_token"), "start_byte")
+    last = found.select(F.col("item").alias("chunk_id"), (F.col("token") + 1).alias("end_token"), "end_byte")
+    cut = pieces.join(first, ["chunk_id", "first_token"]).join(last, ["chunk_id", "end_token"]).join(files.select(F.col("id").alias("chunk_id"), "path"), "chunk_id")
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["text"] = [read_bytes(p, a, e - a).decode("utf-8", "replace") for p, a, e in zip(b["path"], b["start_byte"], b["end_byte"])]
+            yield b.drop(columns="path")
+
+    shown = cut.select("chunk_id", "piece_no", "start_line", "end_line", "n_tokens", "start_byte", "end_byte", "path")
+    return shown.mapInPandas(emit, "chunk_id long, piece_no int, start_line int, end_line int, n_tokens int, start_byte long, end_byte long, text string")
+
+
+def _token_end(path: str, at: int, step: int = 4096) -> int:
+    """The byte behind the token that starts at a byte; a token may go on over any number of ranges."""
+    with open(path, "rb") as f:
+        f.seek(at)
+        end = at
+        while part := f.read(step):
+            spaces = np.flatnonzero(_CLASS[np.frombuffer(part, np.uint8)])
+            if len(spaces):
+                return end + int(spaces[0])
+            end += len(part)
+        return end
+
+
 _TABLE = "item long, file_id long, start_line int, range_no int, ranges int, tokens int, places array<int>, counts array<int>, breaks int"
 
 
@@ -130,6 +209,13 @@ def _rows(item: int, start_line: int, tables: list, max_tokens: int, overlap: in
     return [(item, i, start_line + a, start_line + b, end - first, first, end) for i, (first, end, a, b) in enumerate(plan)]
 
 
+def _plan_ranges(b: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of one item from the tables of its ranges."""
+    b = b.drop_duplicates("range_no").sort_values("range_no")
+    r = b.iloc[0]
+    return _frame(_rows(r["item"], r["start_line"], list(zip(b.tokens, b.places, b.counts, b.breaks)), r["max_tokens"], r["overlap"]))
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk_id", "piece_no", "start_line", "end_line", "n_tokens", "first_token", "end_token"])
 
@@ -149,13 +235,8 @@ def split_oversized(chunks: DataFrame, profiles: DataFrame, range_bytes: int = R
                 rows += _rows(r.item, r.start_line, [(r.tokens, r.places, r.counts, r.breaks)], r.max_tokens, r.overlap)
             yield _frame(rows)
 
-    def ranged(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates("range_no").sort_values("range_no")
-        r = b.iloc[0]
-        return _frame(_rows(r["item"], r["start_line"], list(zip(b.tokens, b.places, b.counts, b.breaks)), r["max_tokens"], r["overlap"]))
-
     small = sized.filter("ranges = 1 and tokens > max_tokens").mapInPandas(whole, _PIECES)
-    giant = sized.filter("ranges > 1").groupBy("item").applyInPandas(ranged, _PIECES)
+    giant = sized.filter("ranges > 1").groupBy("item").applyInPandas(_plan_ranges, _PIECES)
     return small.unionByName(giant).distinct()
 
 

@@ -63,6 +63,25 @@ def test_piece_texts_hold_the_tokens(spark):
     assert pieces.split_oversized(chunks.limit(0), profiles).count() == 0 == pieces.split_oversized(chunks, profiles.limit(0)).count()
 
 
+@pytest.mark.parametrize("range_bytes", [7, 100, 1 << 20])
+def test_files_are_split_by_ranges(spark, tmp_path, range_bytes):
+    rnd = random.Random(9)
+    rows, want, bodies = [], set(), {}
+    for i in range(12):
+        body = "".join(rnd.choice(["a", "bb", "ü東", " ", " ", "\t", "\n", "\r\n", "\r", "\n\n"]) for _ in range(rnd.choice([0, 5, 60, 200])))
+        path = tmp_path / f"f{i}"
+        path.write_bytes(body.encode())
+        rows.append((i, str(path), len(body.encode()), "x"))
+        bodies[i] = body
+        want |= {(i, *p) for p in brute(body, 1, 6, 2)}
+    files = spark.createDataFrame(rows, "id long, path string, byte_size long, text string")
+    found = pieces.split_files(files, 6, 2, range_bytes).collect()
+    assert {(r.chunk_id, r.piece_no, r.start_line, r.end_line, r.n_tokens) for r in found} == want and len(found) == len(want)
+    for r in found:
+        assert r.text.encode() == bodies[r.chunk_id].encode()[r.start_byte : r.end_byte] and len(re.findall(r"[^ \t\r\n]+", r.text)) == r.n_tokens and r.text == r.text.strip(" \t\r\n")
+    assert pieces.split_files(files.limit(0), 6, 2).count() == 0
+
+
 def test_ids_equal_the_public_tokenizer(spark, data):
     tokenizers = pytest.importorskip("tokenizers")
     ref = tokenizers.Tokenizer.from_file(f"{bpe.TOKENIZERS}/byte_bpe_50k.json")

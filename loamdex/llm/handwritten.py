@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.session import materialise
+
 #: Files a mined pattern needs, and the share of them that must show evidence.
 MIN_FILES, MIN_SHARE = 5, 0.7
 
@@ -175,12 +177,12 @@ def path_features(path: str = "source_path") -> Column:
 def unwritten_files(files: DataFrame, documents: DataFrame) -> DataFrame:
     """file_id, declared, by_text, by_path, by_mining of each SOURCE_CODE file with a document that nobody on the project wrote by hand.
 
-    Null paths leave only the text, null and blank texts only the path; repeated rows change nothing. A text that denies being generated outweighs a mined pattern and a conventional ending. Texts stay where they are read; what is shuffled is a few flags a document and the parts of paths.
+    Null paths leave only the text, null and blank texts only the path; repeated rows change nothing. A text that denies being generated outweighs a mined pattern and a conventional ending. Texts are read once and stay where they are read; what is written and shuffled is a few flags a document and the parts of paths.
     """
     source = files.filter("document_type = 'SOURCE_CODE' and id is not null").select("id", "source_path").distinct()
     flags = text_evidence(documents).groupBy("file_id").agg(*[F.max(c).alias(c) for c in ("generated", "vendored", "minified", "data", "denied")], F.array_distinct(F.flatten(F.collect_set("packages"))).alias("packages"))
     shown = F.col("generated") | F.col("vendored") | F.col("minified") | F.col("data")
-    known = source.join(flags, source["id"] == flags["file_id"]).select("id", "source_path", shown.alias("by_text"), "denied", "packages")
+    known = materialise(source.join(flags, source["id"] == flags["file_id"]).select("id", "source_path", shown.alias("by_text"), "denied", "packages"), "evidence")
 
     features = known.select("id", "by_text", F.explode(path_features()).alias("feature"))
     counts = features.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if("by_text").alias("shown"))

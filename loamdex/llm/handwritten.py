@@ -44,9 +44,10 @@ _VENDORED = re.compile(
     re.I,
 )
 _COMMENT = re.compile(r"^\s*(?://+|#+|/\*+!?|\*+|--+|;+|<!--+|%+|'|\"\"\")\s*(.*?)\s*(?:\*+/|-->)?\s*$")
-_BLOCK = re.compile(r"/\*!?\s*(.*?)\s*\*/", re.S)
+_REMARK = re.compile(r"\s*(?://|#|/\*|\*|--|;|<!--|%|'|\"\"\")")
+_LEADING = re.compile(r"^\s*/\*.*?\*/\s*")
 _LINES = re.compile(r"\r\n|\r|\n")
-_SHAPE = re.compile(r"\w*\d\w*")
+_SHAPE = re.compile(r"\b[^\W\d]*\d\w*")
 _LITERAL = re.compile(r"0x[0-9a-fA-F]+|-?\d[\d_.]*(?:[eE][+-]?\d+)?|\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z0-9+/]{40,}={0,2}")
 _PUNCTUATION = re.compile(r"[\s\[\](){},;]+")
 _WORDS = re.compile(r"\b[a-z]\b")
@@ -65,8 +66,9 @@ def evidence(text: str | None) -> tuple[bool, bool, bool, bool, bool, list[str]]
     generated = vendored = denied = False
     packages: set[str] = set()
     said = [m[1] for x in lines if len(x) < 400 and (m := _COMMENT.match(x))]
-    if text.lstrip()[:2] == "/*" and (m := _BLOCK.match(text.lstrip())):
-        said.append(m[1])
+    head = text.lstrip()
+    if head.startswith("/*") and (end := head.find("*/", 2)) > 0:
+        said.append(head[2:end].strip("*! \t\r\n")[:400])
     for s in said:
         if _DENIED.search(s):
             denied = True
@@ -75,7 +77,8 @@ def evidence(text: str | None) -> tuple[bool, bool, bool, bool, bool, list[str]]
         elif m := _VENDORED.search(s):
             vendored = True
             packages.update(p for p in m.groups() if p)
-    code = [x for x in lines if not _COMMENT.match(x)]
+    bare = [_LEADING.sub("", x) if x.lstrip()[:2] == "/*" else x for x in lines]
+    code = [x for x in bare if x and not _REMARK.match(x)]
     body = sum(map(len, code))
     long = [x for x in code if len(x) >= 200]
     dense = [x for x in long if sum(map(x.count, " \t")) < 0.085 * len(x) and sum(map(x.count, "{}();=,:")) > 0.08 * len(x)]

@@ -23,7 +23,9 @@ PAIRS = {"«": "»", "‹": "›", "“": "”", "„": "“”", "‘": "’",
 QUOTES = set("«‹“„‘「『\"")
 #: Marks that end a sentence without white space behind them.
 FREE = set("。！？｡।॥։።")
-_EVENT = re.compile(r"\.{2,}|…+|[.!?。！？｡।॥؟۔։።]|[«»‹›“”„「」『』()（）\[\]［］{}【】《》〈〉\"]|(?<=[ก-๛])[ \t]*(?:\r\n|[ \t\r\n])[ \t]*(?=[ก-๛])")
+#: Characters of a word that are looked at to tell a name from a plain word.
+NAME = 80
+_EVENT = re.compile(r"\.{2,}|…+|[.!?。！？｡।॥؟۔։።]|[«»‹›“”„「」『』()（）\[\]［］{}【】《》〈〉\"]|(?<=[ก-๛])[ \t\r\n]+(?=[ก-๛])")
 _MARKS = re.compile(r"[.!?…。！？｡।॥؟۔։።]*")
 _SPACE = re.compile(r"[ \t\r\n]*")
 _WORD = re.compile(r"[^ \t\r\n]+")
@@ -62,7 +64,7 @@ def _follows(s: str, at: int) -> str:
     """What starts at a place: lower (a plain word in lower case), caseless (a letter of a script without case), name (of a file or in code), or start (a capital, a number or a mark that can open a sentence)."""
     c = s[at]
     if c.islower():
-        word = _WORD.match(s, at)[0].rstrip(".,;:!?…)")
+        word = _WORD.match(s, at, at + NAME)[0].rstrip(".,;:!?…)")
         return "name" if _NAME.match(word) else "lower"
     if c.isalpha() and not c.isupper() and not c.istitle():
         return "caseless"
@@ -157,7 +159,9 @@ def _sentences(s: str) -> Iterator[tuple[int, int]]:
     at = 0
     for end in [*ends, len(s)]:
         a = _SPACE.match(s, at).end()
-        b = len(s[:end].rstrip(" \t\r\n")) if end == len(s) or s[end - 1] in " \t\r\n" else end
+        b = end
+        while b > a and s[b - 1] in " \t\r\n":
+            b -= 1
         if a < b:
             yield a, b
         at = end

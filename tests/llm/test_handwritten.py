@@ -55,3 +55,13 @@ def test_paths_texts_and_mined_patterns(spark):
     assert got[20].by_mining and not got[20].by_text and got[30].by_path
     assert run(spark, files, docs[:0]) == {}
     assert run(spark, files[:0], docs) == {}
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    for text in ("x" * 300_000, "// " + "a b" * 100_000, '"' * 100_001, "'" * 100_001, "/* " + " " * 50_000, "A" * 39 + " " + "a1" * 100_000, ("word " * 20 + "\n") * 5_000, "{" * 100_000, "0x1f, " * 50_000):
+        began = time.time()
+        h.evidence(text)
+        assert time.time() - began < 5
+    assert kinds("/* banner */!function(e,t){" + "var a=e.b||{},c=[1,2];function u(l,m){return t(c,8)};" * 12 + "}()")["minified"]

@@ -43,3 +43,12 @@ def test_units_hold_everything_but_white_space(spark, data):
     got = sentence_units(df).collect()
     assert len(got) == sum(len(units(t)) for t in texts)
     assert sentence_units(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    for t in ("End. " + "x" * 300_000, "ก" + " " * 200_000 + "ข", "a. b " * 60_000, '"a. ' * 40_000, "(" * 100_000 + ".", "." * 200_000, "x\n" * 100_000, "- a\n" * 50_000):
+        began = time.time()
+        units(t)
+        assert time.time() - began < 8, t[:20]

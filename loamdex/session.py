@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -31,9 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folder below the shared one that holds all that this process writes, so that it can go when the process ends.
+_RUN = f"loamdex-{uuid.uuid4().hex}"
+_roots: set[str] = set()
+
+
 def fresh_dir(spark: SparkSession, tag: str) -> str:
-    """A path below the shared folder that nothing has used."""
-    return f"{shared_dir(spark).rstrip('/')}/loamdex/{tag}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing has used. What is written there goes when this process ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/{_RUN}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    """Best effort: a stopped session leaves the folder to whoever owns the shared one."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session or its gateway is gone
+        pass
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

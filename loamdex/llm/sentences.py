@@ -30,7 +30,7 @@ _MARKS = re.compile(r"[.!?…。！？｡।॥؟۔։።]*")
 _SPACE = re.compile(r"[ \t\r\n]*")
 _WORD = re.compile(r"[^ \t\r\n]+")
 _LINE = re.compile(r"[^\r\n]*(\r\n|\r|\n|$)")
-_ITEM = re.compile(r"([ \t]*)(?:[-*+•‣◦·–—]|\(?(?:\d{1,3}|[a-zA-Z])[.)]|[①-⑳])[ \t]+(?=[^ \t])")
+_ITEM = re.compile(r"([ \t]*)(?:[-*+•‣◦·–—]|\(?\d{1,3}[.)]|[①-⑳])[ \t]+(?=[^ \t])")
 _NAME = re.compile(r"\w*(?:[a-zß-ÿ]\w*[A-Z]|[_/\\]\w|\.\w|\w\(\)|\d)")
 
 
@@ -102,7 +102,7 @@ def _ends(s: str, mark: int, after: int, end: int, opened: list[tuple[str, bool]
         i -= 1
     word = s[i:mark]
     alone = i == 0 or s[i - 1] in ' \t\r\n("«„“['
-    if alone and len(word) == 1 and word.isupper() and word.isascii() and mark > 1:
+    if alone and len(word) == 1 and word.isupper() and word.isascii():
         return False
     if alone and word.isdigit() and len(word) <= 3:
         if what == "lower":

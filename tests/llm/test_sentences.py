@@ -21,6 +21,7 @@ CASES = [
     ("Call it first... then wait. It waits for x... Next one… or so. (All of it ended.) Done", ["Call it first... then wait.", "It waits for x...", "Next one… or so.", "(All of it ended.)", "Done"]),
     ("A title\n\nOne\nsentence; here: yes.\r\n \t\r\n* item one. Still it\n* b\n1) c\n\n\r\rLast", ["A title", "One\nsentence; here: yes.", "* item one. Still it", "* b", "1) c", "Last"]),
     ('He said "never closed. Then went. End.', ['He said "never closed.', "Then went.", "End."]),
+    ("A. B. Roe wrote it. It works.", ["A. B. Roe wrote it.", "It works."]),
     ("- a\n  deeper\n- b", ["- a\n  deeper", "- b"]),
 ]
 

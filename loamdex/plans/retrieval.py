@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.functions import scoring, text
-from loamdex.operators import evaluate, hybrid, incremental, lexical, semantic
+from loamdex.operators import chunking, evaluate, hybrid, incremental, lexical, semantic, snippets
 from loamdex.session import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,3 +460,112 @@ def ndcg_at_10(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_type, quantile_disc(\"value\", 0.5) median, quantile_disc(\"value\", 0.95) p95 from events where \"value\" is not null and not isnan(\"value\") group by event_type")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.percentiles(table(spark, d, "events"), "event_type", "value")
+
+
+def _documents(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter(F.col("document_type").isin(*kinds))
+    return docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_path"), "document_type", F.col("text").alias("content"))
+
+
+def _chunked(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    return chunking.chunk_documents(_documents(spark, d, *kinds), 222, 32)
+
+
+@query()
+def chunk_text(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of all plain and structured texts under the default budget."""
+    return _chunked(spark, d, "PLAIN_TEXT", "STRUCTURED_TEXT")
+
+
+@query()
+def chunk_source(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d, "SOURCE_CODE")
+
+
+@query()
+def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d, "MARKDOWN")
+
+
+@query("select document_type, count(*) documents, 0::bigint blank, 0::bigint not_in_text, 0::bigint bad_lines from documents where text is not null and not regexp_matches(text, '^[\\s\\x1c-\\x1f\\p{Z}\\x{85}]*$') group by document_type")
+def chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with chunks by type, and how many chunks break a rule: blank, not a part of their text, or with lines out of order."""
+    kinds = list(chunking.CHUNKERS)
+    chunks = _chunked(spark, d, *kinds).join(_documents(spark, d, *kinds).select("source_path", F.col("content").alias("whole")), "source_path")
+    return chunks.groupBy("document_type").agg(
+        F.count_distinct("source_path").alias("documents"), F.count_if(F.trim("content") == "").alias("blank"), F.count_if(F.instr("whole", F.col("content")) == 0).alias("not_in_text"),
+        F.count_if((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line"))).alias("bad_lines"),
+    )
+
+
+@query()
+def embedding_input(spark: SparkSession, d: str) -> DataFrame:
+    """What would be embedded for each chunk: path, blank line, content."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def build(path, content):
+        return pd.Series([chunking.embedding_input(p, [], c) for p, c in zip(path, content)], dtype="object")
+
+    return _rows(spark, d).filter("content is not null").select("chunk_id", build("source_path", "content").alias("input"))
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    """The three first hits of each stored query with snippets; contents are joined to these hits only."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    queries = table(spark, d, "search_queries")
+    rows = materialise(_rows(spark, d), "rows")
+    index = materialise(lexical.postings(rows), "postings")
+    hits = lexical.search(index, lexical.chunk_lengths(rows), rows, queries, 3)
+    asked = queries.dropDuplicates(["query_id"]).select("query_id", text.phrases(F.col("text")).alias("phrases"))
+    full = hits.join(rows.select("chunk_id", "content", "start_line", "end_line"), "chunk_id").join(asked, "query_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [snippets.snippet(c or "", [list(p) for p in ps]) for c, ps in zip(b["content"], b["phrases"])]
+            b["snippet"] = [s for s, _ in made]
+            b["matches"] = [[{"start": x, "end": y} for x, y in r] for _, r in made]
+            yield b.drop(columns=["content", "phrases", "chunk_index"])
+
+    names = "query_id long, rank int, chunk_id long, score double, source_path string, start_line int, end_line int, snippet string, matches array<struct<start:int,end:int>>"
+    order = [n.split()[0] for n in names.split(", ")]
+    return full.select("query_id", "rank", "chunk_id", "score", "source_path", "start_line", "end_line", "content", "phrases", "chunk_index").mapInPandas(lambda it: (b[order] for b in run(it)), names)
+
+
+@query()
+def snippet_and_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(spark, d)
+
+
+@query()
+def hits_json(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of each stored query as one JSON document, in order of rank; at most three hits a query."""
+    hit = F.struct("rank", "source_path", "start_line", "end_line", F.lit("SQLITE_BM25").alias("score_kind"), "score", "snippet", "matches")
+    body = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.array_sort(F.collect_list(hit)).alias("hits")))
+    return _shown(spark, d).groupBy("query_id").agg(body.alias("json"))
+
+
+@query(f"with {_VECTORS_SQL} select distinct id chunk_id from chunks where id % 3 = 0 and content is not null and id not in (select chunk_id from v where profile_id = 1)")
+def stale_content_guard(spark: SparkSession, d: str) -> DataFrame:
+    """New vectors count only for chunks that still have the content they were made from and no vector yet."""
+    chunks = table(spark, d, "chunks")
+    new = chunks.filter("id % 3 = 0").select(F.col("id").alias("chunk_id"), "content").distinct()
+    return semantic.still_current(new, chunks, _vectors(spark, d).filter("profile_id = 1")).select("chunk_id")
+
+
+@query(f"with {_VECTORS_SQL} select count(*) > 0 has_embeddings from v")
+def index_has_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).agg((F.count(F.lit(1)) > 0).alias("has_embeddings"))
+
+
+@query("""with r as (select distinct id, file_id, chunk_index, start_line, end_line from chunks), n as (select *, lag(end_line) over (partition by file_id order by chunk_index, id) p from r) select file_id, count(*) chunks, max(end_line) last_line, count(*) filter (start_line <= p) overlapping from n group by file_id""")
+def chunk_order_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of each file in order: how many, where they end, and how many begin on a line of the one before."""
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "chunks").select("id", "file_id", "chunk_index", "start_line", "end_line").distinct()
+    before = F.lag("end_line").over(Window.partitionBy("file_id").orderBy("chunk_index", "id"))
+    return rows.withColumn("p", before).groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("end_line").alias("last_line"), F.count_if(F.col("start_line") <= F.col("p")).alias("overlapping"))

@@ -91,6 +91,17 @@ class ChangeFeed:
             done += 1
         return done
 
+    def follow(self, stream: DataFrame, work: Callable[[DataFrame], DataFrame] = lambda df: df):
+        """Feeds a streaming DataFrame through ``run``, micro-batch by micro-batch, until all that is there is done; the started query is returned.
+
+        A micro-batch that is delivered again after a failure meets the plan that the failed one left, or nothing that is new.
+        """
+
+        def step(records: DataFrame, _: int) -> None:
+            self.run(records, work)
+
+        return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.folder}/stream").trigger(availableNow=True).start()
+
     def _write(self, batch: Batch, rows: DataFrame) -> None:
         rows.drop("_partition").write.mode("overwrite").parquet(f"{self.folder}/sink/batch={batch.number}")
 

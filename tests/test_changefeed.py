@@ -68,6 +68,18 @@ def test_a_run_that_dies_is_replayed_exactly(spark, where, monkeypatch):
     assert sorted(r.seq for r in g.sink().collect()) == [*range(20), 50]
 
 
+def test_a_stream_is_followed(spark, tmp_path):
+    f = feed(spark)
+    source = str(tmp_path / "log")
+    log(spark, [(f"p{i % 3}", i, "a") for i in range(9)]).write.parquet(source)
+    for extra in ([], [("p1", 20, "b"), ("q", 21, "b")], []):
+        if extra:
+            log(spark, extra).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("path string, seq long, v string, batch string").parquet(source)
+        f.follow(stream).awaitTermination(120)
+    assert sorted(r.seq for r in f.sink().collect()) == [*range(9), 20, 21]
+
+
 def test_pending_paths_agree_with_brute_force(spark):
     rnd = random.Random(8)
     t = datetime(2030, 1, 1)

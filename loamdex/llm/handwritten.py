@@ -29,12 +29,17 @@ ENDINGS = r"\.(?:min|prod|bundle|g|gen|generated|designer|pb|autogen|g\.i)\.\w+$
 # What headers of generated files say, matched in comment lines.
 _GENERATED = re.compile(
     r"(?:code|file|source|module|content)s? (?:is |was |has been )?(?:auto(?:matically)?[- ]?)?(?:generated|produced|created) (?:by|from|using|with)\b"
-    r"|^auto-?generated\s*(?::|by\b|from\b|file\b|code\b|/?>|$)|^<auto-?generated|^@generated\b|\bgenerated (?:by|from|on build from|with|using) [\w./-]+.*(?:do not|don't|instead|overwritten|edits? (?:are|will)|version)"
+    r"|^auto-?generated\s*(?::|by\b|from\b|file\b|code\b|/?>|$)|^<auto-?generated|^@generated\b"
     r"|^generated on build from\b|^machine-(?:written|generated|made)\b|\bautomatically (?:produced|generated|created) (?:from|by)\b|^created by the [\w-]+ .*(?:compiler|generator)\b"
     r"|^(?:this (?:file|code) (?:is|was) )?(?:auto-?)?generated\b.*\bdo not (?:edit|modify|change)\b|^auto-?generated file\b"
-    r"|otomatik olarak üretil|otomatik oluşturul|自動生成され|自动生成|自動產生|maschinell erzeugt|automatisch (?:erzeugt|generiert|erstellt)|generado automáticamente|generad[oa] por|archivo generado|généré automatiquement|تم إنشاء هذا الملف|أُنشئ .*تلقائي|مولد تلقائي|स्वचालित रूप से|स्वतः|สร้างโดยอัตโนมัติ|สร้างขึ้นโดยอัตโนมัติ|автоматически|gerado automaticamente|自動的に生成",
+    r"|otomatik olarak üretil|otomatik oluşturul|自動生成され|自动生成|自動產生|maschinell erzeugt|automatisch (?:erzeugt|generiert|erstellt)|generado automáticamente|generad[oa] por|archivo generado|généré automatiquement|تم إنشاء هذا الملف|مولد تلقائي|स्वचालित रूप से|स्वतः|สร้างโดยอัตโนมัติ|สร้างขึ้นโดยอัตโนมัติ|автоматически|gerado automaticamente|自動的に生成",
     re.I,
 )
+# The same in two parts, the second anywhere behind the first; in one pattern they would take quadratic time on a long line.
+_GENERATED_PARTS = [
+    (re.compile(r"\bgenerated (?:by|from|on build from|with|using) [\w./-]", re.I), re.compile(r"do not|don't|instead|overwritten|edits? (?:are|will)|version", re.I)),
+    (re.compile("أُنشئ "), re.compile("تلقائي")),
+]
 # What says the opposite.
 _DENIED = re.compile(r"\bnot (?:auto-?)?generated\b|\bhand-?written\b|\bstop using generated\b|\bwrites? the header\b|\binto the files? it generates\b|\bwe (?:looked|wrote)\b|\bourselves\b|\bour own\b|\bgenerated report\b", re.I)
 # What headers of third-party copies say; the group is the package.
@@ -43,7 +48,8 @@ _VENDORED = re.compile(
     r"|^(?P<d>[\w.-]+) v?\d[\w.]* - released under|^!? ?(?P<e>[\w.-]+) v\d[\w.]*(?: \|| -|$)|^@license (?P<f>[\w.-]+)|^(?:copied|taken|imported|vendored) (?:verbatim )?from (?P<g>[\w./:@-]+)",
     re.I,
 )
-_COMMENT = re.compile(r"^\s*(?://+|#+|/\*+!?|\*+|--+|;+|<!--+|%+|'|\"\"\")\s*(.*?)\s*(?:\*+/|-->)?\s*$")
+_COMMENT = re.compile(r"\s*(?://+|#+|/\*+!?|\*+|--+|;+|<!--+|%+|'|\"\"\")\s*")
+_BLOCK = re.compile(r"(?:\A|(?<=[\r\n]))[^\S\r\n]*/\*")
 _REMARK = re.compile(r"\s*(?://|#|/\*|\*|--|;|<!--|%|'|\"\"\")")
 _LEADING = re.compile(r"^\s*/\*.*?\*/\s*")
 _LINES = re.compile(r"\r\n|\r|\n")
@@ -55,6 +61,28 @@ _WORD = re.compile(r"[^\W\d_]{2,}")
 _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{60,}|(?:\\x[0-9a-fA-F]{2}){15,}")
 
 
+def _comment(line: str) -> str | None:
+    """What a comment line says, without its marks; None for other lines."""
+    if not (m := _COMMENT.match(line)):
+        return None
+    said = line[m.end() :].rstrip()
+    if said.endswith("*/"):
+        return said[:-1].rstrip("*").rstrip()
+    return said[:-3].rstrip() if said.endswith("-->") else said
+
+
+def _block_lines(text: str) -> Iterator[str]:
+    """What the lines of the closed block comments say that begin a line."""
+    at = 0
+    while (m := _BLOCK.search(text, at)) and (end := text.find("*/", m.end())) >= 0:
+        yield from (said for x in _LINES.split(text[m.end() : end]) if (said := x.strip().strip("*! \t")))
+        at = end + 2
+
+
+def _says_generated(said: str) -> bool:
+    return bool(_GENERATED.search(said)) or any((m := first.search(said)) and then.search(said, m.end()) for first, then in _GENERATED_PARTS)
+
+
 def evidence(text: str | None) -> tuple[bool, bool, bool, bool, bool, list[str]]:
     """(generated, vendored, minified, data, denied, packages named) by the text alone; nothing for null and blank texts.
 
@@ -65,14 +93,12 @@ def evidence(text: str | None) -> tuple[bool, bool, bool, bool, bool, list[str]]
     lines = [x for x in _LINES.split(text) if x.strip()]
     generated = vendored = denied = False
     packages: set[str] = set()
-    said = [m[1] for x in lines if len(x) < 400 and (m := _COMMENT.match(x))]
-    head = text.lstrip()
-    if head.startswith("/*") and (end := head.find("*/", 2)) > 0:
-        said.append(head[2:end].strip("*! \t\r\n")[:400])
-    for s in said:
+    said = [s for x in lines if (s := _comment(x))]
+    said.extend(_block_lines(text.lstrip()))
+    for s in dict.fromkeys(said):
         if _DENIED.search(s):
             denied = True
-        elif _GENERATED.search(s):
+        elif _says_generated(s):
             generated = True
         elif m := _VENDORED.search(s):
             vendored = True

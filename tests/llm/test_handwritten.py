@@ -65,3 +65,19 @@ def test_very_long_texts_take_linear_time():
         h.evidence(text)
         assert time.time() - began < 5
     assert kinds("/* banner */!function(e,t){" + "var a=e.b||{},c=[1,2];function u(l,m){return t(c,8)};" * 12 + "}()")["minified"]
+
+
+def test_long_comments_are_searched_whole():
+    import time
+
+    licence = "".join(f"Permission is granted to use {w} text {w} times.\n" for w in "one two three four five six seven eight nine ten eleven twelve".split())
+    long = "no warranty of any kind is given, " * 20
+    for text in ("/*\n" + licence + "This file was generated by toolx\n*/\n", "/* " + long + "This file was generated by toolx */\n", "// " + long + "code generated by toolx\n", "/* a */\n/*\n" + licence + "This file was generated by toolx\n*/\n", "# " + long + "generated with toolx, " + long + "do not edit\n", "/*\r" + licence.replace("\n", "\r") + "@generated by toolx\r*/\r"):
+        assert kinds(text + PLAIN)["generated"], text
+    for text in ("/*\n" + licence + "Copyright (c) 2029 the libx contributors\n*/\n", "// Bundled copy of libx 2.1, " + long + "\n"):
+        assert kinds(text + PLAIN)["vendored"] and h.evidence(text + PLAIN)[5] == ["libx"], text
+    assert not any(kinds("/*\n" + licence + "*/\n" + PLAIN + "s = 'This file was generated by toolx'\n").values())
+    for text in ("// " + "generated by x " * 20_000, "// generated by " + "x" * 300_000, "// " + "أُنشئ " * 60_000, "/*\n" * 100_000, "/* a */\n" * 50_000, "\n /" * 100_000, "# " + "*" * 200_000, "# a" + " " * 200_000 + "b", "// copyright " + "1 " * 100_000, "/*\n" + "generated by x " * 20_000 + "\n*/"):
+        began = time.time()
+        h.evidence(text)
+        assert time.time() - began < 5, text[:20]

@@ -1,6 +1,6 @@
 """Processing only new or changed records of a log, without losing or repeating any.
 
-A log is split into partitions by the hash of its key; in each partition records carry rising offsets. A batch is planned first: the plan (for each partition the offsets it starts after and ends with) is written ahead of the work. A run that dies leaves its plan behind; the next run replays exactly that plan before it makes a new one. A batch's output goes to a folder of its own number, written anew on replay, and readers keep one record for each key and offset, so nothing is repeated whatever was delivered twice.
+A log is split into partitions by the hash of its key. A batch is planned first: the plan (the key and offset of each of its records, and for each partition their lowest and highest offset) is written ahead of the work. What is new is what no committed plan holds, in whatever order records arrive: a high-water mark a partition would pass over a key's record that comes after a higher offset of another key. A run that dies leaves its plan behind; the next run replays exactly that plan before it makes a new one. A batch's output goes to a folder of its own number, written anew on replay, and readers keep one record for each key and offset, so nothing is repeated whatever was delivered twice.
 """
 
 from __future__ import annotations
@@ -20,30 +20,32 @@ PARTITIONS = 64
 
 @dataclass(frozen=True)
 class Batch:
-    """A planned batch: for each log partition the offset it starts after (None: from the beginning) and the one it ends with."""
+    """A planned batch: for each log partition its lowest and highest offset; the key and ``_offset`` of its records; whether a failed run left it."""
 
     number: int
-    ranges: dict[int, tuple[int | None, int]]
+    ranges: dict[int, tuple[int, int]]
+    records: DataFrame
+    replayed: bool = False
 
     def of(self, log: DataFrame) -> DataFrame:
-        """The batch's records of a log with ``_partition`` and ``_offset``."""
+        """The batch's records of a log with ``_partition`` and ``_offset``; the ranges keep most others out of the join."""
         if not self.ranges:
             return log.limit(0)
         both = [F.lit(x) for p, (a, b) in self.ranges.items() for x in (p, F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")))]
         pairs = F.map_from_arrays(F.array(*both[::2]), F.array(*both[1::2]))
         span = F.element_at(pairs, F.col("_partition"))
-        return log.filter((F.col("_offset") <= span["b"]) & (span["a"].isNull() | (F.col("_offset") > span["a"])))
+        return log.filter(F.col("_offset").between(span["a"], span["b"])).join(self.records, self.records.columns, "left_semi")
 
 
 class ChangeFeed:
     """The state of one consumer of a log below ``folder`` (in storage that all executors share).
 
-    ``key`` and ``offset`` are the columns that identify and order records; offsets only ever rise within a key. Records with a null key or offset can't be placed in the log and are no records. Extra columns are carried along.
+    ``key`` and ``offset`` are the columns that identify and order records; they may come in any order. Records with a null key or offset can't be placed in the log and are no records. Extra columns are carried along.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, offset: str, partitions: int = PARTITIONS):
         self.spark, self.folder, self.key, self.offset, self.partitions = spark, folder.rstrip("/"), key, offset, partitions
-        self.plans, self.commits = Folder(spark, f"{self.folder}/plans"), Folder(spark, f"{self.folder}/commits")
+        self.plans, self.commits, self.planned = (Folder(spark, f"{self.folder}/{n}") for n in ("plans", "commits", "planned"))
 
     def _log(self, records: DataFrame) -> DataFrame:
         placed = records.filter(F.col(self.key).isNotNull() & F.col(self.offset).isNotNull())
@@ -52,11 +54,17 @@ class ChangeFeed:
     def _numbers(self, folder: Folder) -> list[int]:
         return [int(n[:-5]) for n in folder.names() if n.endswith(".json") and n[0] != "_"]
 
-    def _plan(self, number: int) -> Batch:
-        return Batch(number, {int(p): (a, b) for p, (a, b) in json.loads(self.plans.read(f"{number:09d}.json")).items()})
+    def _planned(self, numbers: list[int], log: DataFrame) -> DataFrame:
+        """The key and ``_offset`` of the records of some plans."""
+        kept = log.select(self.key, "_partition", "_offset").schema
+        return self.spark.read.schema(kept).parquet(*[f"{self.folder}/planned/batch={n}" for n in numbers])
+
+    def _plan(self, number: int, log: DataFrame) -> Batch:
+        ranges = {int(p): (a, b) for p, (a, b) in json.loads(self.plans.read(f"{number:09d}.json")).items()}
+        return Batch(number, ranges, self._planned([number], log).drop("_partition"), replayed=True)
 
     def committed(self) -> dict[int, int]:
-        """The last offset done in each log partition: the ends of the committed plans."""
+        """The highest offset done in each log partition; lower ones may still come."""
         ends: dict[int, int] = {}
         for n in self._numbers(self.commits)[-1:]:
             ends = {int(p): b for p, b in json.loads(self.commits.read(f"{n:09d}.json")).items()}
@@ -65,22 +73,27 @@ class ChangeFeed:
     def next_batch(self, records: DataFrame) -> Batch | None:
         """The plan that a failed run left, or else a new one, written before it is returned; None if there is nothing new.
 
-        The ends come from one aggregate of at most ``partitions`` rows.
+        The records are written first and the plan's ranges after them, so a plan is whole or not there. A plan without written records (of an earlier layout) doesn't count.
         """
-        plans, done = self._numbers(self.plans), self._numbers(self.commits)
-        if open_ := sorted(set(plans) - set(done)):
-            return self._plan(open_[0])
-        last = self.committed()
-        ends = {r["_partition"]: r["e"] for r in self._log(records).groupBy("_partition").agg(F.max("_offset").alias("e")).collect()}
-        ranges = {p: (last.get(p), e) for p, e in sorted(ends.items()) if p not in last or e > last[p]}
+        log = self._log(records)
+        plans, done, kept = self._numbers(self.plans), set(self._numbers(self.commits)), set(self.planned.names())
+        if open_ := [n for n in plans if n not in done and f"batch={n}" in kept]:
+            return self._plan(open_[0], log)
+        new = log.select(self.key, "_partition", "_offset")
+        if old := [n for n in sorted(done) if f"batch={n}" in kept]:
+            new = new.join(self._planned(old, log).drop("_partition"), [self.key, "_offset"], "left_anti")
+        number = max(plans, default=-1) + 1
+        new.select(self.key, "_partition", "_offset").distinct().write.mode("overwrite").parquet(f"{self.folder}/planned/batch={number}")
+        pairs = self._planned([number], log)
+        ranges = {r["_partition"]: (r["a"], r["b"]) for r in pairs.groupBy("_partition").agg(F.min("_offset").alias("a"), F.max("_offset").alias("b")).orderBy("_partition").collect()}
         if not ranges:
+            self.planned.remove(f"batch={number}")
             return None
-        batch = Batch(max(plans, default=-1) + 1, ranges)
-        self.plans.write(f"{batch.number:09d}.json", json.dumps(batch.ranges))
-        return batch
+        self.plans.write(f"{number:09d}.json", json.dumps(ranges))
+        return Batch(number, ranges, pairs.drop("_partition"))
 
     def run(self, records: DataFrame, work: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
-        """Does what is open and what is new; the number of batches done.
+        """Does what is open and then all that is new, as one batch; the number of batches done.
 
         ``work`` maps the records of a batch to the rows to store; it must keep ``_offset`` and the key, by which the sink tells rows apart.
         """
@@ -89,6 +102,8 @@ class ChangeFeed:
             self._write(batch, work(batch.of(self._log(records))))
             self._commit(batch)
             done += 1
+            if not batch.replayed:
+                break
         return done
 
     def follow(self, stream: DataFrame, work: Callable[[DataFrame], DataFrame] = lambda df: df):
@@ -106,7 +121,8 @@ class ChangeFeed:
         rows.drop("_partition").write.mode("overwrite").parquet(f"{self.folder}/sink/batch={batch.number}")
 
     def _commit(self, batch: Batch) -> None:
-        ends = self.committed() | {p: b for p, (_, b) in batch.ranges.items()}
+        ends = self.committed()
+        ends |= {p: max(b, ends.get(p, b)) for p, (_, b) in batch.ranges.items()}
         self.commits.write(f"{batch.number:09d}.json", json.dumps(ends))
 
     def sink(self) -> DataFrame | None:

@@ -80,6 +80,34 @@ def test_a_stream_is_followed(spark, tmp_path):
     assert sorted(r.seq for r in f.sink().collect()) == [*range(9), 20, 21]
 
 
+def test_late_records_at_or_below_the_mark_are_not_lost(spark, tmp_path):
+    f = ChangeFeed(spark, fresh_dir(spark, "t"), "path", "seq", partitions=1)
+    rows = [("a", 100, "x")]
+    assert f.run(log(spark, rows)) == 1
+    rows += [("b", 60, "x"), ("b", 100, "x"), ("a", 7, "x")]
+    seen = []
+    assert f.run(log(spark, rows + rows), lambda df: (seen.extend((r.path, r.seq) for r in df.collect()), df.filter("seq <> 60"))[1]) == 1
+    assert set(seen) == {("b", 60), ("b", 100), ("a", 7)}
+    assert f.run(log(spark, rows)) == 0 and f.committed() == {0: 100}
+    assert sorted((r.path, r.seq) for r in f.sink().collect()) == [("a", 7), ("a", 100), ("b", 100)]
+
+    g = ChangeFeed(spark, fresh_dir(spark, "t"), "path", "seq", partitions=1)
+    source = str(tmp_path / "log")
+    for part in ([("a", 100, "x")], [("b", 60, "x")]):
+        log(spark, part).write.mode("append").parquet(source)
+        g.follow(spark.readStream.schema(LOG).parquet(source)).awaitTermination(120)
+    assert sorted((r.path, r.seq) for r in g.sink().collect()) == [("a", 100), ("b", 60)]
+
+
+def test_a_replay_leaves_out_what_came_after_the_plan(spark):
+    f = ChangeFeed(spark, fresh_dir(spark, "t"), "path", "seq", partitions=1)
+    rows = [("a", 10, "x"), ("a", 90, "x")]
+    assert f.next_batch(log(spark, rows)).number == 0
+    batches = []
+    assert f.run(log(spark, rows + [("b", 50, "x")]), lambda df: (batches.append(sorted(r.seq for r in df.collect())), df)[1]) == 2
+    assert batches == [[10, 90], [50]]
+
+
 def test_pending_paths_agree_with_brute_force(spark):
     rnd = random.Random(8)
     t = datetime(2030, 1, 1)

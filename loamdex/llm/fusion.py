@@ -56,7 +56,7 @@ def leximin_ranking(places: DataFrame, group: str, item: str, sides: list[str])
 def first_of_each(places: DataFrame, group: str, item: str, sides: list[str]) -> DataFrame:
     """group, item: the first item of each group that has every side.
 
-    The first by leximin is taken, then checked against the smallest sum of places: should it have a larger sum, the item with the smallest takes its place. Ties go to the smaller item. One aggregate of fixed size a group, combined on the map side.
+    The smallest sum of places decides; equal sums go by leximin, then to the smaller item. The first by leximin is computed beside it and stands only where its sum is the smallest. One aggregate of fixed size a group, combined on the map side.
     """
     total = reduce(lambda a, b: a + b, [F.col(s) for s in sides]).alias("sum")
     worst_first = F.transform(leximin_key(sides), lambda x: -x).alias("key")

@@ -60,7 +60,7 @@ def _run(args: argparse.Namespace, spark) -> int:
             print(result_json(engine.preview(target)))
             return 0
         done = engine.index(target, (lambda name, ms: print(f"{name}: {ms} ms", file=sys.stderr)) if args.progress else None)
-        print(result_json(done) if args.json else f"{done.status}: {done.counts}, {done.chunks} chunks, {done.deleted} deleted, {len(done.issues)} issues")
+        print(result_json(done) if args.json else f"{done.status}: {done.counts}, {done.chunks} chunks, {done.deleted} deleted, {done.issue_count} issues")
         return {"COMPLETE": 0, "PARTIAL": 3, "CANCELLED": 130}.get(done.status, 1)
     except QueryError as e:
         print(e.reason, file=sys.stderr)

@@ -39,12 +39,16 @@ class Cancelled(Exception):
 
 @dataclass
 class IndexResult:
+    """``issues`` shows at most 1,000 problem paths and 100 failed embeddings; the counts are exact and ``Engine.problems`` has all of them."""
+
     status: str
     counts: dict[str, int] = field(default_factory=dict)
     chunks: int = 0
     embedded: int = 0
     rejected: int = 0
     failed: int = 0
+    failed_embeddings: int = 0
+    issue_count: int = 0
     deleted: int = 0
     discarded_vectors: int = 0
     issues: list[tuple[str, str]] = field(default_factory=list)
@@ -77,6 +81,8 @@ class Engine:
         self.identity = text.ChunkingIdentity(c.algorithm, c.vocabulary_sha256, c.vocabulary_size, c.max_input_tokens, c.special_tokens, self.config.max_tokens, self.config.overlap_tokens)
         self.store = SnapshotStore(spark, store or f"{root}/{self.config.store}", root)
         self.cancelled = False
+        #: kind (file or embedding), source_path, chunk_id, problem of every file and embedding that failed in the last run; None before the first.
+        self.problems: DataFrame | None = None
 
     # Building
 
@@ -140,6 +146,8 @@ class Engine:
             result.rejected = sum(n for p, n in numbers.items() if p in source.REJECTED)
             result.failed = sum(n for p, n in numbers.items() if p in source.FAILED)
             result.issues = [*scan.issues, *problems]
+            result.issue_count = len(scan.issues) + sum(numbers.values())
+            self.problems = found.filter("problem is not null").select(F.lit("file").alias("kind"), "source_path", F.lit(None).cast("long").alias("chunk_id"), "problem")
             gone = incremental.deletions(stored, self._seen(scan), self._scope(target), sum(numbers.values()), len(scan.issues))
             result.deleted = gone.count()
             began = self._step("decide", result, began, progress)
@@ -165,7 +173,10 @@ class Engine:
             began = self._step("chunk", result, began, progress)
             if self.model and self.profile and self.config.semantic:
                 vectors, result.embedded, errors = self._backfill(chunks, vectors)
-                result.issues += errors
+                self.problems = self.problems.unionByName(errors)
+                result.failed_embeddings = errors.count()
+                result.issue_count += result.failed_embeddings
+                result.issues += [(r.kind, f"{r.source_path}, chunk {r.chunk_id}: {r.problem}") for r in errors.orderBy("source_path", "chunk_id").limit(100).collect()]
                 began = self._step("embed", result, began, progress)
             if work or result.embedded or result.discarded_vectors or old is None:
                 rows = self._rows(chunks)
@@ -187,7 +198,7 @@ class Engine:
     def _rows(self, chunks: DataFrame) -> DataFrame:
         return chunks.select(F.col("id").alias("chunk_id"), "file_id", "chunk_index", "content", F.array_join("heading_path", " ").alias("headings"), "source_path", "start_line", "end_line")
 
-    def _backfill(self, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, int, list[tuple[str, str]]]:
+    def _backfill(self, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, int, DataFrame]:
         fingerprint, counter = self.profile.fingerprint(), self.counter
         todo = semantic.unembedded(chunks, vectors, fingerprint)
 
@@ -199,12 +210,13 @@ class Engine:
 
         texts = todo.select("id", "source_path", inputs("source_path", "heading_path", "content").alias("input"))
         made = materialise(semantic.embed(texts, "input", self.model), "embedded")
-        errors = [("embedding", r.error) for r in made.filter("error is not null").limit(100).collect()]
         size = self.profile.dimensions
-        good = made.filter((F.size("vector") == size) & F.forall("vector", lambda x: ~F.isnan(x)))
+        fine = F.coalesce((F.size("vector") == size) & F.forall("vector", lambda x: ~F.isnan(x)), F.lit(False))
+        good = made.filter(fine)
         new = good.join(todo.select("id", "source_path"), "id").select(F.col("id").alias("chunk_id"), "source_path", F.lit(fingerprint).alias("fingerprint"), "vector")
-        if not errors and made.filter("error is null").count() > good.count():
-            errors = [("embedding", f"vectors without {size} dimensions")]
+        problem = F.coalesce("error", F.lit(f"no vector of {size} numbers")).alias("problem")
+        bad = made.filter(~fine).join(chunks.select("id", "source_path").distinct(), "id")
+        errors = materialise(bad.select(F.lit("embedding").alias("kind"), "source_path", F.col("id").alias("chunk_id"), problem), "errors")
         return vectors.unionByName(new), good.count(), errors
 
     # Asking

@@ -99,6 +99,26 @@ def test_semantic_and_hybrid(spark, project):
         assert x.value.reason == reason
 
 
+def test_every_failed_embedding_is_reported(spark, tmp_path):
+    for i in range(130):
+        (tmp_path / f"f{i}.txt").write_text("bad words" if i < 110 else "short words" if i < 115 else "good words")
+    (tmp_path / "broken.txt").write_bytes(b"\xff\xfe\xff")
+    good = toy_model()
+
+    def model(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("refused")
+        return [v[:3] if "short" in t else v for t, v in zip(texts, good(texts))]
+
+    e = Engine(spark, str(tmp_path), Config(semantic=True), model=model, profile=PROFILE)
+    done = e.index()
+    assert (done.status, done.embedded, done.failed_embeddings, done.issue_count) == ("PARTIAL", 15, 115, 116)
+    assert json.loads(result_json(done))["failed_embeddings"] == 115
+    rows = e.problems.collect()
+    assert {r.source_path for r in rows if r.kind == "embedding"} == {f"f{i}.txt" for i in range(115)} and len(rows) == 116
+    assert all(r.chunk_id is not None and r.problem for r in rows if r.kind == "embedding")
+
+
 def test_store_refuses_what_is_not_its_own(spark, tmp_path):
     with pytest.raises(IndexAccessError) as x:
         SnapshotStore(spark, str(tmp_path / "none"), "p").current()

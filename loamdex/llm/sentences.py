@@ -23,15 +23,14 @@ PAIRS = {"«": "»", "‹": "›", "“": "”", "„": "“”", "‘": "’",
 QUOTES = set("«‹“„‘「『\"")
 #: Marks that end a sentence without white space behind them.
 FREE = set("。！？｡।॥։።")
-#: Characters of a word that are looked at to tell a name from a plain word.
-NAME = 80
 _EVENT = re.compile(r"\.{2,}|…+|[.!?。！？｡।॥؟۔։።]|[«»‹›“”„「」『』()（）\[\]［］{}【】《》〈〉\"]|(?<=[ก-๛])[ \t\r\n]+(?=[ก-๛])")
 _MARKS = re.compile(r"[.!?…。！？｡।॥؟۔։።]*")
 _SPACE = re.compile(r"[ \t\r\n]*")
 _WORD = re.compile(r"[^ \t\r\n]+")
 _LINE = re.compile(r"[^\r\n]*(\r\n|\r|\n|$)")
 _ITEM = re.compile(r"([ \t]*)(?:[-*+•‣◦·–—]|\(?\d{1,3}[.)]|[①-⑳])[ \t]+(?=[^ \t])")
-_NAME = re.compile(r"\w*(?:[a-zß-ÿ]\w*[A-Z]|[_/\\]\w|\.\w|\w\(\)|\d)")
+# Looks only at the letters and digits a word begins with and what follows them, each in linear time.
+_NAME = re.compile(r"[^\Wa-zß-ÿ]*+[a-zß-ÿ]\w*[A-Z]|\w*+(?:[/\\.]\w|\(\)[.,;:!?…)]*+[^ \t\r\n]|÷\w*[A-Z])|\w*?(?:_\w|\d)")
 
 
 def _trie(words: list[str], mark: str, root: dict) -> dict:
@@ -64,8 +63,7 @@ def _follows(s: str, at: int) -> str:
     """What starts at a place: lower (a plain word in lower case), caseless (a letter of a script without case), name (of a file or in code), or start (a capital, a number or a mark that can open a sentence)."""
     c = s[at]
     if c.islower():
-        word = _WORD.match(s, at, at + NAME)[0].rstrip(".,;:!?…)")
-        return "name" if _NAME.match(word) else "lower"
+        return "name" if _NAME.match(s, at) else "lower"
     if c.isalpha() and not c.isupper() and not c.istitle():
         return "caseless"
     if c in ",;:–—-&+/=%":

@@ -53,3 +53,26 @@ def test_very_long_texts_take_linear_time():
         began = time.time()
         units(t)
         assert time.time() - began < 8, t[:20]
+
+
+def test_names_are_told_by_their_whole_word():
+    import random
+    import re
+    import time
+
+    from loamdex.llm.sentences import _follows
+
+    for tail in ("9", "/b", "_b", ".py", "X", "()x"):
+        text = 'He asked "Which?" ' + "a" * 200 + tail + " is it."
+        assert _follows(text, 18) == "name" and len(units(text)) == 2, tail
+    assert _follows("a" * 200, 0) == _follows("a" * 200 + "(). b", 0) == "lower"
+    whole = re.compile(r"\w*(?:[a-zß-ÿ]\w*[A-Z]|[_/\\]\w|\.\w|\w\(\)|\d)")
+    rnd = random.Random(4)
+    for _ in range(20_000):
+        t = "a" + "".join(rnd.choices("abéXÉ9_/\\.()÷-,… \n。", k=rnd.randrange(9)))
+        word = re.match(r"[^ \t\r\n]+", t)[0].rstrip(".,;:!?…)")
+        assert _follows(t, 0) == ("name" if whole.match(word) else "lower"), t
+    for t in ("End. " + "x" * 300_000, "a.b" * 100_000, "。a" * 100_000, "。a()." * 50_000, "Go… " + "a_" * 150_000, "。÷a" * 80_000):
+        began = time.time()
+        units(t)
+        assert time.time() - began < 8, t[:20]

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Version of the layout below; an index of another version is refused.
-FORMAT = 1
+FORMAT = 2
+#: Pointer files are numbered and never replaced; the highest number holds.
+POINTER = "CURRENT-"
 
 
 class Folder:
@@ -37,12 +40,19 @@ class Folder:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        stream = self.fs.create(self._path(f"_{name}.tmp"), True)
+        """A new file by rename, which is one step on a file system; a name that is taken is refused, so no file is ever without its content. What changes gets a new name each time: see ``latest``."""
+        part = f"_{name}.{uuid.uuid4().hex}.tmp"
+        stream = self.fs.create(self._path(part), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(self._path(name), False)
-        if not self.fs.rename(self._path(f"_{name}.tmp"), self._path(name)):
-            raise OSError(f"{self.path}/{name} could not be written")
+        if self.fs.exists(self._path(name)) or not self.fs.rename(self._path(part), self._path(name)):
+            self.fs.delete(self._path(part), False)
+            raise FileExistsError(f"{self.path}/{name} could not be written")
+
+    def latest(self, prefix: str) -> str | None:
+        """The content of the file with the highest number behind ``prefix``; None if there is none."""
+        names = [n for n in self.names() if n.startswith(prefix) and n[len(prefix) :].isdigit()]
+        return self.read(max(names, key=lambda n: int(n[len(prefix) :]))) if names else None
 
     def remove(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
@@ -99,10 +109,11 @@ class SnapshotStore:
     def current(self) -> Snapshot | None:
         """The version that holds now; None before the first."""
         self._check()
-        if not self.folder.exists("CURRENT"):
-            return None
         try:
-            number = int(self.folder.read("CURRENT"))
+            pointer = self.folder.latest(POINTER)
+            if pointer is None:
+                return None
+            number = int(pointer)
         except ValueError as e:
             raise IndexAccessError("CORRUPT_INDEX", f"the pointer of {self.path} can't be read") from e
         if not self.folder.exists(f"v{number:06d}"):
@@ -115,8 +126,9 @@ class SnapshotStore:
         number = old.number + 1 if old else 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.path}/v{number:06d}/{name}")
-        self.folder.write("CURRENT", str(number))
+        self.folder.write(f"{POINTER}{number:06d}", str(number))
         for n in self.folder.names():
-            if n.startswith("v") and n[1:].isdigit() and int(n[1:]) <= number - self.keep:
-                self.folder.remove(n)
+            for prefix in (POINTER, "v"):  # pointers first: one never names a version that is gone
+                if n.startswith(prefix) and n[len(prefix) :].isdigit() and int(n[len(prefix) :]) <= number - self.keep:
+                    self.folder.remove(n)
         return Snapshot(self.spark, self.path, number)

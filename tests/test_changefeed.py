@@ -99,6 +99,42 @@ def test_late_records_at_or_below_the_mark_are_not_lost(spark, tmp_path):
     assert sorted((r.path, r.seq) for r in g.sink().collect()) == [("a", 100), ("b", 60)]
 
 
+def test_only_partitions_with_late_records_are_compared_with_history(spark, monkeypatch):
+    f = ChangeFeed(spark, fresh_dir(spark, "t"), "path", "seq", partitions=8)
+    compared = []
+    real = ChangeFeed._look
+    monkeypatch.setattr(ChangeFeed, "_look", lambda self, log, marks: (found := real(self, log, marks), compared.append(found[1]))[0])
+    rows = [(f"p{i}", 10 * i, "x") for i in range(1, 30)]
+    assert f.run(log(spark, rows)) == 1 and f.run(log(spark, rows)) == 0
+    rows += [(f"p{i}", 1000 + i, "x") for i in range(1, 30)]
+    assert f.run(log(spark, rows)) == 1
+    assert compared == [[], [], []]
+    late = ("p3", 5, "late")
+    assert f.run(log(spark, [*rows, late])) == 1 and len(compared[-1]) == 1
+    assert f.run(log(spark, [*rows, late])) == 0 and compared[-1] == []
+    assert f.run(log(spark, [*rows, late, late])) == 0 and len(compared[-1]) == 1  # a repeated record looks late once
+    assert f.run(log(spark, [*rows, late, late])) == 0 and compared[-1] == []
+    assert sorted((r.path, r.seq) for r in f.sink().collect()) == sorted((p, s) for p, s, _ in [*rows, late])
+
+
+def test_merged_batches_hold_the_same_rows(spark):
+    f = ChangeFeed(spark, fresh_dir(spark, "t"), "path", "seq", partitions=2)
+    rows = []
+    f.compact()
+    for turn in range(5):
+        rows += [(f"p{i}", 10 * turn + i, "x") for i in range(3)]
+        if turn == 3:
+            rows.append(("p0", 1, "late"))
+        assert f.run(log(spark, rows)) == 1
+        if turn in (1, 2, 4):
+            f.compact()
+            assert f.run(log(spark, rows)) == 0
+        assert sorted((r.path, r.seq) for r in f.sink().collect()) == sorted((p, s) for p, s, _ in rows)
+    assert len(f.plans.names()) == len(f.commits.names()) == 1
+    assert f.run(log(spark, [*rows, ("p2", 3, "x"), ("p0", 1, "late")])) == 1
+    assert f.sink().count() == len(rows) + 1
+
+
 def test_a_replay_leaves_out_what_came_after_the_plan(spark):
     f = ChangeFeed(spark, fresh_dir(spark, "t"), "path", "seq", partitions=1)
     rows = [("a", 10, "x"), ("a", 90, "x")]

@@ -133,7 +133,7 @@ def test_store_refuses_what_is_not_its_own(spark, tmp_path):
     old = s.commit({"files": df})
     s.commit({"files": spark.range(5)})
     assert old.table("files").count() == 3 and s.current().table("files").count() == 5
-    s.folder.write("CURRENT", "99")
+    s.folder.write("CURRENT-000099", "99")
     with pytest.raises(IndexAccessError) as x:
         s.current()
     assert x.value.reason == "CORRUPT_INDEX"

@@ -44,8 +44,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 def _run(args: argparse.Namespace, spark) -> int:
     from pyspark.sql import SparkSession
 
+    from loamdex.functions.progress import duration_text
     from loamdex.plans.engine import Engine, QueryError, hit_text, result_json
-    from loamdex.sources.storage import IndexAccessError
+    from loamdex.sources.storage import IndexAccessError, StorageFailure
 
     root, target, config = find_project(args.root if args.command == "query" else args.target)
     engine = Engine(spark or SparkSession.builder.appName("loamdex").getOrCreate(), root, config)
@@ -59,14 +60,14 @@ def _run(args: argparse.Namespace, spark) -> int:
         if args.dry_run:
             print(result_json(engine.preview(target)))
             return 0
-        done = engine.index(target, (lambda name, ms: print(f"{name}: {ms} ms", file=sys.stderr)) if args.progress else None)
+        done = engine.index(target, (lambda name, ms: print(name if ":" in name else f"{name}: done in {duration_text(ms / 1000)}", file=sys.stderr)) if args.progress else None)
         print(result_json(done) if args.json else f"{done.status}: {done.counts}, {done.chunks} chunks, {done.deleted} deleted, {done.issue_count} issues")
         return {"COMPLETE": 0, "PARTIAL": 3, "CANCELLED": 130}.get(done.status, 1)
     except QueryError as e:
         print(e.reason, file=sys.stderr)
         return 2
-    except IndexAccessError as e:
-        print(e, file=sys.stderr)
+    except (IndexAccessError, StorageFailure) as e:
+        print(f"{e.reason}: {e}", file=sys.stderr)
         return 1
 
 

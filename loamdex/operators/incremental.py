@@ -42,12 +42,15 @@ def decisions(found: DataFrame, stored: DataFrame, fingerprint: str) -> DataFram
     return found.join(old, "source_path", "left").select("source_path", kind.alias("decision"))
 
 
-def deletions(stored: DataFrame, found: DataFrame, scope: str = "", rejected: int = 0, issues: int = 0) -> DataFrame:
-    """The stored files below ``scope`` that were not found; none at all if anything was rejected or could not be scanned, as an incomplete scan proves no absence."""
+def deletions(stored: DataFrame, found: DataFrame, rejected: int = 0, issues: int = 0, wanted: Column | None = None) -> DataFrame:
+    """The stored files that were not found; none at all if anything was rejected or could not be scanned, as an incomplete scan proves no absence.
+
+    ``wanted`` says which paths the settings admit: others were not looked for and stay. Whether a path is really gone is for the file system to say.
+    """
     if rejected or issues:
         return stored.limit(0)
-    inside = stored.filter(F.col("source_path").startswith(scope.rstrip("/") + "/") | (F.col("source_path") == scope)) if scope else stored
-    return inside.join(found.select("source_path").distinct(), "source_path", "left_anti")
+    looked_for = stored if wanted is None else stored.filter(wanted)
+    return looked_for.join(found.select("source_path").distinct(), "source_path", "left_anti")
 
 
 def replace_files(old: DataFrame, new: DataFrame, removed: DataFrame, key: str = "source_path") -> DataFrame:

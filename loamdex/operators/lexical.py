@@ -25,24 +25,23 @@ def index_rows(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(paths, "file_id")
 
 
-def term_positions(rows: DataFrame) -> DataFrame:
-    """chunk_id, col, pos, term: every token of every column."""
-    cols = F.array(*[F.struct(F.lit(c).alias("col"), text.tokens(F.col(c)).alias("terms")) for c in COLUMNS])
-    each = rows.select("chunk_id", F.explode(cols).alias("c")).select("chunk_id", "c.col", F.posexplode("c.terms").alias("pos", "term"))
-    return each
-
-
 def postings(rows: DataFrame) -> DataFrame:
-    """term, chunk_id, col, positions (ascending), tf. Built within each row, before any shuffle: a chunk's own tokens are all in it."""
-    each = rows.select("chunk_id", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), text.tokens(F.col(c)).alias("terms")) for c in COLUMNS])).alias("c"))
-    spread = each.select("chunk_id", "c.col", F.posexplode("c.terms").alias("pos", "term"))
-    return spread.groupBy("term", "chunk_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions"))
+    """term, chunk_id, col, positions (ascending), tf, n_tokens (of the whole chunk).
+
+    Grouped by the rows' own keys first, so rows that are already split by file or chunk are not shuffled again, let alone their tokens.
+    """
+    cols = F.array(*[F.struct(F.lit(c).alias("col"), text.tokens(F.col(c)).alias("terms")) for c in COLUMNS])
+    keys = [c for c in ("file_id", "chunk_id") if c in rows.columns]
+    each = rows.select(*keys, cols.alias("cols")).withColumn("n_tokens", F.aggregate("cols", F.lit(0).cast("long"), lambda n, c: n + F.size(c["terms"])))
+    spread = each.select(*keys, "n_tokens", F.explode("cols").alias("c")).select(*keys, "n_tokens", "c.col", F.posexplode("c.terms").alias("pos", "term"))
+    grouped = spread.groupBy(*keys, "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("n_tokens").alias("n_tokens"))
+    return grouped.select("term", *keys, "col", "positions", F.size("positions").alias("tf"), "n_tokens")
 
 
-def chunk_lengths(rows: DataFrame) -> DataFrame:
-    """chunk_id, n_tokens over all columns."""
+def chunk_lengths(rows: DataFrame, *more: str) -> DataFrame:
+    """chunk_id, n_tokens over all columns; and ``more`` columns of the rows."""
     sizes = [F.size(text.tokens(F.col(c))) for c in COLUMNS]
-    return rows.select("chunk_id", (sizes[0] + sizes[1] + sizes[2]).cast("long").alias("n_tokens"))
+    return rows.select(*more, "chunk_id", (sizes[0] + sizes[1] + sizes[2]).cast("long").alias("n_tokens"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -63,34 +62,41 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return split.select("query_id", F.size("p").alias("parts"), F.posexplode("p").alias("part", "phrase"))
 
 
+def totals(lengths: DataFrame) -> tuple[int, int]:
+    """(chunks, tokens) of a corpus, as scores need them."""
+    row = corpus_stats(lengths).first()
+    return row.n_rows, row.total_tokens
+
+
+def wanted_terms(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """The postings of one query's terms. They are few (a query has at most 64 parts), so the condition reaches the scan, which skips what lies elsewhere in the sorted files."""
+    return index.filter(F.col("term").isin(sorted({t for p in phrases for t in p})))
+
+
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase, chunk_id, frequency for each distinct phrase and chunk that holds it in some column.
+    """phrase, chunk_id, frequency, n_tokens for each distinct phrase and chunk that holds it in some column.
 
-    Only the postings of wanted terms are read on. A phrase of one term takes its counts; of a longer one, positions are moved back by the term's place and must meet for all its terms in one column.
+    The postings are read once. A phrase of one term takes its counts; of a longer one, positions are moved back by the term's place and must meet for all its terms in one column.
     """
-    wanted = phrases.select("phrase").distinct()
-    single = wanted.filter(F.size("phrase") == 1).withColumn("term", F.col("phrase")[0])
-    ones = single.join(index, "term").groupBy("phrase", "chunk_id").agg(F.sum("tf").alias("frequency"))
-    longer = wanted.filter(F.size("phrase") > 1).select("phrase", F.posexplode("phrase").alias("place", "term"))
-    moved = longer.join(index, "term").select("phrase", "chunk_id", "col", "place", F.explode("positions").alias("pos"))
-    met = moved.groupBy("phrase", "chunk_id", "col", (F.col("pos") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("phrase"))
-    many = met.groupBy("phrase", "chunk_id").agg(F.count(F.lit(1)).alias("frequency"))
-    return ones.unionByName(many)
+    wanted = phrases.select("phrase").distinct().filter(F.size("phrase") > 0).select("phrase", F.posexplode("phrase").alias("place", "term"))
+    start = F.struct(F.lit(None).cast("int").alias("start"), F.col("tf").alias("n"))
+    starts = F.when(F.size("phrase") == 1, F.array(start)).otherwise(F.transform("positions", lambda p: F.struct((p - F.col("place")).alias("start"), F.lit(1).alias("n"))))
+    moved = wanted.join(index, "term").select("phrase", "chunk_id", "col", "n_tokens", F.explode(starts).alias("s"))
+    met = moved.groupBy("phrase", "chunk_id", "col", "s.start").agg(F.sum("s.n").alias("n"), F.max("n_tokens").alias("n_tokens")).filter((F.size("phrase") == 1) | (F.col("n") == F.size("phrase")))
+    return met.groupBy("phrase", "chunk_id").agg(F.sum(F.when(F.size("phrase") == 1, F.col("n")).otherwise(1)).alias("frequency"), F.max("n_tokens").alias("n_tokens"))
 
 
-def bm25_scores(index: DataFrame, lengths: DataFrame, queries: DataFrame, many: bool = True) -> DataFrame:
-    """query_id, chunk_id, score of each chunk that holds all phrases of a query; lower is better.
+def bm25_scores(index: DataFrame, corpus: tuple[int, int], queries: DataFrame, many: bool = True) -> DataFrame:
+    """query_id, chunk_id, score of each chunk that holds all phrases of a query; lower is better. ``corpus``: chunks and tokens in all.
 
-    Phrases are matched once however many queries share them. With ``many`` queries the matches are written once, and each query meets first the chunks of its rarest phrase and only for these its other phrases, so a frequent word costs no more than the rare one beside it. The one row of statistics is joined by a plain cross of one row, which the planner ships.
+    Phrases are matched once however many queries share them, and the matches are written once. With ``many`` queries each query meets first the chunks of its rarest phrase and only for these its other phrases, so a frequent word costs no more than the rare one beside it.
     """
     asked = query_phrases(queries)
-    found = phrase_matches(index, asked)
-    if many:
-        found = materialise(found, "matches")
+    found = materialise(phrase_matches(index, asked), "matches")
     counts = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    weighted = found.join(counts, "phrase").join(lengths, "chunk_id").crossJoin(corpus_stats(lengths))
-    part = scoring.bm25_part(scoring.idf(F.col("n_rows"), F.col("n")), F.col("frequency"), F.col("n_tokens"), F.col("avg_tokens"))
-    scored = weighted.select("phrase", "chunk_id", part.alias("part_score"))
+    rows, tokens = corpus
+    part = scoring.bm25_part(scoring.idf(F.lit(rows), F.col("n")), F.col("frequency"), F.col("n_tokens"), F.lit(tokens / max(rows, 1)))
+    scored = found.join(counts, "phrase").select("phrase", "chunk_id", part.alias("part_score"))
     if many:
         known = asked.join(counts, "phrase").groupBy("query_id").agg(F.min_by("phrase", F.struct("n", "part")).alias("phrase"), (F.count(F.lit(1)) == F.max("parts")).alias("all"))
         candidates = known.filter("all").join(found.select("phrase", "chunk_id"), "phrase").select("query_id", "chunk_id")
@@ -104,16 +110,17 @@ def bm25_scores(index: DataFrame, lengths: DataFrame, queries: DataFrame, many:
 def top_hits(scores: DataFrame, rows: DataFrame, limit: int, best: str = "asc", digits: int = 12) -> DataFrame:
     """query_id, rank, chunk_id, score, source_path, chunk_index of the first ``limit`` chunks of each query; ties (scores equal to ``digits`` digits) by path, chunk_index, chunk_id.
 
-    Paths decide ties, so a narrow table of keys is joined before the cut; contents are joined to hits only.
+    Scores are cut first, with all that tie with the last; only these meet the paths that decide ties. Contents are joined to hits only.
     """
     keys = rows.select("chunk_id", "source_path", "chunk_index")
     score = F.round("score", digits)
-    order: list[Column] = [score.asc() if best == "asc" else score.desc(), F.col("source_path"), F.col("chunk_index"), F.col("chunk_id")]
-    w = Window.partitionBy("query_id").orderBy(*order)
-    ranked = scores.join(keys, "chunk_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    by_score: Column = score.asc() if best == "asc" else score.desc()
+    first = scores.withColumn("_tied", F.rank().over(Window.partitionBy("query_id").orderBy(by_score))).filter(F.col("_tied") <= limit).drop("_tied")
+    w = Window.partitionBy("query_id").orderBy(by_score, F.col("source_path"), F.col("chunk_index"), F.col("chunk_id"))
+    ranked = first.join(keys, "chunk_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     return ranked.select("query_id", "rank", "chunk_id", "score", "source_path", "chunk_index")
 
 
-def search(index: DataFrame, lengths: DataFrame, rows: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def search(index: DataFrame, corpus: tuple[int, int], rows: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """The lexical hits of each query."""
-    return top_hits(bm25_scores(index, lengths, queries), rows, limit)
+    return top_hits(bm25_scores(index, corpus, queries), rows, limit)

@@ -111,6 +111,10 @@ def still_current(new: DataFrame, chunks: DataFrame, existing: DataFrame) -> Dat
     return new.join(same, ["chunk_id", "content"], "left_semi").join(existing.select("chunk_id"), "chunk_id", "left_anti")
 
 
+class BrokenModel(RuntimeError):
+    """Raised by a model that can't embed anything any more; the run stops instead of trying the rest."""
+
+
 def embed(chunks: DataFrame, inputs: str, model: Callable[[list[str]], np.ndarray], batch: int = 8) -> DataFrame:
     """id, vector, error: the model's vector of each text, in batches of ``batch`` sorted by length; a batch that fails is tried text by text, and a text that fails alone gets an error instead of a vector. The model is any function from texts to rows of numbers; it is shipped to the workers, so it should load what it needs on first use."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
@@ -125,10 +129,14 @@ def embed(chunks: DataFrame, inputs: str, model: Callable[[list[str]], np.ndarra
                 try:
                     for i, v in zip(rows, model(b[inputs].iloc[rows].tolist())):
                         vectors[i] = np.asarray(v, np.float32)
+                except BrokenModel:
+                    raise
                 except Exception:  # noqa: BLE001 - any failure of a foreign model
                     for i in rows:
                         try:
                             vectors[i] = np.asarray(model([b[inputs].iloc[i]])[0], np.float32)
+                        except BrokenModel:
+                            raise
                         except Exception as e:  # noqa: BLE001
                             errors[i] = f"{type(e).__name__}: {e}"
             yield pd.DataFrame({"id": b["id"], "vector": vectors, "error": errors})

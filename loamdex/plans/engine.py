@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 
 from loamdex.functions import scoring, text
 from loamdex.functions.counters import BasicCounter
+from loamdex.functions.progress import progress_text
 from loamdex.operators import chunking, hybrid, incremental, lexical, semantic, snippets
 from loamdex.session import materialise
 from loamdex.sources import files as source
-from loamdex.sources.config import Config
-from loamdex.sources.storage import IndexAccessError, Snapshot, SnapshotStore
+from loamdex.sources.config import CONFIG_NAME, Config
+from loamdex.sources.storage import BUCKETS, IndexAccessError, Snapshot, SnapshotStore, StorageFailure, storage_failure
 
 Model = Callable[[list[str]], np.ndarray]
+#: Problems that a result shows (``Engine.problems`` has all), chunks of a page of embeddings, and pages that may fail in a row.
+SHOWN, PAGE, FAILING = 1000, 1_000_000, 3
 FILES = "source_path string, document_type string, content_hash string, byte_size long, chunking_fingerprint string"
 CHUNKS = "id long, file_id long, chunk_index int, content string, start_line int, end_line int, heading_path array<string>, attributes map<string,string>, source_path string, document_type string, stable_id string"
 VECTORS = "chunk_id long, source_path string, fingerprint string, vector array<float>"
 
 
 class QueryError(ValueError):
-    """Why a query can't be answered: an input problem (BLANK, NUL, TOO_LONG, LIMIT, TOO_MANY_PARTS) or a missing prerequisite (EMBEDDINGS_MISSING, EMBEDDINGS_OUTDATED, EMBEDDING_FAILED)."""
+    """Why a query can't be answered: an input problem (BLANK, NUL, TOO_LONG, LIMIT, TOO_MANY_PARTS) or a missing prerequisite (EMBEDDINGS_MISSING, EMBEDDINGS_OUTDATED, then MODEL_MISSING, EMBEDDING_FAILED)."""
 
     def __init__(self, reason: str, message: str = ""):
         super().__init__(message or reason)
@@ -39,7 +42,7 @@ class Cancelled(Exception):
 
 @dataclass
 class IndexResult:
-    """``issues`` shows at most 1,000 problem paths and 100 failed embeddings; the counts are exact and ``Engine.problems`` has all of them."""
+    """``issues`` shows at most SHOWN problem paths and SHOWN failed embeddings; the counts are exact and ``Engine.problems`` has all of them."""
 
     status: str
     counts: dict[str, int] = field(default_factory=dict)
@@ -54,6 +57,8 @@ class IndexResult:
     issues: list[tuple[str, str]] = field(default_factory=list)
     timings_ms: dict[str, int] = field(default_factory=dict)
     version: int | None = None
+    #: Why the embedding ended before all chunks were tried (INVALID_MODEL, INFERENCE_FAILED); None if it did not.
+    stopped: str | None = None
 
 
 @dataclass
@@ -71,15 +76,15 @@ class QueryResult:
 class Engine:
     """An index of one project.
 
-    ``model`` maps texts to rows of numbers and is needed only for the semantic side; ``profile`` says what made its vectors. ``counter`` counts tokens for chunk budgets.
+    ``model`` maps texts to rows of numbers and is needed only for the semantic side; ``profile`` says what made its vectors. ``counter`` counts tokens for chunk budgets. ``buckets`` is how many parts a new index is split into by files.
     """
 
-    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, counter=None, model: Model | None = None, profile: text.EmbeddingProfile | None = None, store: str | None = None, overrides: dict | None = None):
+    def __init__(self, spark: SparkSession, root: str, config: Config | None = None, counter=None, model: Model | None = None, profile: text.EmbeddingProfile | None = None, store: str | None = None, overrides: dict | None = None, buckets: int = BUCKETS):
         self.spark, self.root, self.config = spark, root, config or Config()
         self.counter, self.model, self.profile, self.overrides = counter or BasicCounter(), model, profile, overrides
         c = self.counter
         self.identity = text.ChunkingIdentity(c.algorithm, c.vocabulary_sha256, c.vocabulary_size, c.max_input_tokens, c.special_tokens, self.config.max_tokens, self.config.overlap_tokens)
-        self.store = SnapshotStore(spark, store or f"{root}/{self.config.store}", root)
+        self.store = SnapshotStore(spark, store or f"{root}/{self.config.store}", root, buckets=buckets)
         self.cancelled = False
         #: kind (file or embedding), source_path, chunk_id, problem of every file and embedding that failed in the last run; None before the first.
         self.problems: DataFrame | None = None
@@ -111,96 +116,131 @@ class Engine:
         fine = found.filter("problem is null")
         return scan, found, snapshot, stored, incremental.decisions(fine, stored, self.identity.fingerprint())
 
-    def _scope(self, target: str | None) -> str:
-        if not target or target.rstrip("/") == self.root.rstrip("/"):
-            return ""
-        return target[len(self.root.rstrip("/")) + 1 :].rstrip("/")
+    def _gone(self, target: str | None, stored: DataFrame, seen: DataFrame, bad: int, issues: int) -> DataFrame:
+        """The stored files below the target that are really gone."""
+        path = F.col("source_path")
+        wanted = text.admitted(path, list(self.config.include), list(self.config.exclude)) | (text.file_name(path) == CONFIG_NAME)
+        return source.vanished(incremental.deletions(stored, seen, bad, issues, wanted), self.root, (target or self.root).rstrip("/"), self.config)
 
     def preview(self, target: str | None = None) -> dict:
         """What ``index`` would do, without writing: files and chunks by decision, with estimates where chunks aren't known, and deletions."""
-        self.store.create()
+        self._open()
         scan, found, snapshot, stored, decided = self._plan(target)
         bad = found.filter("problem is not null").count()
         counts = (snapshot.table("chunks") if snapshot else self._empty(CHUNKS)).groupBy("source_path").agg(F.count(F.lit(1)).alias("chunks"))
         totals = incremental.preview_totals(decided, found.select("source_path", "document_type", "byte_size"), counts)
-        gone = incremental.deletions(stored, self._seen(scan), self._scope(target), bad, len(scan.issues))
+        gone = self._gone(target, stored, found, bad, len(scan.issues))
         return {"decisions": {r.decision: {"files": r.files, "chunks": r.chunks, "estimated": r.estimated} for r in totals.collect()}, "rejected": bad, "deleted": gone.count(), "issues": scan.issues}
 
-    def _seen(self, scan: source.Scan) -> DataFrame:
-        return self.spark.createDataFrame([(f,) for f in scan.files], "source_path string")
+    def _open(self) -> None:
+        self.store.create(lambda old: {n: old[n] for n in ("files", "chunks", "vectors")} | self._derived(old["chunks"]))
+
+    def _derived(self, chunks: DataFrame) -> dict[str, DataFrame]:
+        """Postings and lengths of chunks. Texts are split by chunk once; their tokens are not shuffled before they are grouped."""
+        rows = self._rows(chunks).repartition("chunk_id")
+        return {"postings": lexical.postings(rows), "lengths": lexical.chunk_lengths(rows, "file_id")}
+
+    def _buckets(self, *frames: DataFrame) -> list[int]:
+        """The buckets of the rows' files, at most as many as the index has."""
+        found: set[int] = set()
+        for df in frames:
+            found |= {r.b for r in df.select(self.store.bucket(df.columns).alias("b")).distinct().collect()}
+        return sorted(found)
 
     def index(self, target: str | None = None, progress: Callable[[str, int], None] | None = None) -> IndexResult:
         """Brings the index up to date with the files below ``target``.
 
-        Unchanged files never reach Python again; rejected ones keep their stored version; vanished ones go only if everything could be scanned and read. All tables of a run take effect together.
+        Unchanged files never reach Python again, and buckets without a changed file are neither read nor written; rejected files keep their stored version; vanished ones go only if everything could be scanned and read, and only if they are still gone when the run writes. Files, chunks and postings take effect together; vectors follow page by page. Failures of the storage are ``StorageFailure`` with their class.
         """
+        try:
+            return self._index(target, progress)
+        except (StorageFailure, IndexAccessError):
+            raise
+        except Exception as e:
+            if (reason := storage_failure(e)) != "OTHER":
+                raise StorageFailure(reason, str(e)) from e
+            raise
+
+    def _index(self, target: str | None, progress: Callable[[str, int], None] | None) -> IndexResult:
         self.cancelled, result, began = False, IndexResult("COMPLETE"), time.monotonic()
-        self.store.create()
+        self._open()
         try:
             scan, found, old, stored, decided = self._plan(target)
             began = self._step("discover", result, began, progress)
             decided = materialise(decided, "decided")
             result.counts = {r.decision: r.files for r in incremental.run_counters(decided).collect()}
-            problems = [(r.source_path, r.problem) for r in found.filter("problem is not null").select("source_path", "problem").orderBy("source_path").limit(1000).collect()]
+            problems = [(r.source_path, r.problem) for r in found.filter("problem is not null").select("source_path", "problem").orderBy("source_path").limit(SHOWN).collect()]
             numbers = {r.problem: r["count"] for r in found.groupBy("problem").count().collect() if r.problem}
             result.rejected = sum(n for p, n in numbers.items() if p in source.REJECTED)
             result.failed = sum(n for p, n in numbers.items() if p in source.FAILED)
             result.issues = [*scan.issues, *problems]
             result.issue_count = len(scan.issues) + sum(numbers.values())
             self.problems = found.filter("problem is not null").select(F.lit("file").alias("kind"), "source_path", F.lit(None).cast("long").alias("chunk_id"), "problem")
-            gone = incremental.deletions(stored, self._seen(scan), self._scope(target), sum(numbers.values()), len(scan.issues))
-            result.deleted = gone.count()
+            gone = materialise(self._gone(target, stored, found, sum(numbers.values()), len(scan.issues)), "gone")
             began = self._step("decide", result, began, progress)
             changed = found.join(decided.filter("decision <> 'UNCHANGED'").select("source_path"), "source_path", "left_semi")
-            work = sum(n for d, n in result.counts.items() if d != "UNCHANGED") + result.deleted
-            fingerprint = self.identity.fingerprint()
-            old_chunks, old_vectors = (old.table(n) if old else self._empty(s) for n, s in (("chunks", CHUNKS), ("vectors", VECTORS)))
-            if self.profile:
-                result.discarded_vectors = old_vectors.filter(F.col("fingerprint") != self.profile.fingerprint()).count()
-                old_vectors = old_vectors.filter(F.col("fingerprint") == self.profile.fingerprint())
-            if work:
-                new_files = changed.select("source_path", "document_type", "content_hash", "byte_size", F.lit(fingerprint).alias("chunking_fingerprint"))
-                cut = chunking.chunk_documents(changed, self.identity.budget, self.config.overlap_tokens, self.counter, self.overrides)
-                ids = {"id": F.xxhash64("source_path", "chunk_index", F.lit(fingerprint)), "file_id": F.xxhash64("source_path"), "stable_id": text.stable_id(F.col("source_path"), F.col("chunk_index"), F.lit(fingerprint))}
-                new_chunks = materialise(cut.withColumns(ids).select(*[n.split()[0] for n in CHUNKS.split(", ")]), "chunks")
-                touched = new_files.select("source_path").union(gone.select("source_path")).distinct()
-                files = incremental.replace_files(stored, new_files, gone)
-                chunks = materialise(old_chunks.join(touched, "source_path", "left_anti").unionByName(new_chunks), "chunks")
-                vectors = old_vectors.join(touched, "source_path", "left_anti")
-            else:
-                files, chunks, vectors = stored, old_chunks, old_vectors
-            result.chunks = chunks.count()
+            work = sum(n for d, n in result.counts.items() if d != "UNCHANGED")
+            gone = materialise(source.vanished(gone, self.root, (target or self.root).rstrip("/"), self.config), "gone")
+            result.deleted = gone.count()
+            snapshot = old
+            if work or result.deleted or old is None:
+                snapshot = self._replace(changed, gone, old)
+            result.chunks = snapshot.totals()[0]
             began = self._step("chunk", result, began, progress)
+            if self.profile:
+                snapshot, result.discarded_vectors = self._discard(snapshot)
             if self.model and self.profile and self.config.semantic:
-                vectors, result.embedded, errors = self._backfill(chunks, vectors)
-                self.problems = self.problems.unionByName(errors)
-                result.failed_embeddings = errors.count()
-                result.issue_count += result.failed_embeddings
-                result.issues += [(r.kind, f"{r.source_path}, chunk {r.chunk_id}: {r.problem}") for r in errors.orderBy("source_path", "chunk_id").limit(100).collect()]
+                snapshot, errors = self._backfill(snapshot, result, progress)
+                if errors is not None:
+                    self.problems = self.problems.unionByName(errors)
+                    result.failed_embeddings = errors.count()
+                    result.issue_count += result.failed_embeddings
+                    result.issues += [(r.kind, f"{r.source_path}, chunk {r.chunk_id}: {r.problem}") for r in errors.orderBy("source_path", "chunk_id").limit(SHOWN).collect()]
                 began = self._step("embed", result, began, progress)
-            if work or result.embedded or result.discarded_vectors or old is None:
-                rows = self._rows(chunks)
-                index = lexical.postings(rows).repartition("term").sortWithinPartitions("term", "chunk_id")
-                snapshot = self.store.commit({"files": files, "chunks": chunks, "postings": index, "lengths": lexical.chunk_lengths(rows), "vectors": vectors})
-                result.version = snapshot.number
-            else:
-                result.version = old.number
-            self._step("write", result, began, progress)
+            result.version = snapshot.number
         except Cancelled:
             return IndexResult("CANCELLED", timings_ms=result.timings_ms)
         except Exception:
             if self.cancelled:
                 return IndexResult("CANCELLED", timings_ms=result.timings_ms)
             raise
-        result.status = "PARTIAL" if result.issues else "COMPLETE"
+        result.status = "PARTIAL" if result.issues or result.stopped else "COMPLETE"
         return result
 
+    def _replace(self, changed: DataFrame, gone: DataFrame, old: Snapshot | None) -> Snapshot:
+        """The next version, in which changed files replace their old rows and vanished ones have none; only the buckets of these files are read and written."""
+        fingerprint = self.identity.fingerprint()
+        new_files = changed.select("source_path", "document_type", "content_hash", "byte_size", F.lit(fingerprint).alias("chunking_fingerprint"))
+        touched = self._buckets(new_files, gone)
+
+        def kept(name: str, schema: str) -> DataFrame:
+            return old.table(name, touched) if old and name in old.schemas else self._empty(schema)
+
+        cut = chunking.chunk_documents(changed, self.identity.budget, self.config.overlap_tokens, self.counter, self.overrides)
+        ids = {"id": F.xxhash64("source_path", "chunk_index", F.lit(fingerprint)), "file_id": F.xxhash64("source_path"), "stable_id": text.stable_id(F.col("source_path"), F.col("chunk_index"), F.lit(fingerprint))}
+        new_chunks = cut.withColumns(ids).select(*[n.split()[0] for n in CHUNKS.split(", ")])
+        paths = new_files.select("source_path").union(gone.select("source_path")).distinct()
+        files = incremental.replace_files(incremental.checked_removal(kept("files", FILES), gone), new_files, gone)
+        chunks = materialise(kept("chunks", CHUNKS).join(paths, "source_path", "left_anti").unionByName(new_chunks), "chunks")
+        vectors = kept("vectors", VECTORS).join(paths, "source_path", "left_anti")
+        tables = {"files": files, "chunks": chunks, "vectors": vectors} | self._derived(chunks)
+        return self.store.commit(tables, {n: touched for n in tables} if old else None, old)
+
+    def _discard(self, snapshot: Snapshot) -> tuple[Snapshot, int]:
+        """A version without vectors of other profiles; the number of those it lacks."""
+        vectors, mine = snapshot.table("vectors"), F.col("fingerprint") == self.profile.fingerprint()
+        lost = vectors.filter(~mine).count()
+        return (self.store.commit({"vectors": vectors.filter(mine)}, base=snapshot) if lost else snapshot), lost
+
     def _rows(self, chunks: DataFrame) -> DataFrame:
         return chunks.select(F.col("id").alias("chunk_id"), "file_id", "chunk_index", "content", F.array_join("heading_path", " ").alias("headings"), "source_path", "start_line", "end_line")
 
-    def _backfill(self, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, int, DataFrame]:
-        fingerprint, counter = self.profile.fingerprint(), self.counter
-        todo = semantic.unembedded(chunks, vectors, fingerprint)
+    def _backfill(self, snapshot: Snapshot, result: IndexResult, progress: Callable[[str, int], None] | None) -> tuple[Snapshot, DataFrame | None]:
+        """Embeds the chunks without a vector, in pages of whole buckets of about PAGE chunks. Each page is a version of its own, so a run that stops leaves only the rest for the next one.
+
+        A chunk that can't be embedded is reported and skipped. A model that says it is broken, or FAILING pages in a row of which nothing could be embedded, end the embedding; the pages before stand.
+        """
+        fingerprint, counter, size = self.profile.fingerprint(), self.counter, self.profile.dimensions
 
         @F.pandas_udf("string")
         def inputs(path, headings, content):
@@ -208,16 +248,47 @@ class Engine:
 
             return pd.Series([chunking.embedding_input(p, list(h), c, counter) for p, h, c in zip(path, headings, content)])
 
-        texts = todo.select("id", "source_path", inputs("source_path", "heading_path", "content").alias("input"))
-        made = materialise(semantic.embed(texts, "input", self.model), "embedded")
-        size = self.profile.dimensions
-        fine = F.coalesce((F.size("vector") == size) & F.forall("vector", lambda x: ~F.isnan(x)), F.lit(False))
-        good = made.filter(fine)
-        new = good.join(todo.select("id", "source_path"), "id").select(F.col("id").alias("chunk_id"), "source_path", F.lit(fingerprint).alias("fingerprint"), "vector")
-        problem = F.coalesce("error", F.lit(f"no vector of {size} numbers")).alias("problem")
-        bad = made.filter(~fine).join(chunks.select("id", "source_path").distinct(), "id")
-        errors = materialise(bad.select(F.lit("embedding").alias("kind"), "source_path", F.col("id").alias("chunk_id"), problem), "errors")
-        return vectors.unionByName(new), good.count(), errors
+        missing = semantic.unembedded(snapshot.table("chunks").select("id", "file_id"), snapshot.table("vectors"), fingerprint)
+        sizes = {r.b: r["count"] for r in missing.groupBy(self.store.bucket(["file_id"]).alias("b")).count().orderBy("b").collect()}
+        pages: list[list[int]] = []
+        held = PAGE
+        for b, n in sizes.items():
+            if held >= PAGE:
+                pages, held = [*pages, []], 0
+            pages[-1].append(b)
+            held += n
+        failed, tried, errors, began = 0, 0, None, time.monotonic()
+        for page in pages:
+            if self.cancelled:
+                raise Cancelled
+            chunks, vectors = snapshot.table("chunks", page), snapshot.table("vectors", page)
+            todo = semantic.unembedded(chunks, vectors, fingerprint)
+            texts = todo.select("id", "source_path", inputs("source_path", "heading_path", "content").alias("input"))
+            try:
+                made = materialise(semantic.embed(texts, "input", self.model), "embedded")
+            except Exception as e:
+                if semantic.BrokenModel.__name__ not in str(e):
+                    raise
+                result.stopped = "INVALID_MODEL"
+                break
+            fine = F.coalesce((F.size("vector") == size) & F.forall("vector", lambda x: ~F.isnan(x)), F.lit(False))
+            paths = chunks.select("id", "source_path").distinct()
+            new = made.filter(fine).join(paths, "id").select(F.col("id").alias("chunk_id"), "source_path", F.lit(fingerprint).alias("fingerprint"), "vector")
+            problem = F.coalesce("error", F.lit(f"no vector of {size} numbers")).alias("problem")
+            bad = materialise(made.filter(~fine).join(paths, "id").select(F.lit("embedding").alias("kind"), "source_path", F.col("id").alias("chunk_id"), problem), "errors")
+            errors = bad if errors is None else errors.unionByName(bad)
+            done = made.filter(fine).count()
+            if done:
+                snapshot = self.store.commit({"vectors": vectors.unionByName(new)}, {"vectors": page}, snapshot)
+                result.embedded += done
+            failed, tried = 0 if done else failed + 1, tried + sum(sizes[b] for b in page)
+            if progress:
+                spent = time.monotonic() - began
+                progress(progress_text("embedding", tried, sum(sizes.values()), spent, "chunk"), int(1000 * spent))
+            if failed == FAILING:
+                result.stopped = "INFERENCE_FAILED"
+                break
+        return snapshot, errors
 
     # Asking
 
@@ -231,13 +302,16 @@ class Engine:
             raise QueryError("TOO_MANY_PARTS")
         snapshot = self.store.current()
         result = QueryResult([], mode, "lexical" if mode == "auto" else mode, warnings=list(self.config.warnings))
-        if snapshot is None or snapshot.table("chunks").isEmpty():
+        if snapshot is None or not snapshot.totals()[0]:
             return result
         vector = None
         if mode != "lexical":
             try:
                 result.coverage = self._coverage(snapshot)
                 vector = self._embed_query(words)
+                most = self.profile.max_input_tokens - self.counter.special_tokens
+                if self.counter.count(words) > most:
+                    result.notices.append("QUERY_CUT_TO_MODEL_INPUT")
                 result.effective_mode = "hybrid" if mode == "auto" else mode
             except QueryError as e:
                 if mode != "auto":
@@ -253,7 +327,8 @@ class Engine:
         if result.effective_mode in ("lexical", "hybrid"):
             if problem.n > text.MAX_PARTS:
                 result.notices.append("LEXICAL_SIDE_SKIPPED")
-            scores = lexical.bm25_scores(snapshot.table("postings"), snapshot.table("lengths"), asked, many=False)
+            found = lexical.wanted_terms(snapshot.table("postings"), problem.phrases)
+            scores = lexical.bm25_scores(found, snapshot.totals(), asked, many=False)
             lex = lexical.top_hits(scores, keys, depth)
         if vector is not None:
             near = snapshot.table("vectors").filter(F.col("fingerprint") == self.profile.fingerprint())
@@ -278,7 +353,7 @@ class Engine:
 
     def _embed_query(self, words: str) -> np.ndarray:
         if not self.model:
-            raise QueryError("EMBEDDING_FAILED", "no model is given")
+            raise QueryError("MODEL_MISSING", "no model is given")
         try:
             vector = np.asarray(self.model([words])[0], np.float64)
         except Exception as e:
@@ -302,7 +377,7 @@ class Engine:
         if snapshot is None:
             raise IndexAccessError("NOT_FOUND", "nothing is indexed yet")
         keys = snapshot.table("chunks").select(F.col("id").alias("chunk_id"), "source_path", "chunk_index")
-        return lexical.top_hits(lexical.bm25_scores(snapshot.table("postings"), snapshot.table("lengths"), queries), keys, limit)
+        return lexical.top_hits(lexical.bm25_scores(snapshot.table("postings"), snapshot.totals(), queries), keys, limit)
 
 
 def result_json(result: QueryResult | IndexResult | dict) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,16 +61,53 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return lexical.index_rows(table(spark, d, "chunks"), table(spark, d, "files"))
 
 
-def _search(spark: SparkSession, d: str, queries: DataFrame, limit: int = 10, many: bool = True) -> DataFrame:
-    rows = materialise(_rows(spark, d), "rows")
-    index = materialise(lexical.postings(rows), "postings")
-    lengths = lexical.chunk_lengths(rows)
-    hits = lexical.top_hits(lexical.bm25_scores(index, lengths, queries, many), rows, limit, digits=9)
+@dataclass(frozen=True)
+class _Index:
+    """What searches need of a data directory: rows without texts, postings sorted by term, (chunks, tokens)."""
+
+    rows: DataFrame
+    postings: DataFrame
+    totals: tuple[int, int]
+
+
+def build_index(spark: SparkSession, d: str) -> _Index:
+    rows = _rows(spark, d)
+    postings = lexical.postings(rows).hint("rebalance").sortWithinPartitions("term", "chunk_id")
+    return _Index(materialise(rows, "rows"), materialise(postings, "postings"), lexical.totals(lexical.chunk_lengths(rows)))
+
+
+_indexes: dict[tuple[str, str], _Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> _Index:
+    """The index of a data directory, built by the first search of a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = build_index(spark, d)
+    return _indexes[key]
+
+
+def _search(spark: SparkSession, d: str, queries: DataFrame, limit: int = 10) -> DataFrame:
+    index = _index(spark, d)
+    hits = lexical.top_hits(lexical.bm25_scores(index.postings, index.totals, queries), index.rows, limit, digits=9)
     return hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def _one(spark: SparkSession, d: str, words: str) -> DataFrame:
-    return _search(spark, d, spark.createDataFrame([(0, words)], "query_id long, text string"), many=False)
+    index = _index(spark, d)
+    asked = spark.createDataFrame([(0, words)], "query_id long, text string")
+    found = lexical.wanted_terms(index.postings, asked.select(text.phrases(F.col("text")).alias("p")).first().p)
+    hits = lexical.top_hits(lexical.bm25_scores(found, index.totals, asked, many=False), index.rows, 10, digits=9)
+    return hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"with {ROWS_SQL}, cols as (select chunk_id, {TOK_SQL % 'content'} a, {TOK_SQL % 'source_path'} b from rows), t as (select chunk_id, unnest(list_concat(list_distinct(a), list_distinct(b))) term from cols) select (select count(*) from rows) n_rows, (select sum(len(a) + len(b))::bigint from cols) total_tokens, count(*) n_postings, count(distinct term) n_terms from t")
+def lexical_index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Builds the whole index anew and counts what it holds."""
+    index = build_index(spark, d)
+    rows, tokens = index.totals
+    counts = index.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("term").alias("n_terms"))
+    return counts.select(F.lit(rows).cast("long").alias("n_rows"), F.lit(tokens).cast("long").alias("total_tokens"), "n_postings", "n_terms")
 
 
 @query(f"select doc_id, unnest({TOK_SQL % 'text'}) term, unnest(range(len({TOK_SQL % 'text'}))) pos from documents")
@@ -391,6 +429,15 @@ def deleted_files(spark: SparkSession, d: str) -> DataFrame:
     return incremental.deletions(stored, found).select("source_path")
 
 
+@query(f"""with {_STATE_SQL} select source_path from st where source_path not in (select source_path from found)
+and regexp_matches(lower(source_path), '\\.(txt|rst|adoc|md|markdown|java|kt|kts|py|pyi|js|jsx|mjs|cjs|ts|tsx|mts|cts|c|h|cc|cpp|cxx|hh|hpp|hxx|cs|go|rs|rb|php|swift|sh|bash|zsh|ps1|psm1|bat|cmd|sql|css|scss|sass|less|json|jsonc|yaml|yml|toml|ini|cfg|properties|xml)$|(^|/)(readme|license|licence|notice|changelog|authors|contributing|dockerfile|containerfile|makefile|jenkinsfile)$')
+and not regexp_matches(lower(source_path), '(^|/)(target|build|dist|out|node_modules|\\.gradle|\\.venv|venv|__pycache__|\\.pytest_cache|\\.mypy_cache|\\.next)/|\\.min\\.(js|css)$|\\.map$|(^|/)(package-lock\\.json|npm-shrinkwrap\\.json|yarn\\.lock|pnpm-lock\\.yaml|bun\\.lockb?|composer\\.lock|cargo\\.lock|poetry\\.lock|uv\\.lock|pipfile\\.lock|gemfile\\.lock|gradle\\.lockfile|\\.env(\\..*)?)$')""")
+def deleted_files_of_admitted_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Stored files that were not found and that the default settings look for; excluded ones were not looked for and stay."""
+    found, stored, _ = _state(spark, d)
+    return incremental.deletions(stored, found, wanted=text.admitted(F.col("source_path"))).select("source_path")
+
+
 @query(f"with {_STATE_SQL} select source_path, h content_hash from found")
 def replace_files_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """The manifest after the run: found files replace stored ones, vanished ones are removed."""
@@ -516,10 +563,9 @@ def _shown(spark: SparkSession, d: str) -> DataFrame:
 
     import pandas as pd
 
-    queries = table(spark, d, "search_queries")
-    rows = materialise(_rows(spark, d), "rows")
-    index = materialise(lexical.postings(rows), "postings")
-    hits = lexical.search(index, lexical.chunk_lengths(rows), rows, queries, 3)
+    queries, built = table(spark, d, "search_queries"), _index(spark, d)
+    rows = built.rows
+    hits = lexical.search(built.postings, built.totals, rows, queries, 3)
     asked = queries.dropDuplicates(["query_id"]).select("query_id", text.phrases(F.col("text")).alias("phrases"))
     full = hits.join(rows.select("chunk_id", "content", "start_line", "end_line"), "chunk_id").join(asked, "query_id")
 
@@ -548,11 +594,11 @@ def hits_json(spark: SparkSession, d: str) -> DataFrame:
     return _shown(spark, d).groupBy("query_id").agg(body.alias("json"))
 
 
-@query(f"with {_VECTORS_SQL} select distinct id chunk_id from chunks where id % 3 = 0 and content is not null and id not in (select chunk_id from v where profile_id = 1)")
+@query(f"with {_VECTORS_SQL} select distinct id chunk_id from chunks where content is not null and id not in (select chunk_id from v where profile_id = 1)")
 def stale_content_guard(spark: SparkSession, d: str) -> DataFrame:
     """New vectors count only for chunks that still have the content they were made from and no vector yet."""
     chunks = table(spark, d, "chunks")
-    new = chunks.filter("id % 3 = 0").select(F.col("id").alias("chunk_id"), "content").distinct()
+    new = chunks.select(F.col("id").alias("chunk_id"), "content").distinct()
     return semantic.still_current(new, chunks, _vectors(spark, d).filter("profile_id = 1")).select("chunk_id")
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,17 +86,19 @@ def _issue(e: OSError) -> str:
     return "PERMISSION_DENIED" if isinstance(e, PermissionError) else "NOT_FOUND" if isinstance(e, FileNotFoundError) else "IO_ERROR"
 
 
-def scan(root: str, target: str, config: Config, strict: bool = False) -> Scan:
-    """Regular files below ``target`` that the settings and ignore files admit. Symbolic links are never followed; whole excluded and ignored folders are skipped; an ignore file that can't be read skips its folder. ``strict``: any issue is an error."""
-    out = Scan()
-    wanted, unwanted = (re.compile(text.globs_regex(list(g))) if g else None for g in (config.include, config.exclude))
-    pruned = [g[:-3] for g in config.exclude if g.endswith("/**")]
-    cut = re.compile(text.globs_regex(pruned)) if pruned else None
+class _Tree:
+    """What the settings and ignore files below one root say of paths."""
+
+    def __init__(self, root: str, config: Config):
+        self.root, self.issues = root, []
+        self.wanted, self.unwanted = (re.compile(text.globs_regex(list(g))) if g else None for g in (config.include, config.exclude))
+        pruned = [g[:-3] for g in config.exclude if g.endswith("/**")]
+        self.cut = re.compile(text.globs_regex(pruned)) if pruned else None
 
-    def relative(path: str) -> str:
-        return os.path.relpath(path, root).replace(os.sep, "/") if path != root else ""
+    def relative(self, path: str) -> str:
+        return os.path.relpath(path, self.root).replace(os.sep, "/") if path != self.root else ""
 
-    def rules_of(folder: str) -> IgnoreRules | None:
+    def rules_of(self, folder: str) -> IgnoreRules | None:
         path = os.path.join(folder, ".gitignore")
         if not os.path.lexists(path):
             return IgnoreRules(())
@@ -103,61 +106,161 @@ def scan(root: str, target: str, config: Config, strict: bool = False) -> Scan:
             with open(path, encoding="utf-8", errors="replace") as f:
                 return IgnoreRules.parse(f.read())
         except OSError as e:
-            out.issues.append((relative(path), _issue(e)))
+            self.issues.append((self.relative(path), _issue(e)))
             return None
 
-    def ignored(stack: list[tuple[str, IgnoreRules]], path: str, is_dir: bool) -> bool:
+    def ignored(self, stack: list[tuple[str, IgnoreRules]], path: str, is_dir: bool) -> bool:
         for base, rules in reversed(stack):
             said = rules.decide(path[len(base) + 1 :] if base else path, is_dir)
             if said is not None:
                 return said
         return False
 
-    def skipped(path: str, stack: list) -> bool:
+    def skipped(self, path: str, stack: list) -> bool:
         name = path.rsplit("/", 1)[-1]
-        return name in (".git", STATE_DIR) or bool(cut and cut.match(path.lower())) or ignored(stack, path, True)
+        return name in (".git", STATE_DIR) or bool(self.cut and self.cut.match(path.lower())) or self.ignored(stack, path, True)
+
+    def admits(self, path: str) -> bool:
+        low = path.lower()
+        return (not self.wanted or bool(self.wanted.match(low))) and not (self.unwanted and self.unwanted.match(low))
+
+
+def is_config(path: str) -> bool:
+    return path.rsplit("/", 1)[-1] == CONFIG_NAME
+
+
+def scan(root: str, target: str, config: Config, strict: bool = False) -> Scan:
+    """Regular files below ``target`` that the settings and ignore files admit. Symbolic links are never followed; whole excluded and ignored folders are skipped; an ignore file that can't be read skips its folder. ``strict``: any issue is an error."""
+    out, tree = Scan(), _Tree(root, config)
+    out.issues = tree.issues
 
     def visit(folder: str, stack: list[tuple[str, IgnoreRules]]) -> None:
-        rules = rules_of(folder)
+        rules = tree.rules_of(folder)
         if rules is None:
             return
-        stack = [*stack, (relative(folder), rules)]
+        stack = [*stack, (tree.relative(folder), rules)]
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError as e:
-            out.issues.append((relative(folder), _issue(e)))
+            out.issues.append((tree.relative(folder), _issue(e)))
             return
         for e in entries:
-            path = relative(e.path)
+            path = tree.relative(e.path)
             if e.is_dir(follow_symlinks=False):
-                if not skipped(path, stack):
+                if not tree.skipped(path, stack):
                     visit(e.path, stack)
-            elif e.is_file(follow_symlinks=False) and path != CONFIG_NAME and not ignored(stack, path, False):
-                low = path.lower()
-                if (not wanted or wanted.match(low)) and not (unwanted and unwanted.match(low)):
-                    out.files.append(path)
+            elif e.is_file(follow_symlinks=False) and not is_config(path) and not tree.ignored(stack, path, False) and tree.admits(path):
+                out.files.append(path)
 
     stack: list[tuple[str, IgnoreRules]] = []
     start = target if os.path.isdir(target) else os.path.dirname(target)
-    steps = relative(start).split("/") if start != root else []
+    steps = tree.relative(start).split("/") if start != root else []
     here = root
     for k, step in enumerate(steps):
-        rules = rules_of(here)
+        rules = tree.rules_of(here)
         if rules is None:
             return out
-        stack.append((relative(here), rules))
+        stack.append((tree.relative(here), rules))
         here = os.path.join(here, step)
-        if skipped("/".join(steps[: k + 1]), stack):
+        if tree.skipped("/".join(steps[: k + 1]), stack):
             return out
     visit(start, stack)
     if not os.path.isdir(target):
-        out.files = [f for f in out.files if f == relative(target)]
+        out.files = [f for f in out.files if f == tree.relative(target)]
     out.files.sort()
     if strict and out.issues:
         raise OSError(f"{out.issues[0][0]}: {out.issues[0][1]}")
     return out
 
 
+class Vanished:
+    """Tells which stored paths are gone from below a target, as opposed to being excluded, ignored or replaced by something else. Listings are kept as long as the object."""
+
+    def __init__(self, root: str, target: str, config: Config):
+        self.tree, self.root, self.scope = _Tree(root, config), root, os.path.relpath(target, root).replace(os.sep, "/") if target != root else ""
+        self.names: dict[str, set[str]] = {}
+        self.rules: dict[str, IgnoreRules | None] = {}
+
+    def _spelled(self, path: str) -> os.stat_result | None:
+        """The attributes of a path if an entry of exactly that spelling is there; the target and what lies above it keep the spelling they were called by."""
+        full = os.path.join(self.root, path)
+        try:
+            found = os.lstat(full)
+        except (FileNotFoundError, NotADirectoryError):
+            return None
+        if not (self.scope + "/").startswith(path + "/"):
+            folder = os.path.dirname(full)
+            if folder not in self.names:
+                self.names[folder] = set(os.listdir(folder))
+            if os.path.basename(full) not in self.names[folder]:
+                return None
+        return found
+
+    def in_scope(self, path: str) -> bool:
+        """Below the target, or below a folder of another spelling that is the same one."""
+        if not self.scope:
+            return True
+        if path == self.scope:
+            return False  # a target that is a file by itself was looked at by the scan
+        if path.startswith(self.scope + "/"):
+            return True
+        steps, depth = path.split("/"), self.scope.count("/") + 1
+        if len(steps) <= depth:
+            return False
+        here = self.root
+        try:
+            for s in steps[:depth]:
+                here = os.path.join(here, s)
+                if not stat.S_ISDIR(os.lstat(here).st_mode):
+                    return False
+            return os.path.samefile(here, os.path.join(self.root, self.scope))
+        except OSError:
+            return False
+
+    def __call__(self, path: str) -> bool:
+        """A settings file never counts as stored content, so it goes in any case."""
+        if not self.in_scope(path):
+            return False
+        if is_config(path):
+            return True
+        if not self.tree.admits(path):
+            return False
+        steps, stack, gone = path.split("/"), [], False
+        for k in range(len(steps)):
+            folder = "/".join(steps[:k])
+            if folder and self.tree.skipped(folder, stack):
+                return False
+            if folder and not gone:
+                found = self._spelled(folder)
+                if found is None:
+                    if (self.scope + "/").startswith(folder + "/"):
+                        raise FileNotFoundError(folder)
+                    gone = True
+                elif not stat.S_ISDIR(found.st_mode):
+                    return False
+            if not gone:
+                if folder not in self.rules:
+                    self.rules[folder] = self.tree.rules_of(os.path.join(self.root, folder))
+                if self.rules[folder] is None:
+                    return False
+                stack.append((folder, self.rules[folder]))
+        if self.tree.ignored(stack, path, False):
+            return False
+        return gone or self._spelled(path) is None
+
+
+def vanished(candidates: DataFrame, root: str, target: str, config: Config) -> DataFrame:
+    """The rows of stored files (source_path, ...) that are really gone, looked up where the tasks run; what is excluded, ignored, or now a folder or link stays."""
+    schema = candidates.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = Vanished(root, target, config)
+        for b in batches:
+            yield b.filter(pa.array([gone(p) for p in b.column("source_path").to_pylist()], pa.bool_()))
+
+    return candidates.mapInArrow(run, schema)
+
+
 def read_one(path: str, most: int) -> tuple[bytes | None, int, str | None]:
     """(bytes, size, problem) of a file; read again once if it changed meanwhile."""
     for _ in range(2):

@@ -1,15 +1,19 @@
 import json
 import os
+import shutil
 
 import numpy as np
 import pytest
 
 from loamdex.cli import main
 from loamdex.functions.text import EmbeddingProfile
+from loamdex.operators import lexical, semantic
+from loamdex.plans import engine as engine_module
 from loamdex.plans.engine import Engine, QueryError, hit_text, result_json, score_text
 from loamdex.sources.config import Config, ConfigError, find_project, parse_config, write_default
-from loamdex.sources.files import IgnoreRules, admit, load, read_one, scan, stored_files
-from loamdex.sources.storage import IndexAccessError, SnapshotStore
+from loamdex.sources import files as source_files
+from loamdex.sources.files import IgnoreRules, Vanished, admit, load, read_one, scan, stored_files
+from loamdex.sources.storage import IndexAccessError, SnapshotStore, StorageFailure, storage_failure
 
 FILES = {
     "docs/guide.md": "# Guide\n\nThe payment retry policy waits.\n\n## Limits\n\nRetries stop after five tries. Ödeme yapılır.\n",
@@ -137,12 +141,175 @@ def test_store_refuses_what_is_not_its_own(spark, tmp_path):
     with pytest.raises(IndexAccessError) as x:
         s.current()
     assert x.value.reason == "CORRUPT_INDEX"
-    s.folder.write("meta.json", '{"project": "p", "format": 99}')
+    s.folder.write("meta-000099", '{"project": "p", "format": 99}')
     with pytest.raises(IndexAccessError) as x:
         s.current()
     assert x.value.reason == "INCOMPATIBLE"
 
 
+def test_a_pointer_is_never_missing(spark, tmp_path, monkeypatch):
+    s = SnapshotStore(spark, str(tmp_path / "s"), "p")
+    s.create()
+    s.commit({"files": spark.range(3)})
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr("loamdex.sources.storage.Folder.write", die)
+        with pytest.raises(KeyboardInterrupt):
+            s.commit({"files": spark.range(9)})
+    assert s.current().number == 1 and s.current().table("files").count() == 3
+    with monkeypatch.context() as m:
+        m.setattr(SnapshotStore, "_tidy", die)
+        with pytest.raises(KeyboardInterrupt):
+            s.commit({"files": spark.range(5)})
+    base = s.current()
+    assert base.number == 2 and base.table("files").count() == 5
+    s.commit({"files": spark.range(6)}, base=base)
+    with pytest.raises(StorageFailure) as x:
+        s.commit({"files": spark.range(7)}, base=base)
+    assert x.value.reason == "BUSY" and s.current().table("files").count() == 6
+    for n in range(12):
+        s.commit({"files": spark.range(n)})
+    kept = s.folder.names()
+    assert s.current().table("files").count() == 11 and sum(n.startswith("CURRENT-") for n in kept) == s.keep
+    assert not any(n in kept for n in ("v000001", "v000005", "CURRENT-000001"))
+
+
+def test_a_changed_file_rewrites_its_bucket_only(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i}.txt").write_text(f"words of file {i} about payment")
+    e = Engine(spark, str(tmp_path), buckets=16)
+    e.index()
+    (tmp_path / "f3.txt").write_text("zebra crossing")
+    e.index()
+    now = e.store.current()
+    own = e._buckets(spark.createDataFrame([("f3.txt",)], "source_path string"))
+    assert {b for b, v in now.buckets["postings"].items() if v == 2} == {str(own[0])} and now.number == 2
+    assert now.totals() == (30, now.table("lengths").agg({"n_tokens": "sum"}).first()[0])
+    assert [h["source_path"] for h in e.query("zebra", mode="lexical").hits] == ["f3.txt"] and len(e.query("payment", limit=100, mode="lexical").hits) == 29
+    plan = lexical.wanted_terms(now.table("postings"), [["zebra"]])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,zebra)" in plan or "In(term, [zebra])" in plan
+
+
+def test_an_index_of_the_format_before_is_migrated(spark, project):
+    e = Engine(spark, str(project))
+    e.index()
+    now, old = e.store.current(), project / "old"
+    for n in ("files", "chunks", "postings", "lengths", "vectors"):
+        now.table(n).write.parquet(str(old / "v000003" / n))
+    (old / "meta.json").write_text(json.dumps({"project": str(project), "format": 1}))
+    (old / "CURRENT").write_text("3")
+    f = Engine(spark, str(project), store=str(old))
+    with pytest.raises(IndexAccessError) as x:
+        f.query("payment", mode="lexical")
+    assert x.value.reason == "MIGRATION_REQUIRED" and storage_failure(x.value) == "INCOMPATIBLE"
+    again = f.index()
+    assert again.counts == {"UNCHANGED": 5} and again.version == 4 and not (old / "CURRENT").exists() and not (old / "v000003").exists()
+    assert [h["source_path"] for h in f.query("payment", mode="lexical").hits] == [h["source_path"] for h in e.query("payment", mode="lexical").hits]
+
+
+def test_only_what_is_really_gone_is_removed(spark, project):
+    for n in ("a/x.txt", "a/y.txt", "b/z.txt", "B2/w.txt", "conf/loamdex.toml", "k/link.txt", "k/dir.txt", "gone/deep/u.txt"):
+        (project / n).parent.mkdir(parents=True, exist_ok=True)
+        (project / n).write_text("payment")
+    e = Engine(spark, str(project))
+    assert e.index().counts == {"NEW": 12}
+
+    def left():
+        return {r.source_path for r in e.store.current().table("files").collect()}
+
+    stored = left()
+    assert "conf/loamdex.toml" not in stored
+    e.config = Config(exclude=(*Config().exclude, "a/**"))
+    assert e.index().deleted == 0
+    os.remove(project / "a" / "x.txt")  # excluded by now: nobody looked for it
+    assert e.index().deleted == 0 and left() == stored
+    e.config = Config()
+    assert e.index().deleted == 1 and left() == stored - {"a/x.txt"}
+    (project / ".gitignore").write_text("y.txt\n")
+    assert e.index().deleted == 0
+    os.remove(project / "k" / "link.txt")
+    os.remove(project / "k" / "dir.txt")
+    os.symlink(project / "notes.txt", project / "k" / "link.txt")
+    (project / "k" / "dir.txt").mkdir()
+    assert e.index().deleted == 0
+    os.rename(project / "B2" / "w.txt", project / "B2" / "W.txt")
+    shutil.rmtree(project / "gone")
+    os.remove(project / "b" / "z.txt")
+    part = e.index(str(project / "b"))
+    assert part.deleted == 1 and "gone/deep/u.txt" in left()
+    done = e.index()
+    assert done.deleted == 2 and {"B2/W.txt"} == {p for p in left() if p.startswith("B2")} and "gone/deep/u.txt" not in left()
+    config = Vanished(str(project), str(project), Config())
+    assert config("sub/loamdex.toml") and not config("notes.txt") and config("nowhere/n.txt") and not config("k/link.txt")
+
+
+def test_a_path_that_comes_back_before_the_write_stays(spark, project, monkeypatch):
+    e = Engine(spark, str(project))
+    e.index()
+    os.remove(project / "notes.txt")
+    real, calls = source_files.vanished, []
+
+    def late(candidates, *more):
+        calls.append(1)
+        if len(calls) == 2:
+            (project / "notes.txt").write_text("back again")
+        return real(candidates, *more)
+
+    monkeypatch.setattr(source_files, "vanished", late)
+    assert e.index().deleted == 0 and len(calls) == 2
+
+
+def test_classes_of_storage_failures(spark, tmp_path):
+    cases = {"DISK_FULL": OSError(28, "x"), "READ_ONLY": PermissionError(13, "x"), "IO_ERROR": OSError(5, "x"), "BUSY": FileExistsError(17, "x"), "CORRUPT": RuntimeError("a.parquet is not a Parquet file"), "OTHER": ValueError("x"), "WRONG_PROJECT": IndexAccessError("WRONG_PROJECT", "x")}
+    assert {k: storage_failure(e) for k, e in cases.items()} == {k: k for k in cases}
+    (tmp_path / "a.txt").write_text("words")
+    e = Engine(spark, str(tmp_path))
+    e.index()
+    for f in (tmp_path / ".loamdex" / "index" / "v000001" / "files").rglob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / ".loamdex").rglob(".*.crc"):
+        f.unlink()
+    (tmp_path / "b.txt").write_text("words")
+    with pytest.raises(StorageFailure) as x:
+        e.index()
+    assert x.value.reason == "CORRUPT"
+    assert main(["index", str(tmp_path)], spark) == 1
+
+
+def test_embedding_in_pages(spark, tmp_path, monkeypatch):
+    for i in range(24):
+        (tmp_path / f"f{i}.txt").write_text(f"words {i}")
+    monkeypatch.setattr(engine_module, "PAGE", 1)
+    good, lines = toy_model(), []
+
+    def breaks(texts):
+        if any("f7.txt" in t for t in texts):
+            raise semantic.BrokenModel("gone")
+        return good(texts)
+
+    e = Engine(spark, str(tmp_path), Config(semantic=True), model=breaks, profile=PROFILE, buckets=8)
+    part = e.index(progress=lambda name, _: lines.append(name))
+    assert part.status == "PARTIAL" and part.stopped == "INVALID_MODEL" and part.embedded < 24 and part.chunks == 24
+    e.model = good
+    rest = e.index(progress=lambda name, _: lines.append(name))
+    assert rest.status == "COMPLETE" and rest.embedded == 24 - part.embedded and any(x.startswith("embedding: ") for x in lines)
+    for i in range(24):
+        (tmp_path / f"f{i}.txt").write_text(f"other words {i}")
+
+    def fails(texts):
+        raise ValueError("refused")
+
+    e.model = fails
+    none = e.index()
+    assert none.stopped == "INFERENCE_FAILED" and none.embedded == 0 and 0 < none.failed_embeddings < 24
+    e.model = good
+    long = e.query("word " * 60 + "end " * 60 + "word " * 150, mode="hybrid") if e.index().embedded == 24 else None
+    assert "QUERY_CUT_TO_MODEL_INPUT" in long.notices
+
+
 def test_scan_rules(project):
     (project / ".gitignore").write_text("*.log\nsecret/\n!keep.log\ndocs/*.tmp.md\n")
     (project / "docs" / ".gitignore").write_text("guide.md\n!deep/\n")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loamdex.functions.progress import duration_text, progress_text
 from loamdex.functions import scoring, text
 from loamdex.operators import evaluate, hybrid, incremental, lexical, semantic
 from loamdex.operators.snippets import snippet
@@ -73,7 +74,7 @@ def test_identities(spark):
 
 def index_of(spark, rows):
     df = spark.createDataFrame([(i, i, 0, *r, 1, 1) for i, r in enumerate(rows)], "chunk_id long, file_id long, chunk_index int, content string, headings string, source_path string, start_line int, end_line int")
-    return df, lexical.postings(df), lexical.chunk_lengths(df)
+    return df, lexical.postings(df), lexical.totals(lexical.chunk_lengths(df))
 
 
 def test_scores_equal_full_text_search(spark):
@@ -97,6 +98,9 @@ def test_scores_equal_full_text_search(spark):
             for rowid, score in con.execute("select rowid, bm25(t, 1, 1, 1) from t where t match ?", (expression,)):
                 want[i, rowid] = score
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    one = spark.createDataFrame([(3, queries[3])], "query_id long, text string")
+    few = lexical.wanted_terms(index, one.select(text.phrases(F.col("text")).alias("p")).first().p)
+    assert {r.chunk_id: r.score for r in lexical.bm25_scores(few, lengths, one, many=False).collect()} == pytest.approx({k[1]: s for k, s in want.items() if k[0] == 3})
     top = lexical.search(index, lengths, df, asked, 3)
     for r in top.collect():
         better = [k for k, s in want.items() if k[0] == r.query_id and s < want[r.query_id, r.chunk_id] - 1e-9]
@@ -110,7 +114,7 @@ def test_index_of_nulls_and_nothing(spark):
     assert [r.chunk_id for r in rows.collect()] == [1] and {r.term for r in lexical.postings(rows).collect()} == {"a", "md"}
     empty = lexical.index_rows(chunks.limit(0), files)
     asked = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (2, None)], "query_id long, text string")
-    assert lexical.search(lexical.postings(empty), lexical.chunk_lengths(empty), empty, asked, 5).count() == 0
+    assert lexical.search(lexical.postings(empty), lexical.totals(lexical.chunk_lengths(empty)), empty, asked, 5).count() == 0
     stats = lexical.corpus_stats(lexical.chunk_lengths(empty)).first()
     assert stats.n_rows == 0 and stats.total_tokens == 0
 
@@ -189,7 +193,7 @@ def test_decisions_and_snapshots(spark):
     got = {r.source_path: r.decision for r in incremental.decisions(found, stored, "f").collect()}
     assert got == {"a": "UNCHANGED", "b": "CHANGED", "c": "RECHUNKED", "n": "NEW", "sub/e": "RECHUNKED"}
     assert [r.source_path for r in incremental.deletions(stored, found).collect()] == ["d"]
-    assert incremental.deletions(stored, found, rejected=1).count() == 0 == incremental.deletions(stored, found, issues=1).count() == incremental.deletions(stored, found, "sub").count()
+    assert incremental.deletions(stored, found, rejected=1).count() == 0 == incremental.deletions(stored, found, issues=1).count() == incremental.deletions(stored, found, wanted=F.col("source_path") != "d").count()
     new = found.filter("source_path in ('b', 'n')").withColumn("chunking_fingerprint", F.lit("f"))
     after = {r.source_path: r.content_hash for r in incremental.replace_files(stored, new, incremental.deletions(stored, found)).collect()}
     assert after == {"a": "AA", "b": "xx", "c": "cc", "n": "nn", "sub/e": "ee"}
@@ -199,6 +203,21 @@ def test_decisions_and_snapshots(spark):
         incremental.checked_removal(stored, spark.createDataFrame([("a", "ZZ")], "source_path string, content_hash string")).collect()
 
 
+def test_fusion_refuses_what_does_not_fit(spark):
+    side, q = "query_id long, rank int, chunk_id long, source_path string, chunk_index int", spark.createDataFrame([(1, "IDENTIFIER")], "query_id long, shape string")
+    lex, sem = spark.createDataFrame([(1, 1, 5, "a", 0), (1, 2, 6, "b", 0)], side), spark.createDataFrame([(1, 1, 6, "b", 0)], side)
+    assert [r.chunk_id for r in hybrid.fuse(lex, sem, q, 5).orderBy("rank").collect()] == [5, 6]
+    for bad, said in ((spark.createDataFrame([(1, 1, 6, "c", 0)], side), "different positions"), (spark.createDataFrame([(1, 1, 6, "b", 0), (1, 2, 6, "b", 0)], side), "twice")):
+        with pytest.raises(Exception, match=said):
+            hybrid.fuse(lex, bad, q, 5).collect()
+
+
+def test_progress_as_text():
+    assert [duration_text(x) for x in (0.04, 9.99, 12.7, 60, 185, 3600, 7500)] == ["0.0 s", "10.0 s", "12 s", "1 min", "3 min 5 s", "1 h", "2 h 5 min"]
+    assert progress_text("embedding", 500, 2000, 20, "chunk") == "embedding: 500 of 2,000 chunks, 25 chunks/s, about 1 min left"
+    assert progress_text("x", 1, 1, 0.2, "file") == "x: 1 of 1 file" and progress_text("x", 1, 3, 2, "file") == "x: 1 of 3 files, 0.5 files/s, about 4 s left"
+
+
 def test_coverage(spark):
     chunks = spark.createDataFrame([(i, i % 2, "c") for i in range(6)] + [(0, 0, "c")], "id long, file_id long, content string")
     vectors = spark.createDataFrame([(0, "f"), (1, "g"), (2, "f"), (2, "g")], "chunk_id long, fingerprint string")

@@ -51,7 +51,7 @@ Fits = Callable[[int, int], bool]
 
 
 def _furthest(places: list[int], first: int, fits: Callable[[int], bool]) -> int | None:
-    """The furthest fitting place from index ``first``: probes grow by 1, 1, 2, 4, ... until one does not fit, then the gap is halved. None if the first does not fit. Counts need not be monotonic: only places that were seen to fit are returned."""
+    """The furthest fitting place from index ``first``: probes grow by 1, 2, 4, ... until one does not fit, then the gap is halved. None if the first does not fit. Counts need not be monotonic: only places that were seen to fit are returned."""
     if first >= len(places) or not fits(places[first]):
         return None
     good, step = first, 1
@@ -61,9 +61,7 @@ def _furthest(places: list[int], first: int, fits: Callable[[int], bool]) -> int
             return places[good]
         if not fits(places[probe]):
             break
-        if good != first:
-            step *= 2
-        good = probe
+        good, step = probe, 2 * step
     low, high = good, probe
     while high - low > 1:
         mid = (low + high) // 2

@@ -25,6 +25,69 @@ def test_known_cases():
     assert spans(c.markdown_pieces("```\n" + WORDS + "\n```", 4, 0)) == [(0, 4), (4, 23), (23, 44), (44, 47)]
 
 
+EIGHT, LINES, NUMBERS = [(0, 19, 1, 1, []), (8, 28, 1, 1, []), (19, 39, 1, 1, [])], "one two\nthree four\nfive six", "one\ntwo\nthree\nfour\nfive"
+BLANK = " \t\r\n\u00a0 \u2003"
+# Texts, model budgets (two tokens are special), overlaps and the chunks they must give: UTF-16 offsets, lines, titles.
+CASES = {
+    "text/empty": ("", 32, 0, []),
+    "text/whitespace": (BLANK, 32, 0, []),
+    "text/turkish-unicode": ("İstanbul, ıslak çığ; 😀 e\u0301.\n", 64, 0, [(0, 28, 1, 1, [])]),
+    "text/lf": (LINES, 6, 0, [(0, 19, 1, 2, []), (19, 27, 3, 3, [])]),
+    "text/crlf": (LINES.replace("\n", "\r\n"), 6, 0, [(0, 21, 1, 2, []), (21, 29, 3, 3, [])]),
+    "text/oversized-overlap": (WORDS, 6, 2, EIGHT),
+    "text/paragraphs": ("One. Two.\n \nThree four five six seven eight.", 10, 0, [(0, 12, 1, 2, []), (12, 44, 3, 3, [])]),
+    "source/empty": ("", 32, 0, []),
+    "source/whitespace": (BLANK, 32, 0, []),
+    "source/turkish-unicode": ("// İstanbul 😀 e\u0301\n", 64, 0, [(0, 18, 1, 1, [])]),
+    "source/lf": (NUMBERS, 5, 0, [(0, 14, 1, 3, []), (14, 23, 4, 5, [])]),
+    "source/crlf": (NUMBERS.replace("\n", "\r\n"), 5, 0, [(0, 17, 1, 3, []), (17, 27, 4, 5, [])]),
+    "source/oversized-overlap": (WORDS, 6, 2, EIGHT),
+    "source/line-overlap": (NUMBERS, 5, 1, [(0, 14, 1, 3, []), (8, 23, 3, 5, [])]),
+    "source/dedent": ("first\n    nested\nend\nlast\nextra", 6, 0, [(0, 17, 1, 2, []), (17, 31, 3, 5, [])]),
+    "markdown/empty": ("", 32, 0, []),
+    "markdown/whitespace": (BLANK, 32, 0, []),
+    "markdown/turkish-unicode": ("# Başlık 😀\nİstanbul, ıslak çığ.\n", 64, 0, [(0, 33, 1, 2, ["Başlık 😀"])]),
+    "markdown/oversized-overlap": (WORDS, 6, 2, EIGHT),
+    "markdown/headings-lf": ("# Root\nintro\n## Child\n- one\n- two", 64, 0, [(0, 33, 1, 5, ["Root"])]),
+    "markdown/headings-crlf": ("# Root\r\nintro\r\n## Child\r\n- one\r\n- two", 64, 0, [(0, 37, 1, 5, ["Root"])]),
+    "markdown/fenced-code": ("# Root\n\n```java\nint value = 1;\n```\n", 64, 0, [(0, 35, 1, 5, ["Root"])]),
+    "markdown/oversized-fence": ("```\n" + WORDS + "\n```", 6, 0, [(0, 4, 1, 1, []), (4, 23, 2, 2, []), (23, 44, 2, 2, []), (44, 47, 3, 3, [])]),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_cases_with_known_chunks(name):
+    text, budget, overlap, want = CASES[name]
+    kind = {"text": "PLAIN_TEXT", "source": "SOURCE_CODE", "markdown": "MARKDOWN"}[name.split("/")[0]]
+    rows = c.chunk_document("f", kind, text, budget - 2, overlap)
+    assert [(int(a["startOffset"]), int(a["endOffset"]), first, last, titles) for _, _, _, _, first, last, titles, a in rows] == want
+    wide = text.encode("utf-16-le")
+    assert [r[3] for r in rows] == [wide[2 * a : 2 * b].decode("utf-16-le") for a, b, *_ in want]
+
+
+# Pieces of the public uncased vocabulary with their ids, and texts with the ids they must give.
+PIECES = {"[PAD]": 0, "[UNK]": 100, "[CLS]": 101, "[SEP]": 102, "[MASK]": 103, "&": 1004, "'": 1005, "(": 1006, ")": 1007, ",": 1010, "-": 1011, ".": 1012, "1": 1015, ";": 1025, "?": 1029, "!": 999, '"': 1000, "hello": 7592, "world": 2088, "payment": 7909, "validation": 27354, "runs": 3216, "before": 2077, "the": 1996, "order": 2344, "is": 2003, "confirmed": 4484, "cafe": 7668, "naive": 15743, "resume": 13746, "angstrom": 17076, "facade": 8508, "##s": 2015, "tab": 21628, "and": 1998, "new": 2047, "lines": 3210, "around": 2105, "token": 19204, "appear": 3711, "as": 2004, "text": 3793, "first": 2034, "second": 2117, "third": 2353, "fourth": 2959, "deploy": 21296, "succeeded": 4594, "wait": 3524, "what": 2054, "really": 2428, "yes": 2748, "quoted": 9339, "single": 2309}
+ENCODED = {
+    "": [101, 102],
+    "hello world": [101, 7592, 2088, 102],
+    "Payment validation runs before the order is confirmed.": [101, 7909, 27354, 3216, 2077, 1996, 2344, 2003, 4484, 1012, 102],
+    "PaYmEnT VALIDATION Runs": [101, 7909, 27354, 3216, 102],
+    "Wait... what?! (Really) -- yes; \"quoted\" & 'single'.": [101, 3524, 1012, 1012, 1012, 2054, 1029, 999, 1006, 2428, 1007, 1011, 1011, 2748, 1025, 1000, 9339, 1000, 1004, 1005, 2309, 1005, 1012, 102],
+    "  tabs\tand\nnew lines\r\n  around  ": [101, 21628, 2015, 1998, 2047, 3210, 2105, 102],
+    "the [SEP] token and [CLS] appear as text": [101, 1996, 102, 19204, 1998, 101, 3711, 2004, 3793, 102],
+    "first\u2028second\u2029third\u3000fourth": [101, 2034, 2117, 2353, 2959, 102],
+    "deploy 🚀 succeeded ✅": [101, 21296, 100, 4594, 100, 102],
+}
+
+
+def test_word_pieces_with_known_ids(tmp_path):
+    by_id = {i: w for w, i in PIECES.items()}
+    (tmp_path / "vocab.txt").write_text("\n".join(by_id.get(i, f"[unused{i}]") for i in range(max(by_id) + 1)), encoding="utf-8")
+    w = WordPieceCounter(str(tmp_path / "vocab.txt"))
+    assert {t: w.encode(t) for t in ENCODED} == ENCODED
+    assert w.encode("payment validation " * 200) == [101, *[7909, 27354] * 127, 102]
+
+
 def test_markdown_sections_and_titles():
     text = "# A *b* `c`\n\n" + "word " * 60 + "\n\n## Sub\n\n" + "other " * 60 + "\n\nTop\n===\n\n" + "more " * 60 + "\n\n<!-- only -->\n"
     found = c.markdown_pieces(text, 80, 0)

@@ -128,7 +128,7 @@ class CorpusEncoder:
         return out
 
 
-def _slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Borders of runs of texts with about ``most`` characters each."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -154,7 +154,7 @@ def encode_corpus(df: DataFrame, text: str = "text", keep: list[str] | None = No
         encoder = CorpusEncoder(vocabulary)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in _slices(texts, 4 << 20):
+            for a, b in slices(texts, 4 << 20):
                 lists = encoder.encode(texts[a:b])
                 ids = pa.array(lists, pa.list_(pa.field("element", pa.int32(), False)))
                 part = batch.slice(a, b - a)

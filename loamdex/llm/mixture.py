@@ -1,6 +1,6 @@
 """Mixing sources to target shares of tokens.
 
-Every source's documents become one stream of tokens, packed into blocks of fixed length. Each output shard draws how many of its slots go to each source; slot k of a source takes the block that a pseudorandom permutation of the source's block numbers puts at place k, a new permutation for each pass over the source; blocks are joined by number.
+Documents are spread over buckets by a hash of their id, encoded there, and packed into blocks of a fixed number of tokens; what is left of a source in each bucket is packed again, so a source has at most one short block. All slots of the mixture are permuted as one sequence, which draws how many slots of each output shard go to each source (multinomially, without replacement, so totals and caps hold exactly); slot k of a source takes the block that a pseudorandom permutation of the source's block numbers puts at place k, a new permutation for each pass over the source; blocks are joined by number.
 """
 
 from __future__ import annotations
@@ -11,14 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.bpe import encode_corpus
+from loamdex.llm.bpe import TOKENIZERS, CorpusEncoder, slices
 from loamdex.session import materialise
 
-#: Tokens of a block; slots of an output shard; groups into which a source's documents are spread to sum up lengths.
-BLOCK, SHARD_SLOTS, BUCKETS = 512, 4096, 1024
+#: Tokens of a block; slots of an output shard; characters of a bucket of documents on average (their number follows from the corpus, so the mixture doesn't depend on the cluster).
+BLOCK, SHARD_SLOTS, BUCKET_CHARS = 512, 4096, 1 << 21
 #: Most sources a table of targets may list; targets and totals are planned on the driver.
 MAX_SOURCES = 10_000
 
@@ -55,21 +56,6 @@ def plan_sources(targets: list[tuple[str, float, float]], tokens: dict[str, int]
     return [SourcePlan(s, share, cap, tokens.get(s, 0), slots.get(s, 0)) for s, share, cap in targets]
 
 
-def draw_shards(plan: list[SourcePlan], seed: int) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first k, slots): multinomial draws without replacement, so that the shards together use each source's slots exactly."""
-    left = np.array([p.slots for p in plan], np.int64)
-    total = int(left.sum())
-    shards = max(1, -(-total // SHARD_SLOTS))
-    rng = np.random.default_rng(seed)
-    used, out = np.zeros(len(plan), np.int64), []
-    for shard in range(shards):
-        size = total * (shard + 1) // shards - total * shard // shards
-        drawn = left.copy() if shard == shards - 1 else rng.multivariate_hypergeometric(left, size, method="marginals")
-        out += [(shard, p.source, int(k), int(n)) for p, k, n in zip(plan, used, drawn) if n]
-        left, used = left - drawn, used + drawn
-    return out
-
-
 def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
     """Where a pseudorandom permutation of range(n), chosen by ``key``, puts each index: a Feistel network over the next even number of bits, walked until it is in range."""
     half = max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
@@ -88,24 +74,84 @@ def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _spread(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with ``at``, the tokens of their source before them, and the tokens of each source. Lengths are summed within buckets of a source and then over the buckets, so no source meets in one task."""
-    w = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
-    sums = encoded.groupBy("source", "bucket").agg(F.sum("n").alias("total"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0))).select("source", "bucket", "start")
-    placed = encoded.withColumn("_run", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(starts, ["source", "bucket"])
-    return placed.select("source", "doc_id", "ids", "n", (F.col("start") + F.col("_run") - F.col("n")).alias("at")), sums.groupBy("source").agg(F.sum("total").alias("tokens"))
+def packed(documents: DataFrame, buckets: int, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """source, bucket, at, ids: the blocks of each source in each bucket of (doc_id, source, text), numbered from 0; and what is left behind the last whole block, with ``at`` -1.
 
-
-def pack_blocks(placed: DataFrame) -> DataFrame:
-    """source, block_no, ids of each block: the source's stream cut at every BLOCK tokens; the last one may be shorter."""
-    first, last = F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("n") - 1) / BLOCK)
-    parts = placed.select("source", "at", "ids", F.explode(F.sequence(first, last)).alias("block_no"))
-    start = F.greatest(F.lit(0), F.col("block_no") * BLOCK - F.col("at"))
-    stop = F.least(F.size("ids").cast("long"), (F.col("block_no") + 1) * BLOCK - F.col("at"))
+    Texts are shuffled once, ids not at all. A source's documents follow each other by a hash of their id; a source of any size is spread over all buckets.
+    """
+    block, parts = BLOCK, min(buckets, max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = documents.withColumns({"bucket": F.pmod(F.xxhash64("doc_id"), F.lit(buckets)), "_order": F.xxhash64(F.lit(1), "doc_id")})
+    placed = placed.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket", "source", "_order", "doc_id", F.xxhash64("text"))
+    names = ["source", "bucket", "at", "ids"]
+
+    def rows(key: tuple[int, str], first: int, tokens: list[int], last: bool) -> tuple[pa.RecordBatch, list[int]]:
+        """The whole blocks of a run of tokens, and at its end the rest as well."""
+        whole = len(tokens) // block
+        lengths = [block] * whole
+        numbers = list(range(first, first + whole))
+        used = whole * block
+        if last and used < len(tokens):
+            lengths.append(len(tokens) - used)
+            numbers.append(-1)
+            used = len(tokens)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(tokens[:used], np.int32, used)))
+        n = len(numbers)
+        columns = [pa.array([key[1]] * n, pa.string()), pa.array([key[0]] * n, pa.int64()), pa.array(numbers, pa.int64()), ids]
+        return pa.RecordBatch.from_arrays(columns, names=names), tokens[used:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, key, first, held = CorpusEncoder(vocabulary), None, 0, []
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts, 4 << 20):
+                for k, ids in zip(keys[a:b], encoder.encode(texts[a:b])):
+                    if k != key:
+                        if held:
+                            yield rows(key, first, held, True)[0]
+                        key, first, held = k, 0, []
+                    held += ids
+                    if len(held) >= 256 * block:
+                        made, held = rows(key, first, held, False)
+                        first += made.num_rows
+                        yield made
+        if held:
+            yield rows(key, first, held, True)[0]
+
+    return placed.select("bucket", "source", "text").mapInArrow(run, "source string, bucket long, at long, ids array<int>")
+
+
+def before(df: DataFrame, group: str, order: str, value: str, name: str, step: int = 4096) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over the group's rows of lower ``order`` (numbers from 0, one row each). Summed within steps and then over the steps, so no task sorts a whole group."""
+    rows = df.withColumn("_step", F.floor(F.col(order) / step))
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.groupBy(group, "_step").agg(F.sum(value).alias("_sum"))
+    starts = steps.withColumn("_start", F.coalesce(F.sum("_sum").over(upto.partitionBy(group).orderBy("_step")), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum(value).over(upto.partitionBy(group, "_step").orderBy(order)), F.lit(0))
+    return rows.withColumn(name, inside).join(starts, [group, "_step"]).withColumn(name, F.col(name) + F.col("_start")).drop("_step", "_start")
+
+
+def pack_rests(rests: DataFrame, block: int) -> DataFrame:
+    """source, at, ids: rests (source, bucket, ids), laid end to end by bucket and cut at every ``block`` tokens; the last piece may be shorter."""
+    placed = before(rests.select("source", "bucket", "ids", F.size("ids").cast("long").alias("n")), "source", "bucket", "n", "from")
+    first, last = F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("n") - 1) / block)
+    parts = placed.select("source", "from", "ids", F.explode(F.sequence(first, last)).alias("at"))
+    start = F.greatest(F.lit(0), F.col("at") * block - F.col("from"))
+    stop = F.least(F.size("ids").cast("long"), (F.col("at") + 1) * block - F.col("from"))
     cut = F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int"))
-    return parts.groupBy("source", "block_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", cut.alias("part")))), lambda x: x["part"])).alias("ids"))
+    return parts.groupBy("source", "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("from", cut.alias("part")))), lambda x: x["part"])).alias("ids"))
+
+
+def numbered_blocks(found: DataFrame, block: int) -> DataFrame:
+    """source, block_no, ids: whole blocks are numbered through the buckets of their source, those made of rests after them."""
+    whole, rests = found.filter("at >= 0"), found.filter("at < 0")
+    counts = whole.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = before(counts, "source", "bucket", "n", "start").select("source", "bucket", "start")
+    ends = counts.groupBy("source").agg(F.sum("n").alias("whole"))
+    one = whole.join(starts, ["source", "bucket"]).select("source", (F.col("start") + F.col("at")).alias("block_no"), "ids")
+    two = pack_rests(rests, block).join(ends, "source", "left").select("source", (F.coalesce("whole", F.lit(0)) + F.col("at")).alias("block_no"), "ids")
+    return one.unionByName(two)
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -115,38 +161,41 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total: int | No
 
     Sources are compared in one spelling (``source_name``); documents of unlisted, null or empty sources and null or empty texts take no part; a source listed without documents gets no share and is reported with 0. No source is used more than max_repeats times its tokens, no block more than max_repeats times rounded up. The same seed gives the same mixture. Empty tables give an empty mixture.
     """
-    spark = documents.sparkSession
+    spark, block, shard_slots = documents.sparkSession, BLOCK, SHARD_SLOTS
     listed = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).orderBy("source")
     rows = listed.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources are listed")
     names = [r.source for r in rows]
     chosen = documents.select("doc_id", source_name("source").alias("source"), "text").filter(F.col("source").isin(names) & (F.length("text") > 0))
-    encoded = encode_corpus(chosen, keep=["doc_id", "source"]).withColumn("n", F.size("ids").cast("long"))
-    encoded = materialise(encoded.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")), "encoded")
-    placed, totals = _spread(encoded)
-    tokens = {r.source: r.tokens for r in totals.collect()}
+    size = chosen.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    found = materialise(packed(chosen, max(1, -(-size // BUCKET_CHARS))), "blocks")
+    tokens = {r.source: r.tokens for r in found.groupBy("source").agg(F.sum(F.size("ids").cast("long")).alias("tokens")).collect()}
     plan = plan_sources([(r.source, r.target_share or 0.0, r.max_repeats or 0.0) for r in rows], tokens, total)
-    drawn = spark.createDataFrame(draw_shards(plan, seed), "shard int, source string, first long, slots long")
-    sizes = {p.source: p.blocks for p in plan}
+    used = [p for p in plan if p.slots]
+    ends, blocks = np.cumsum([p.slots for p in used]), [p.blocks for p in used]
+    slots, sources = int(ends[-1]) if used else 0, [p.source for p in used]
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for (source, turn), g in b.groupby(["source", "pass"]):
-                n = sizes[source]
-                yield pd.DataFrame({"shard": g["shard"], "k": g["k"], "source": source, "pass": turn, "block_no": permuted(g["k"].to_numpy() % n, n, f"{seed}/{source}/{turn}")})
-
-    n_blocks = F.create_map(*[F.lit(x) for s, n in sizes.items() if n for x in (s, n)]) if any(sizes.values()) else F.create_map().cast("map<string,int>")
-    slots = drawn.select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("k"))
-    slots = slots.withColumn("pass", F.floor(F.col("k") / F.element_at(n_blocks, F.col("source"))).cast("int"))
-    placed_slots = slots.mapInPandas(places, "shard int, k long, source string, pass int, block_no long")
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "source", "k"), "source", "k")
-    numbered = placed_slots.withColumn("slot", F.row_number().over(order))
-    mixture = numbered.join(pack_blocks(placed), ["source", "block_no"]).select("shard", "slot", "source", "block_no", "pass", "ids")
-
-    used = placed_slots.withColumn("n", F.least(F.lit(BLOCK), F.element_at(F.create_map(*[F.lit(x) for p in plan for x in (p.source, p.tokens)]) if plan else F.create_map().cast("map<string,long>"), F.col("source")) - F.col("block_no") * BLOCK)).groupBy("source").agg(F.sum("n").alias("used"))
+            g = b["id"].to_numpy()
+            which = np.searchsorted(ends, g, side="right")
+            place = permuted(g, slots, f"{seed}/slots")
+            for i in np.unique(which):
+                mine = which == i
+                k, n = g[mine] - (ends[i - 1] if i else 0), blocks[i]
+                turn = k // n
+                number = np.empty(len(k), np.int64)
+                for t in np.unique(turn):
+                    number[turn == t] = permuted(k[turn == t] % n, n, f"{seed}/{sources[i]}/{t}")
+                yield pd.DataFrame({"shard": place[mine] // shard_slots, "slot": place[mine] % shard_slots + 1, "source": sources[i], "block_no": number, "pass": turn})
+
+    drawn = spark.range(slots).mapInPandas(draw, "shard int, slot int, source string, block_no long, pass int")
+    mixture = drawn.join(numbered_blocks(found, block), ["source", "block_no"]).select("shard", "slot", "source", "block_no", "pass", "ids")
+
     known = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.tokens) for p in plan], "source string, target_share double, max_repeats double, tokens long")
-    shares = known.join(used, "source", "left").fillna(0, ["used"])
+    last = drawn.join(known.select("source", "tokens"), "source").select("source", F.least(F.lit(block), F.col("tokens") - F.col("block_no") * block).alias("n"))
+    shares = known.join(last.groupBy("source").agg(F.sum("n").alias("used")), "source", "left").fillna(0, ["used"])
     every = Window.partitionBy()  # one row a listed source
     shares = shares.select("source", "target_share", "max_repeats", "tokens", "used", (F.col("used") / F.nullif(F.sum("used").over(every), F.lit(0))).alias("actual_share"), (F.col("used") / F.nullif("tokens", F.lit(0))).alias("repeats"))
     return mixture, shares

@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.session import materialise
 
-#: Bytes of a range. Items of up to one range are read as one.
-RANGE_BYTES = 1 << 20
+#: Bytes of a range of a file, and of a value in a table, which is in memory as a whole and is only looked at in parts. They decide how the work is divided, never the pieces.
+FILE_RANGE, VALUE_RANGE = 1 << 20, 1 << 12
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[9, 10, 13, 32]] = 1
@@ -87,8 +88,8 @@ def plan_pieces(tokens: int, at: np.ndarray, lines: np.ndarray, max_tokens: int,
     return out
 
 
-def file_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Boundary tables of files on storage that all executors mount (id, path, byte_size): each range is read by itself, with one byte of halo, so no task and no table ever holds a whole file. Rows as of ``boundary_tables``, with id as file_id too and lines from 1."""
+def file_ranges(files: DataFrame, range_bytes: int = FILE_RANGE) -> DataFrame:
+    """Boundary tables of files (id, path, byte_size) on storage that all executors reach, by a plain path or a URI: each range is read by itself, with one byte of halo, so no task and no table ever holds a whole file. Rows as of ``boundary_tables``, with id as file_id too and lines from 1."""
     count = F.greatest(F.lit(1), F.ceil(F.col("byte_size") / range_bytes)).cast("int")
     spread = files.select("id", "path", count.alias("ranges"), F.explode(F.sequence(F.lit(0), count - 1)).alias("range_no"))
 
@@ -102,8 +103,13 @@ def file_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return spread.repartition(_partitions(files), "id", "range_no").mapInPandas(run, _TABLE)
 
 
+def _opened(path: str) -> pa.NativeFile:
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(name)
+
+
 def read_bytes(path: str, at: int, size: int) -> bytes:
-    with open(path, "rb") as f:
+    with _opened(path) as f:
         f.seek(at)
         return f.read(size)
 
@@ -112,14 +118,14 @@ def _partitions(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def split_files(files: DataFrame, max_tokens: int, overlap: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def split_files(files: DataFrame, max_tokens: int, overlap: int, range_bytes: int = FILE_RANGE) -> DataFrame:
     """chunk_id (the file's id), piece_no, start_line, end_line, n_tokens, start_byte, end_byte, text of each piece of each file with more than ``max_tokens`` tokens.
 
     Two passes over ranges, none over whole files: the first gives the boundary tables from which the pieces are planned; the second finds the bytes at which the pieces' first and last tokens lie, each within its own range. A piece is then read by its offsets. An empty file has no pieces; overlap below 0 is 0.
     """
     tables = materialise(file_ranges(files, range_bytes), "boundaries")
     limits = tables.withColumns({"max_tokens": F.lit(max_tokens), "overlap": F.lit(max(0, overlap))})
-    pieces = materialise(limits.groupBy("item").applyInPandas(_plan_ranges, _PIECES), "pieces")
+    pieces = materialise(_planned(limits), "pieces")
     before = Window.partitionBy("item").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = tables.select("item", "range_no", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
     wanted = pieces.select(F.col("chunk_id").alias("item"), F.explode(F.array("first_token", F.col("end_token") - 1)).alias("token")).distinct()
@@ -139,7 +145,7 @@ def split_files(files: DataFrame, max_tokens: int, overlap: int, range_bytes: in
                 yield pd.DataFrame(rows, columns=["item", "token", "start_byte", "end_byte"])
 
     paths = files.select(F.col("id").alias("item"), "path")
-    found = placed.join(paths, "item").mapInPandas(locate, "item long, token int, start_byte long, end_byte long")
+    found = placed.join(paths, "item").mapInPandas(locate, "item long, token long, start_byte long, end_byte long")
     first = found.select(F.col("item").alias("chunk_id"), F.col("token").alias("first_token"), "start_byte")
     last = found.select(F.col("item").alias("chunk_id"), (F.col("token") + 1).alias("end_token"), "end_byte")
     cut = pieces.join(first, ["chunk_id", "first_token"]).join(last, ["chunk_id", "end_token"]).join(files.select(F.col("id").alias("chunk_id"), "path"), "chunk_id")
@@ -155,7 +161,7 @@ def split_files(files: DataFrame, max_tokens: int, overlap: int, range_bytes: in
 
 def _token_end(path: str, at: int, step: int = 4096) -> int:
     """The byte behind the token that starts at a byte; a token may go on over any number of ranges."""
-    with open(path, "rb") as f:
+    with _opened(path) as f:
         f.seek(at)
         end = at
         while part := f.read(step):
@@ -169,7 +175,7 @@ def _token_end(path: str, at: int, step: int = 4096) -> int:
 _TABLE = "item long, file_id long, start_line int, range_no int, ranges int, tokens int, places array<int>, counts array<int>, breaks int"
 
 
-def boundary_tables(chunks: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def boundary_tables(chunks: DataFrame, range_bytes: int = VALUE_RANGE) -> DataFrame:
     """A row for each range of each chunk: see ``range_table``. Null content is no case."""
     body = F.encode("content", "UTF-8")
     sized = chunks.filter("content is not null and id is not null").select("id", "file_id", "start_line", body.alias("body"))
@@ -198,7 +204,7 @@ def newest_limits(profiles: DataFrame) -> DataFrame:
     return newest.select("file_id", F.col("p.max_tokens").alias("max_tokens"), F.greatest(F.coalesce(F.col("p.overlap_tokens"), F.lit(0)), F.lit(0)).alias("overlap")).filter("max_tokens >= 1")
 
 
-_PIECES = "chunk_id long, piece_no int, start_line int, end_line int, n_tokens int, first_token int, end_token int"
+_PIECES = "chunk_id long, piece_no int, start_line int, end_line int, n_tokens int, first_token long, end_token long"
 
 
 def _rows(item: int, start_line: int, tables: list, max_tokens: int, overlap: int) -> list[tuple]:
@@ -209,18 +215,27 @@ def _rows(item: int, start_line: int, tables: list, max_tokens: int, overlap: in
     return [(item, i, start_line + a, start_line + b, end - first, first, end) for i, (first, end, a, b) in enumerate(plan)]
 
 
-def _plan_ranges(b: pd.DataFrame) -> pd.DataFrame:
-    """The pieces of one item from the tables of its ranges."""
-    b = b.drop_duplicates("range_no").sort_values("range_no")
-    r = b.iloc[0]
-    return _frame(_rows(r["item"], r["start_line"], list(zip(b.tokens, b.places, b.counts, b.breaks)), r["max_tokens"], r["overlap"]))
+def _planned(tables: DataFrame) -> DataFrame:
+    """The pieces of items from the tables of their ranges (repeated rows count once), with limits: one row of a few bytes a line meets for each item."""
+    parts = F.array_sort(F.collect_set(F.struct("range_no", "tokens", "places", "counts", "breaks"))).alias("parts")
+    items = tables.groupBy("item").agg(*[F.min(c).alias(c) for c in ("start_line", "max_tokens", "overlap")], parts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for r in b.itertuples(index=False):
+                once = {p["range_no"]: (p["tokens"], p["places"], p["counts"], p["breaks"]) for p in r.parts}
+                rows += _rows(r.item, r.start_line, [once[n] for n in sorted(once)], r.max_tokens, r.overlap)
+            yield _frame(rows)
+
+    return items.mapInPandas(run, _PIECES)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk_id", "piece_no", "start_line", "end_line", "n_tokens", "first_token", "end_token"])
 
 
-def split_oversized(chunks: DataFrame, profiles: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def split_oversized(chunks: DataFrame, profiles: DataFrame, range_bytes: int = VALUE_RANGE) -> DataFrame:
     """chunk_id, piece_no, start_line, end_line, n_tokens, first_token, end_token: a row for each piece of each chunk with more tokens than its file's limit.
 
     Chunks of files without a profile are no cases; a null start_line counts as 1; repeated rows give their pieces once. Boundary tables are written once, so contents are read once; only these tables are shuffled and joined. The tables of a giant chunk's ranges meet to be stitched; they hold a few bytes a line.
@@ -236,8 +251,7 @@ def split_oversized(chunks: DataFrame, profiles: DataFrame, range_bytes: int = R
             yield _frame(rows)
 
     small = sized.filter("ranges = 1 and tokens > max_tokens").mapInPandas(whole, _PIECES)
-    giant = sized.filter("ranges > 1").groupBy("item").applyInPandas(_plan_ranges, _PIECES)
-    return small.unionByName(giant).distinct()
+    return small.unionByName(_planned(sized.filter("ranges > 1"))).distinct()
 
 
 def piece_texts(chunks: DataFrame, pieces: DataFrame) -> DataFrame:

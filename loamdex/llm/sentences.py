@@ -144,16 +144,13 @@ def _scan(s: str, skip: set[int]) -> tuple[list[int], list[int]]:
 
 
 def _sentences(s: str) -> Iterator[tuple[int, int]]:
-    """Borders of the sentences of one paragraph; a quote or bracket that is never closed is read as an ordinary character."""
-    skip: set[int] = set()
-    for _ in range(4):
-        ends, open_ = _scan(s, skip)
-        if not open_:
-            break
-        skip.update(open_)
-    else:
-        skip.update(m.start() for m in _EVENT.finditer(s) if m[0] in PAIRS or m[0] in "»›”」』)）]］}】》〉")
-        ends, _ = _scan(s, skip)
+    """Borders of the sentences of one paragraph; a quote or bracket that is never closed is read as an ordinary character.
+
+    Two scans always do: an opener that stays open has only such openers below it, so a scan without them sees the same marks on its stack, less these, and leaves none open.
+    """
+    ends, open_ = _scan(s, set())
+    if open_:
+        ends, _ = _scan(s, set(open_))
     at = 0
     for end in [*ends, len(s)]:
         a = _SPACE.match(s, at).end()

@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from loamdex.session import materialise
 
-#: Rows from which a group counts as heavy.
-HOT_ROWS = 50_000
+#: A group is heavy from this share of the rows that a shuffle partition holds on average; smaller groups than LEAST_HOT rows never are.
+HOT_SHARE, LEAST_HOT = 0.25, 256
 #: Most group hashes (8 bytes each) that are shipped with a task. All other groups hold less than 1/MAX_HOT of the rows, which an ordinary window spills and finishes.
 MAX_HOT = 4096
 
 
-def hot_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> list[int]:
-    """Hashes of the heaviest groups with at least ``hot_rows`` rows, from exact counts.
+def hot_hashes(df: DataFrame, keys: list[str], hot_rows: int | None = None, max_hot: int = MAX_HOT) -> list[int]:
+    """Hashes of the heaviest groups with at least ``hot_rows`` rows (default: by HOT_SHARE), from exact counts.
 
-    Counts are combined on the map side; at most ``max_hot`` numbers reach the driver. Two groups with one hash are only treated alike.
+    Groups and the whole are counted in one pass, combined on the map side; at most ``max_hot`` + 1 numbers reach the driver. Two groups with one hash are only treated alike. The threshold decides the way a group takes, never its rows.
     """
-    h = F.xxhash64(*keys).alias("_h")
-    counts = df.groupBy(h).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows)
-    return [r["_h"] for r in counts.orderBy(F.desc("_n"), "_h").limit(max_hot).collect()]
+    hashed = df.select(F.xxhash64(*keys).alias("_h"))
+    counts = hashed.rollup("_h").agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.orderBy(F.desc("_n"), F.asc_nulls_first("_h")).limit(max_hot + 1).collect()
+    rows = max((r["_n"] for r in most if r["_h"] is None), default=0)
+    if hot_rows is None:
+        hot_rows = max(LEAST_HOT, HOT_SHARE * rows / _partitions(df))
+    return [r["_h"] for r in most if r["_h"] is not None and r["_n"] >= hot_rows][:max_hot]
 
 
 def _split(df: DataFrame, keys: list[str], hot: list[int]) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +35,7 @@ def _split(df: DataFrame, keys: list[str], hot: list[int]) -> tuple[DataFrame, D
     return df.filter(is_hot), df.filter(~is_hot)
 
 
-def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, hot_rows: int | None = None) -> DataFrame:
     """The distinct rows of ``df`` that are among the first ``n`` of their group.
 
     ``order`` must end in columns that tell any two different rows apart, so that the result is the same each time; rows equal in all columns count once. A null key is a group of its own. ``n`` below 1 gives no rows, an empty input an empty result. ``df`` should hold only the columns wanted.
@@ -63,7 +67,7 @@ def _window_top(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     return df.withColumn("_rank", F.dense_rank().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def positions(df: DataFrame, keys: list[str], order: list[Column], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], order: list[Column], name: str, hot_rows: int | None = None) -> DataFrame:
     """``df`` with ``name``, each row's position from 1 within its group.
 
     Heavy groups are sorted by range; a row's position is its place in its range plus the rows of the ranges before, so no group has to fit one task. The ranged rows are written once, as two reads of an unwritten range sort could draw different borders.

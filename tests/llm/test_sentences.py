@@ -76,3 +76,20 @@ def test_names_are_told_by_their_whole_word():
         began = time.time()
         units(t)
         assert time.time() - began < 8, t[:20]
+
+
+def test_a_second_scan_leaves_nothing_open():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from loamdex.llm.sentences import _scan
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text(alphabet="a. !\"“”„«»‹›‘’()[]「」『』", max_size=60))
+    def check(s):
+        _, open_ = _scan(s, set())
+        assert _scan(s, set(open_))[1] == []
+
+    check()
+    deep = "".join("([{"[i % 3] + '"' for i in range(500)) + "one. Two. Three"
+    assert len(units(deep)) == 3

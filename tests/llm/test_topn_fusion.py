@@ -26,6 +26,18 @@ def test_top_n_hot_and_cold_groups_agree_with_brute_force(spark):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_the_threshold_follows_from_the_rows_of_a_partition(spark):
+    rows = [("hot", float(i), i) for i in range(3000)] + [(f"g{i % 90}", 1.0, i) for i in range(900)] + [(None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "g string, s double, i long")
+    hot = topn.hot_hashes(df, ["g"])
+    assert hot == [df.filter("g = 'hot'").select(F.xxhash64("g")).first()[0]]
+    assert topn.hot_hashes(df.filter("g <> 'hot'"), ["g"]) == topn.hot_hashes(df.limit(0), ["g"]) == []
+    best = topn.top_n_per_group(df, ["g"], [F.col("s"), F.col("i")], 2)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Union" in plan
+    assert {tuple(r) for r in best.collect()} == brute_top(rows, 2)
+
+
 def test_top_n_of_nothing_and_empty_tables(spark):
     df = spark.createDataFrame([], "g string, s double, i long")
     assert topn.top_n_per_group(df, ["g"], [F.col("s"), F.col("i")], 3).count() == 0

@@ -1,6 +1,6 @@
 """Telling hand-written source files from generated, minified and vendored ones and from data saved as code.
 
-Attribute files of repositories mark paths as generated or vendored; their patterns are resolved as version control does (the deepest directory wins, in a file the last matching line). For undeclared repositories equivalent patterns are mined: directory names and name endings whose files mostly show evidence in their texts, and directories named after packages that headers elsewhere name. Evidence in a file's own text counts by itself.
+Attribute files of repositories mark paths as generated or vendored; their patterns are resolved as version control does (the deepest directory wins, in a file the last matching line) and decide on the files they match. For undeclared repositories equivalent patterns are mined: directory names and name endings of which most files are declared elsewhere, show evidence in their texts, or lie in a directory named after a package that headers of copies name. Patterns that are usual elsewhere stand in only where a corpus holds too few such files to mine. Evidence in a file's own text counts by itself.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from loamdex.session import materialise
 
 #: Files a mined pattern needs, and the share of them that must show evidence.
-MIN_FILES, MIN_SHARE = 5, 0.7
+MIN_FILES, MIN_SHARE = 5, 0.5
 
-# Directories that by convention hold what others or tools wrote.
+# Fixed values, used for patterns too rare to mine: directories that by convention hold what others or tools wrote.
 VENDORED_DIRS = "node_modules bower_components jspm_packages vendor vendors _vendor _vendored vendored third_party third-party thirdparty 3rdparty 3rd_party external externals extern ext deps _deps dependencies Godeps Pods Carthage site-packages dist-packages".split()
 GENERATED_DIRS = "gen gen-src gensrc src-gen generated generated-sources generated-src generated_src auto-generated autogen autogenerated __generated__ _generated".split()
-# Name endings (before the extension, or the whole ending) of generated and minified files.
-ENDINGS = r"\.(?:min|prod|bundle|g|gen|generated|designer|pb|autogen|g\.i)\.\w+$|\.pb\.\w+$|\.pb-[cho]\w*\.\w+$|(?:_gen|_generated|_autogen|\.freezed|_pb2|_pb2_grpc|_pb|\.pb\.gw|_grpc\.pb|\.grpc)\.\w+$|(?:^|/)(?:package-lock\.json|moc_\w+\.cpp|ui_\w+\.h|qrc_\w+\.cpp)$"
+# Fixed values, as before: endings of names before their extension, and whole names.
+ENDINGS = r"^(?:\.(?:min|prod|bundle|g|gen|generated|designer|pb|autogen|freezed|pb\.gw)|_(?:gen|generated|autogen|pb2|pb2_grpc|pb|grpc)|[._]grpc[._]pb|[._]pb[._]grpc)$"
+NAMES = r"(?:^|/)(?:package-lock\.json|moc_\w+\.cpp|ui_\w+\.h|qrc_\w+\.cpp)$"
 
 # What headers of generated files say, matched in comment lines.
 _GENERATED = re.compile(
@@ -40,8 +41,8 @@ _GENERATED_PARTS = [
     (re.compile(r"\bgenerated (?:by|from|on build from|with|using) [\w./-]", re.I), re.compile(r"do not|don't|instead|overwritten|edits? (?:are|will)|version", re.I)),
     (re.compile("أُنشئ "), re.compile("تلقائي")),
 ]
-# What says the opposite.
-_DENIED = re.compile(r"\bnot (?:auto-?)?generated\b|\bhand-?written\b|\bstop using generated\b|\bwrites? the header\b|\binto the files? it generates\b|\bwe (?:looked|wrote)\b|\bourselves\b|\bour own\b|\bgenerated report\b", re.I)
+# What says the opposite; it outweighs a mined or usual pattern.
+_DENIED = re.compile(r"\bnot (?:auto-?)?generated\b|\bhand-?written\b", re.I)
 # What headers of third-party copies say; the group is the package.
 _VENDORED = re.compile(
     r"^(?:bundled|vendored|unmodified|verbatim|local|modified) copy of (?P<a>[\w.@-]+)|^upstream: (?P<b>[\w.@/-]+)|^copyright (?:\(c\)|©)? ?[\d, -]* (?:by )?the (?P<c>[\w.-]+)(?: project)? (?:contributors|authors|developers|team)\b(?!.*\bour\b)"
@@ -135,95 +136,192 @@ def text_evidence(documents: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=4096)
 def glob_regex(pattern: str) -> re.Pattern:
-    """The pattern of an attribute line as a regular expression over the path below its directory: without a slash it matches names at any depth, with one it is anchored; ``**`` spans directories."""
+    """The pattern of an attribute line as a regular expression over the path of a file below its directory: without a slash it matches names at any depth, with one it is anchored; ``**`` as a whole step spans directories; a backslash takes the next character as it is. A pattern that ends in a slash names directories only, so it matches no file, nor does a directory's name match what lies below."""
     anchored = "/" in pattern.rstrip("/")
-    body, out, i = pattern.strip("/"), "", 0
+    body, out, i = pattern.removeprefix("/"), "", 0
     while i < len(body):
-        if body.startswith("**/", i):
+        c = body[i]
+        if body.startswith("**/", i) and (i == 0 or body[i - 1] == "/"):
             out, i = out + r"(?:.*/)?", i + 3
-        elif body.startswith("**", i):
-            out, i = out + r".*", i + 2
-        elif body[i] == "*":
+        elif body.startswith("**", i) and i + 2 == len(body) and (i == 0 or body[i - 1] == "/"):
+            out, i = out + r".+", i + 2
+        elif c == "*":
             out, i = out + r"[^/]*", i + 1
-        elif body[i] == "?":
+        elif c == "?":
             out, i = out + r"[^/]", i + 1
-        elif body[i] == "[" and "]" in body[i + 1 :]:
-            j = body.index("]", i + 1)
-            out, i = out + "[" + ("^" if body[i + 1] in "!^" else "") + body[i + 1 : j].lstrip("!^").replace("\\", "\\\\") + "]", j + 1
+        elif c == "[" and (j := _class_end(body, i)):
+            inner = body[i + 1 : j]
+            negated = inner[:1] in ("!", "^")
+            out, i = out + "(?!/)[" + ("^" if negated else "") + re.sub(r"\\(.)|([\[\]&~|^])", lambda m: re.escape(m[1] or m[2]), inner[negated:]) + "]", j + 1
+        elif c == "\\" and i + 1 < len(body):
+            out, i = out + re.escape(body[i + 1]), i + 2
         else:
-            out, i = out + re.escape(body[i]), i + 1
-    return re.compile(("" if anchored else r"(?:.*/)?") + out + ("(?:/.*)?" if pattern.endswith("/") else "") + r"\Z")
+            out, i = out + re.escape(c), i + 1
+    try:
+        return re.compile(("" if anchored else r"(?:.*/)?") + out + r"\Z")
+    except re.error:  # a class with its ends the wrong way round matches nothing
+        return re.compile(r"(?!)")
+
+
+def _class_end(body: str, at: int) -> int | None:
+    """Where the class that opens at a place closes; a bracket right behind the opening one is a member."""
+    j = at + 1 + (body[at + 1 : at + 2] in ("!", "^"))
+    j += body[j : j + 1] == "]"
+    while j < len(body) and body[j] != "]":
+        j += 2 if body[j] == "\\" else 1
+    return j if j < len(body) else None
+
+
+_QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"\s+(.*)')
+_ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+
+
+def _unquoted(body: str) -> str:
+    """A pattern between quotes, as C writes them; octal escapes are bytes of UTF-8."""
+
+    def one(m: re.Match) -> bytes:
+        said = m[1].decode("latin-1")
+        return bytes([int(said, 8) & 255]) if said[0] in "01234567" else _ESCAPES.get(said, said).encode("latin-1")
+
+    return re.sub(rb"\\([0-7]{1,3}|.)", one, body.encode()).decode("utf-8", "replace")
+
+
+def parse_attributes(text: str | None) -> Iterator[tuple[str | None, str | None, dict[str, str]]]:
+    """(pattern, macro, states) of each line of an attribute file: a line has a pattern or defines a macro. A state is set, unset, unspecified, or =value; of a name that comes twice the last counts. Comments, blank lines and negated patterns, which the format forbids, say nothing."""
+    for line in _LINES.split(text or ""):
+        line = line.lstrip(" \t")
+        if not line or line[0] in "#!":
+            continue
+        if m := _QUOTED.match(line):
+            pattern, rest = _unquoted(m[1]), m[2]
+        else:
+            pattern, _, rest = (line.replace("\t", " ")).partition(" ")
+        states = {}
+        for word in rest.split():
+            if word[0] in "-!":
+                states[word[1:]] = "unset" if word[0] == "-" else "unspecified"
+            else:
+                name, _, value = word.partition("=")
+                states[name] = f"={value}" if value else "set"
+        if pattern.startswith("[attr]"):
+            if pattern[6:]:
+                yield None, pattern[6:], states
+        else:
+            yield pattern, None, states
+
+
+def _said(states: dict[str, str], name: str) -> str | None:
+    """set, unset, unspecified or None of an attribute that is true, false or not said to be either."""
+    state = states.get(name)
+    return {"=true": "set", "=set": "set", "=false": "unset", "=unset": "unset"}.get(state, state if state in ("set", "unset", "unspecified") else None)
+
+
+_MARKS = ("linguist-generated", "linguist-vendored")
 
 
 def attribute_rules(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """directory, position, pattern, generated, vendored of each line of each attribute file that speaks of generated or vendored paths."""
-    at = files.filter(r"source_path rlike '(^|/)\\.gitattributes$'").select(F.col("id").alias("file_id"), "source_path").distinct()
-    line = documents.select("file_id", "text").join(at, "file_id").select(F.regexp_replace("source_path", r"/?\.gitattributes$", "").alias("directory"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("position", "line"))
-    line = line.filter(r"line rlike '^\\s*[^#\\s]\\S*\\s.*linguist-(generated|vendored)'")
+    """directory, rules (position, pattern, generated, vendored) of each attribute file that speaks of generated or vendored paths.
 
-    def value(name: str) -> Column:
-        set_, unset = F.col("line").rlike(rf"\s{name}(=true|=set)?(\s|$)"), F.col("line").rlike(rf"\s[-!]{name}(\s|$)|\s{name}=(false|unset)(\s|$)")
-        return F.when(unset, False).when(set_, True).alias(name[9:])
+    A repository is the first step of a path. Macros may be defined in attribute files at the top, of a repository or of all; where one is set, it says what its definition says, unless the line itself says otherwise. One row holds one attribute file.
+    """
+    at = files.filter(r"source_path rlike '(^|/)\\.gitattributes$'").select(F.col("id").alias("file_id"), F.regexp_replace("source_path", r"/?\.gitattributes$", "").alias("directory")).distinct()
+    texts = documents.select("file_id", "text").join(at, "file_id").select("directory", "text").distinct()
 
-    return line.select("directory", "position", F.regexp_extract("line", r"^\s*(\S+)", 1).alias("pattern"), value("linguist-generated"), value("linguist-vendored")).distinct()
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                macros: dict[str, dict[str, str]] = {}
+                for n, (pattern, macro, states) in enumerate(parse_attributes(r.text)):
+                    for name in [k for k, v in states.items() if v == "set" and k in macros]:
+                        states = macros[name] | states
+                    if macro and "/" not in r.directory:
+                        macros[macro] = states
+                        rows.append((r.directory, -1, None, macro, *[_said(states, m) for m in _MARKS], []))
+                    elif pattern:
+                        rows.append((r.directory, n, pattern, None, *[_said(states, m) for m in _MARKS], [k for k, v in states.items() if v == "set"]))
+            yield pd.DataFrame(rows, columns=["directory", "position", "pattern", "macro", "generated", "vendored", "names"])
+
+    lines = texts.mapInPandas(parse, "directory string, position int, pattern string, macro string, generated string, vendored string, names array<string>")
+    lines = materialise(lines.filter("macro is not null or size(names) > 0 or generated is not null or vendored is not null"), "attributes")
+    macros = lines.filter("macro is not null").select(F.col("directory").alias("_home"), "macro", F.col("generated").alias("_g"), F.col("vendored").alias("_v"))
+    named = lines.filter("macro is null").drop("macro").withColumn("macro", F.explode_outer("names"))
+    home = F.explode(F.array_distinct(F.array(F.lit(""), F.split("directory", "/")[0]))).alias("_home")
+    met = named.select("*", home).join(macros, ["_home", "macro"], "left")
+    rules = met.groupBy("directory", "position", "pattern").agg(*[F.coalesce(F.max(c), F.max(m)).alias(c) for c, m in (("generated", "_g"), ("vendored", "_v"))]).filter("generated is not null or vendored is not null")
+    return rules.groupBy("directory").agg(F.array_sort(F.collect_list(F.struct("position", "pattern", "generated", "vendored"))).alias("rules"))
+
+
+#: Copies of a directory's rules, among which its files are divided, so that no directory's files meet in one task.
+SPREAD = 32
 
 
 def declared(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """id, declared of the files on which an attribute line decides: true if it is generated or vendored.
+    """id, declared of the files on which attribute lines decide: true if they are generated or vendored, false if it is said that they are neither.
 
-    A file meets only the rules of the directories above it; the deepest directory wins, in one file the last matching line.
+    A file meets the rules of the directories above it, each in a row of its own. In one file the last matching line that speaks of an attribute decides on it, and the deepest directory that does; what is unspecified there is undecided.
     """
     parts = F.split("source_path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    met = files.select("id", "source_path", F.explode(above).alias("directory")).join(rules, "directory")
-    lists = met.groupBy("id", "source_path").agg(F.collect_list(F.struct("directory", "position", "pattern", "generated", "vendored")).alias("rules"))
+    salted = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    met = files.select("id", "source_path", F.pmod(F.xxhash64("source_path"), F.lit(SPREAD)).cast("int").alias("_salt"), F.explode(above).alias("directory")).join(salted, ["directory", "_salt"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                said: dict[str, bool] = {}
-                for x in sorted((x.asDict() if hasattr(x, "asDict") else x for x in r.rules), key=lambda x: (len(x["directory"]), x["position"])):
-                    below = r.source_path[len(x["directory"]) :].lstrip("/")
+                said: dict[str, str] = {}
+                below = r.source_path[len(r.directory) :].lstrip("/")
+                for x in r.rules:
                     if glob_regex(x["pattern"]).match(below):
                         said |= {k: x[k] for k in ("generated", "vendored") if x[k] is not None}
                 if said:
-                    rows.append((r.id, any(said.values())))
-            yield pd.DataFrame(rows, columns=["id", "declared"])
+                    rows.append((r.id, len(r.directory), said.get("generated"), said.get("vendored")))
+            yield pd.DataFrame(rows, columns=["id", "depth", "generated", "vendored"])
 
-    return lists.mapInPandas(run, "id long, declared boolean")
+    found = met.select("id", "source_path", "directory", "rules").mapInPandas(run, "id long, depth int, generated string, vendored string")
+    last = found.groupBy("id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c) for c in ("generated", "vendored")])
+    true = (F.col("generated").eqNullSafe("set")) | (F.col("vendored").eqNullSafe("set"))
+    return last.filter("generated in ('set', 'unset') or vendored in ('set', 'unset')").select("id", true.alias("declared"))
 
 
 def path_features(path: str = "source_path") -> Column:
-    """Patterns a path offers to mining: ``name/`` for each directory below the first, ``.x.y`` or ``_x.y`` for the ending of the name without its extension."""
+    """Patterns a path offers to mining: ``name/`` for each directory below the first, and the ending of the name before its extension, of one part (``.min``, ``_gen``) and of two (``_pb2_grpc``)."""
     parts = F.split(path, "/")
     dirs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.concat(F.regexp_replace(x, r"[@-]v?\d[\w.]*$", ""), F.lit("/")))
     name = F.element_at(parts, -1)
-    ending = F.regexp_extract(name, r"([._-][A-Za-z]\w{0,11})\.\w+$", 1)
-    return F.array_distinct(F.concat(dirs, F.when(ending != "", F.array(ending)).otherwise(F.array().cast("array<string>"))))
+    endings = [F.regexp_extract(name, rf"((?:[._-][A-Za-z][A-Za-z0-9]*){{{n}}})\.\w+$", 1) for n in (1, 2)]
+    return F.array_distinct(F.concat(dirs, F.filter(F.array(*endings), lambda x: x != "")))
+
+
+def usual(feature: Column) -> Column:
+    """Whether a pattern is usual for what others or tools wrote."""
+    return feature.isin([f"{d}/" for d in VENDORED_DIRS + GENERATED_DIRS]) | feature.rlike(ENDINGS)
 
 
 def unwritten_files(files: DataFrame, documents: DataFrame) -> DataFrame:
     """file_id, declared, by_text, by_path, by_mining of each SOURCE_CODE file with a document that nobody on the project wrote by hand.
 
-    Null paths leave only the text, null and blank texts only the path; repeated rows change nothing. A text that denies being generated outweighs a mined pattern and a conventional ending. Texts are read once and stay where they are read; what is written and shuffled is a few flags a document and the parts of paths.
+    An attribute line decides on the files it matches, for others any of the rest does. Null paths leave only the text, null and blank texts only the path; repeated rows change nothing. A text that says it was not generated outweighs patterns. Texts are read once and stay where they are read; what is written and shuffled is a few flags a document and the parts of paths.
     """
     source = files.filter("document_type = 'SOURCE_CODE' and id is not null").select("id", "source_path").distinct()
     flags = text_evidence(documents).groupBy("file_id").agg(*[F.max(c).alias(c) for c in ("generated", "vendored", "minified", "data", "denied")], F.array_distinct(F.flatten(F.collect_set("packages"))).alias("packages"))
     shown = F.col("generated") | F.col("vendored") | F.col("minified") | F.col("data")
-    known = materialise(source.join(flags, source["id"] == flags["file_id"]).select("id", "source_path", shown.alias("by_text"), "denied", "packages"), "evidence")
+    read = source.join(flags, source["id"] == flags["file_id"]).select("id", "source_path", shown.alias("by_text"), "denied", "packages")
+    known = materialise(read.join(declared(source, attribute_rules(documents, files)), "id", "left"), "evidence")
 
-    features = known.select("id", "by_text", F.explode(path_features()).alias("feature"))
-    counts = features.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if("by_text").alias("shown"))
-    mined = counts.filter((F.col("n") >= MIN_FILES) & (F.col("shown") >= MIN_SHARE * F.col("n"))).select("feature")
     packages = known.select(F.explode("packages").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2 and length(p) > 2").select(F.concat("p", F.lit("/")).alias("feature"))
-    patterns = mined.union(packages).distinct()
-    by_mining = features.join(patterns, "feature", "left_semi").select("id").distinct().withColumn("by_mining", F.lit(True))
-
-    inner = F.concat(F.lit("/"), F.regexp_replace("source_path", r"[^/]*$", ""))
-    by_path = inner.rlike("/(?:" + "|".join(map(re.escape, VENDORED_DIRS + GENERATED_DIRS)) + ")/") | (F.col("source_path").rlike(ENDINGS) & ~F.col("denied"))
-    decided = known.join(declared(source, attribute_rules(documents, files)), "id", "left").join(by_mining, "id", "left")
-    judged = decided.select(
-        F.col("id").alias("file_id"), "declared", "by_text", F.coalesce(by_path, F.lit(False)).alias("by_path"), (F.coalesce("by_mining", F.lit(False)) & ~F.col("denied")).alias("by_mining")
-    )
+    offered = known.select("id", "declared", "by_text", F.explode(path_features()).alias("feature"))
+    copies = offered.join(packages, "feature", "left_semi").select("id").distinct().withColumn("copied", F.lit(True))
+    # A declaration outweighs the text, as it does for the file itself.
+    counts = offered.join(copies, "id", "left").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("declared", F.col("by_text") | F.coalesce("copied", F.lit(False)))).alias("shown"))
+    counts = materialise(counts.filter((F.col("n") >= MIN_FILES) & (F.col("shown") >= MIN_SHARE * F.col("n")) | (F.col("n") < MIN_FILES) & usual(F.col("feature"))), "patterns")
+    patterns = counts.filter(F.col("n") >= MIN_FILES).select("feature").union(packages).distinct()
+    by_mining = offered.join(patterns, "feature", "left_semi").select("id").distinct().withColumn("by_mining", F.lit(True))
+    rare = counts.filter(F.col("n") < MIN_FILES).select("feature")
+    by_path = offered.filter(usual(F.col("feature"))).join(rare, "feature", "left_semi").select("id").distinct().withColumn("by_path", F.lit(True))
+
+    decided = known.join(by_path, "id", "left").join(by_mining, "id", "left")
+    named = F.coalesce("by_path", F.lit(False)) | F.coalesce(F.col("source_path").rlike(NAMES), F.lit(False))
+    judged = decided.select(F.col("id").alias("file_id"), "declared", "by_text", (named & ~F.col("denied")).alias("by_path"), (F.coalesce("by_mining", F.lit(False)) & ~F.col("denied")).alias("by_mining"))
     return judged.groupBy("file_id").agg(*[F.max(c).alias(c) for c in ("declared", "by_text", "by_path", "by_mining")]).filter("coalesce(declared, by_text or by_path or by_mining)")

@@ -45,6 +45,34 @@ def test_attribute_files_decide_by_depth_and_order(spark):
     assert set(run(spark, files, docs)) == {3, 6, 9}
 
 
+def test_attribute_lines_as_version_control_reads_them(spark):
+    s, t = "SOURCE_CODE", "PLAIN_TEXT"
+    rules = [
+        ("made/", "a/made/x.py", None), ("made", "a/made/x.py", None), ("made/**", "a/made/x.py", True), ("**/made/**", "a/b/made/c/x.py", True), ("*.tab.py", "a/b/x.tab.py", True), ("/x.py", "a/x.py", True), ("/x.py", "a/b/x.py", None),
+        ('"odd name.py"', "a/odd name.py", True), ('"\\303\\274.py"', "a/ü.py", True), ("st\\*r.py", "a/st*r.py", True), ("st\\*r.py", "a/star.py", None), ("[xy].py", "a/y.py", True), ("[!xy].py", "a/y.py", None), ("x?z.py", "a/x/z.py", None), ("!x.py", "a/x.py", None),
+    ]
+    for pattern, path, want in rules:
+        got = [bool(h.glob_regex(p).match(path.partition("/")[2])) for p, _, _ in h.parse_attributes(pattern + " linguist-generated")]
+        assert (got == [True]) == bool(want), (pattern, path)
+    assert h.glob_regex("[z-a].py").match("b.py") is None
+    assert list(h.parse_attributes("# c\n\n[attr]ours -linguist-vendored -diff\n*.py ours linguist-generated=true !text")) == [(None, "ours", {"linguist-vendored": "unset", "diff": "unset"}), ("*.py", None, {"ours": "set", "linguist-generated": "=true", "text": "unspecified"})]
+    files = [(1, "p/.gitattributes", t), (2, "p/sub/.gitattributes", t), (3, "q/.gitattributes", t), (10, "p/lib/a.py", s), (11, "p/sub/lib/b.py", s), (12, "p/sub/own/c.py", s), (13, "q/lib/d.py", s), (14, "q/x.py", s), (15, "p/sub/gen/e.py", s), (16, "p/sub/un/f.py", s), (17, "p/all.py", s)]
+    docs = [(1, "[attr]copied linguist-vendored -diff\n[attr]twice copied\n*.py linguist-generated\nlib/** copied\n", t), (2, "lib/** twice\nown/** -linguist-generated\nun/** !linguist-generated\n", t), (3, "lib/** copied\n", t)]
+    docs += [(i, ("# @generated by t\n" if i == 17 else "") + PLAIN, s) for i in range(10, 18)]
+    got = run(spark, files, docs)
+    assert set(got) == {10, 11, 15, 17} and all(got[i].declared for i in got)  # a macro of one repository means nothing in another
+
+
+def test_declarations_are_mined_for_other_repositories(spark):
+    s, t = "SOURCE_CODE", "PLAIN_TEXT"
+    files = [(1, "p/.gitattributes", t)] + [(10 + i, f"p/emitted/m{i}.py", s) for i in range(8)] + [(30, "q/emitted/x.py", s), (31, "q/plain/x.py", s)]
+    files += [(40 + i, f"r/vendor/v{i}.py", s) for i in range(6)] + [(50, "s/deps/d.py", s)]
+    docs = [(1, "emitted/** linguist-generated\n", t)] + [(i, PLAIN, s) for i, _, kind in files if kind == s]
+    got = run(spark, files, docs)
+    assert set(got) == {*range(10, 18), 30, 50}  # six files in vendor show nothing, one in deps is too few to tell
+    assert got[30].by_mining and got[30].declared is None and not got[30].by_text and got[50].by_path
+
+
 def test_paths_texts_and_mined_patterns(spark):
     s = "SOURCE_CODE"
     files = [(i, f"p{i}/emitted/m{i}.py", s) for i in range(10)] + [(20, "p/emitted/plain.py", s), (21, "p/emitted/denied.py", s), (30, "p/node_modules/a.js", s), (31, "p/vendor_portal/a.js", s), (32, "p/x/a.min.js", s), (33, "p/libx@4/a.js", s), (34, "p/x/nothing.js", s), (35, None, s), (36, "p/vendor/n.js", s), (37, "p/vendor/doc.md", "MARKDOWN")]

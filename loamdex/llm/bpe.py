@@ -128,6 +128,12 @@ class CorpusEncoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(vocabulary: str) -> CorpusEncoder:
+    """The encoder of this worker process, which one task after the other uses."""
+    return CorpusEncoder(vocabulary)
+
+
 def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Borders of runs of texts with about ``most`` characters each."""
     at, size = 0, 0
@@ -151,7 +157,7 @@ def encode_corpus(df: DataFrame, text: str = "text", keep: list[str] | None = No
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(output, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CorpusEncoder(vocabulary)
+        encoder = shared_encoder(vocabulary)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in slices(texts, 4 << 20):

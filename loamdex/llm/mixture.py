@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.bpe import TOKENIZERS, CorpusEncoder, slices
+from loamdex.llm.bpe import TOKENIZERS, shared_encoder, slices
 from loamdex.session import materialise
 
 #: Tokens of a block; slots of an output shard; characters of a bucket of documents on average (their number follows from the corpus, so the mixture doesn't depend on the cluster).
@@ -101,7 +101,7 @@ def packed(documents: DataFrame, buckets: int, vocabulary: str = f"{TOKENIZERS}/
         return pa.RecordBatch.from_arrays(columns, names=names), tokens[used:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, key, first, held = CorpusEncoder(vocabulary), None, 0, []
+        encoder, key, first, held = shared_encoder(vocabulary), None, 0, []
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             texts = batch.column(2).to_pylist()

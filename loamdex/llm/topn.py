@@ -19,15 +19,13 @@ MAX_HOT = 4096
 def hot_hashes(df: DataFrame, keys: list[str], hot_rows: int | None = None, max_hot: int = MAX_HOT) -> list[int]:
     """Hashes of the heaviest groups with at least ``hot_rows`` rows (default: by HOT_SHARE), from exact counts.
 
-    Groups and the whole are counted in one pass, combined on the map side; at most ``max_hot`` + 1 numbers reach the driver. Two groups with one hash are only treated alike. The threshold decides the way a group takes, never its rows.
+    Counts are combined on the map side and written once, a few bytes a group; only hashes above the threshold are sorted, and at most ``max_hot`` of them reach the driver. Two groups with one hash are only treated alike. The threshold decides the way a group takes, never its rows.
     """
-    hashed = df.select(F.xxhash64(*keys).alias("_h"))
-    counts = hashed.rollup("_h").agg(F.count(F.lit(1)).alias("_n"))
-    most = counts.orderBy(F.desc("_n"), F.asc_nulls_first("_h")).limit(max_hot + 1).collect()
-    rows = max((r["_n"] for r in most if r["_h"] is None), default=0)
+    counts = materialise(df.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n")), "counts")
     if hot_rows is None:
+        rows = counts.agg(F.sum("_n").alias("n")).first()["n"] or 0
         hot_rows = max(LEAST_HOT, HOT_SHARE * rows / _partitions(df))
-    return [r["_h"] for r in most if r["_h"] is not None and r["_n"] >= hot_rows][:max_hot]
+    return [r["_h"] for r in counts.filter(F.col("_n") >= hot_rows).orderBy(F.desc("_n"), "_h").limit(max_hot).collect()]
 
 
 def _split(df: DataFrame, keys: list[str], hot: list[int]) -> tuple[DataFrame, DataFrame]:

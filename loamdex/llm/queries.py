@@ -95,4 +95,15 @@ s as (select a.profile_id, a.chunk_id a, b.chunk_id b, list_cosine_similarity(a.
 r as (select *, row_number() over (partition by profile_id, a order by c desc, b) p from s where c >= 0.92)
 select distinct profile_id, least(a, b) chunk_a, greatest(a, b) chunk_b from r where p <= 5"""
 
+# Greedy pieces by recursion: b holds the line breaks before each token, c the tokens done, f the first token of a piece, e its end.
+_END = "case when {f} + m >= len(b) then len(b) else coalesce(list_max(list_transform(range({c} + 1, {f} + m + 1), lambda x: case when b[x + 1] >= 2 then 1000000000 + x when b[x + 1] = 1 then x end)) % 1000000000, {f} + m) end"
+_FIRST = "(e - least(o, e, m - 1))"
+SQL["p6_found"] = rf"""
+with recursive l as (select file_id, max_tokens m, greatest(coalesce(overlap_tokens, 0), 0) o from (select *, row_number() over (partition by file_id order by updated_at desc nulls last) r from file_indexing_profiles) where r = 1 and max_tokens >= 1),
+k as (select distinct c.id, coalesce(c.start_line, 1) s, c.content, m::bigint m, o::bigint o from chunks c join l using (file_id) where c.content is not null),
+t as (select id, s, m, o, list_transform(regexp_extract_all(content, '[ \t\r\n]*[^ \t\r\n]+'), lambda p: len(regexp_extract_all(regexp_extract(p, '^[ \t\r\n]+'), '\r\n|\r|\n'))) b from k),
+p as (select id, s, m, o, b, 0 no, 0::bigint f, {_END.format(f='0', c='0')} e from t where len(b) > m
+ union all select id, s, m, o, b, no + 1, {_FIRST}, {_END.format(f=_FIRST, c='e')} from p where e < len(b))
+select distinct id chunk_id, no piece_no, (s + list_sum(b[1:f + 1]))::int start_line, (s + list_sum(b[1:e]))::int end_line, (e - f)::int n_tokens from p"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_leximin, p3_found, p5_found, p6_found, p7_ids, p8_mixture, p8_shares, p9_found)}

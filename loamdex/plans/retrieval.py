@@ -38,7 +38,16 @@ ROWS_SQL = """rows as (select c.id chunk_id, c.file_id, c.chunk_index, c.content
 SPACE_SQL = r"'[\s\x1c-\x1f\x0b\p{Z}\x{85}]+'"
 PARTS_SQL = f"list_filter(regexp_split_to_array(%s, {SPACE_SQL}), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}\\p{{Co}}]'))"
 COUNT_SQL = f"len(list_filter(regexp_split_to_array(%s, {SPACE_SQL}), lambda p: p <> ''))"
-CODE_SQL = _lit("|".join(f"(?:{x})" for x in text.CODE_LIKE))
+# Fixed values of the SQL, stated apart from the library's so that an error in either shows.
+CODE_SQL = r"""'[a-z\p{Ll}][\p{Ll}\p{Nd}]*\p{Lu}|[\p{L}\p{Nd}]_[\p{L}\p{Nd}]|\p{L}\p{Nd}|\p{Nd}\p{L}|[\p{L}\p{Nd}](?:\.|/|::|#|->)[\p{L}\p{Nd}]'"""
+KINDS_SQL = {
+    "PLAIN_TEXT": ("'readme', 'license', 'licence', 'notice', 'changelog', 'authors', 'contributing'", "'txt', 'rst', 'adoc'"),
+    "MARKDOWN": ("''", "'md', 'markdown'"),
+    "SOURCE_CODE": ("'dockerfile', 'containerfile', 'makefile', 'jenkinsfile'", "'java', 'kt', 'kts', 'py', 'pyi', 'js', 'jsx', 'mjs', 'cjs', 'ts', 'tsx', 'mts', 'cts', 'c', 'h', 'cc', 'cpp', 'cxx', 'hh', 'hpp', 'hxx', 'cs', 'go', 'rs', 'rb', 'php', 'swift', 'sh', 'bash', 'zsh', 'ps1', 'psm1', 'bat', 'cmd', 'sql', 'css', 'scss', 'sass', 'less'"),
+    "STRUCTURED_TEXT": ("''", "'json', 'jsonc', 'yaml', 'yml', 'toml', 'ini', 'cfg', 'properties', 'xml'"),
+}
+WANTED_SQL = r"""regexp_matches(lower(source_path), '\.(txt|rst|adoc|md|markdown|java|kt|kts|py|pyi|js|jsx|mjs|cjs|ts|tsx|mts|cts|c|h|cc|cpp|cxx|hh|hpp|hxx|cs|go|rs|rb|php|swift|sh|bash|zsh|ps1|psm1|bat|cmd|sql|css|scss|sass|less|json|jsonc|yaml|yml|toml|ini|cfg|properties|xml)$|(^|/)(readme|license|licence|notice|changelog|authors|contributing|dockerfile|containerfile|makefile|jenkinsfile)$')
+and not regexp_matches(lower(source_path), '(^|/)(target|build|dist|out|node_modules|\.gradle|\.venv|venv|__pycache__|\.pytest_cache|\.mypy_cache|\.next)/|\.min\.(js|css)$|\.map$|(^|/)(package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|bun\.lockb?|composer\.lock|cargo\.lock|poetry\.lock|uv\.lock|pipfile\.lock|gemfile\.lock|gradle\.lockfile|\.env(\..*)?)$')"""
 SHAPE_SQL = f"case when {COUNT_SQL} between 1 and 3 and len(list_filter(regexp_split_to_array(%s, {SPACE_SQL}), lambda p: regexp_matches(p, {CODE_SQL}))) > 0 then 'IDENTIFIER' else 'NATURAL_LANGUAGE' end"
 
 
@@ -128,8 +137,8 @@ def fold_diacritics(spark: SparkSession, d: str) -> DataFrame:
 
 def _type_sql(path: str) -> str:
     name, ext = f"lower(regexp_extract({path}, '[^/]*$'))", f"regexp_extract(lower(regexp_extract({path}, '[^/]*$')), '^.+\\.([^.]+)$', 1)"
-    arms = [f"when {name} in ({', '.join(_lit(n.lower()) for n in names)}) then '{k}'" for k, names in text.BASENAMES.items()]
-    arms += [f"when {ext} in ({', '.join(map(_lit, es))}) then '{k}'" for k, es in text.EXTENSIONS.items()]
+    arms = [f"when {name} in ({names}) then '{k}'" for k, (names, _) in KINDS_SQL.items()]
+    arms += [f"when {ext} in ({exts}) then '{k}'" for k, (_, exts) in KINDS_SQL.items()]
     return f"case {' '.join(arms)} else 'PLAIN_TEXT' end"
 
 
@@ -139,7 +148,7 @@ def detect_document_type(spark: SparkSession, d: str) -> DataFrame:
     return paths.select("source_path", text.document_type(F.col("source_path")).alias("detected"))
 
 
-@query(f"""select distinct source_path from scanned_files where regexp_matches(lower(source_path), {_lit(text.globs_regex(text.INCLUDES))}) and not regexp_matches(lower(source_path), {_lit(text.globs_regex(text.EXCLUDES))})""")
+@query(f"select distinct source_path from scanned_files where {WANTED_SQL}")
 def glob_include_exclude(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scanned_files").filter(text.admitted(F.col("source_path"))).select("source_path").distinct()
 
@@ -149,10 +158,12 @@ def binary_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(text.looks_binary(F.col("text"))).select("doc_id")
 
 
-@query("select document_type, count(*) valid from documents where text is not null group by document_type")
+@query("select scan_id, len(list_filter(range(1, 64, 4), lambda i: try(decode(unhex(substr(content_hash, i, 4)))) is not null)) valid from (select distinct scan_id, content_hash from scanned_files where length(content_hash) = 64)")
 def utf8_valid(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text is not null").filter(F.is_valid_utf8(F.encode("text", "UTF-8").cast("string")))
-    return docs.groupBy("document_type").agg(F.count(F.lit(1)).alias("valid"))
+    """How many of the 16 two-byte pieces of each hash, which are any bytes, are valid UTF-8."""
+    hashes = table(spark, d, "scanned_files").filter("length(content_hash) = 64").select("scan_id", "content_hash").distinct()
+    pieces = F.filter(F.sequence(F.lit(1), F.lit(61), F.lit(4)), lambda i: F.is_valid_utf8(F.unhex(F.substring(F.col("content_hash"), i, F.lit(4))).cast("string")))
+    return hashes.select("scan_id", F.size(pieces).cast("long").alias("valid"))
 
 
 @query("select doc_id, sha256(text) content_hash, strlen(text)::bigint byte_size from documents")
@@ -429,9 +440,7 @@ def deleted_files(spark: SparkSession, d: str) -> DataFrame:
     return incremental.deletions(stored, found).select("source_path")
 
 
-@query(f"""with {_STATE_SQL} select source_path from st where source_path not in (select source_path from found)
-and regexp_matches(lower(source_path), '\\.(txt|rst|adoc|md|markdown|java|kt|kts|py|pyi|js|jsx|mjs|cjs|ts|tsx|mts|cts|c|h|cc|cpp|cxx|hh|hpp|hxx|cs|go|rs|rb|php|swift|sh|bash|zsh|ps1|psm1|bat|cmd|sql|css|scss|sass|less|json|jsonc|yaml|yml|toml|ini|cfg|properties|xml)$|(^|/)(readme|license|licence|notice|changelog|authors|contributing|dockerfile|containerfile|makefile|jenkinsfile)$')
-and not regexp_matches(lower(source_path), '(^|/)(target|build|dist|out|node_modules|\\.gradle|\\.venv|venv|__pycache__|\\.pytest_cache|\\.mypy_cache|\\.next)/|\\.min\\.(js|css)$|\\.map$|(^|/)(package-lock\\.json|npm-shrinkwrap\\.json|yarn\\.lock|pnpm-lock\\.yaml|bun\\.lockb?|composer\\.lock|cargo\\.lock|poetry\\.lock|uv\\.lock|pipfile\\.lock|gemfile\\.lock|gradle\\.lockfile|\\.env(\\..*)?)$')""")
+@query(f"with {_STATE_SQL} select source_path from st where source_path not in (select source_path from found) and {WANTED_SQL}")
 def deleted_files_of_admitted_paths(spark: SparkSession, d: str) -> DataFrame:
     """Stored files that were not found and that the default settings look for; excluded ones were not looked for and stay."""
     found, stored, _ = _state(spark, d)
@@ -545,7 +554,7 @@ def chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"with {ROWS_SQL} select chunk_id, source_path || chr(10) || chr(10) || content as \"input\" from rows where content is not null")
 def embedding_input(spark: SparkSession, d: str) -> DataFrame:
     """What would be embedded for each chunk: path, blank line, content."""
     import pandas as pd

@@ -54,10 +54,12 @@ def _blocks(df: DataFrame, key: str, prefix: str) -> DataFrame:
 def nearest_batch(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """query_id, chunk_id, score: for each query (query_id, profile_id, vector) the ``limit`` most similar vectors of its profile, exact; ties by chunk_id.
 
-    A stated set of queries against all rows, in blocks: vectors are packed into blocks of up to BLOCK rows, each block of queries meets each block of its profile, a block product is cut to its first ``limit`` before it leaves the worker, and the rest meets in one window a query. Query blocks are repeated over the data blocks, not the other way round.
+    A stated set of queries against all rows, in blocks: vectors are packed into blocks of up to BLOCK rows, each block of queries meets each block of its profile, a block product is cut to its first ``limit`` before it leaves the worker, and the rest meets in one window a query. Data blocks are dealt to salts, and the query blocks are repeated for each salt, not the other way round, so no task holds a whole profile.
     """
-    data, asked = _blocks(vectors, "chunk_id", "c"), _blocks(queries, "query_id", "q")
-    pairs = data.join(asked, "group")
+    salts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    data = _blocks(vectors, "chunk_id", "c").withColumn("salt", F.pmod(F.xxhash64("c_keys"), F.lit(salts)).cast("int"))
+    asked = _blocks(queries, "query_id", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = data.hint("merge").join(asked, ["group", "salt"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -108,29 +108,38 @@ class Engine:
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
-    def _plan(self, target: str | None) -> tuple[source.Scan, DataFrame, Snapshot | None, DataFrame, DataFrame]:
-        scan = source.scan(self.root, target or self.root, self.config)
-        found = materialise(source.admit(source.load(self.spark, self.root, scan.files, self.config.max_file_bytes)), "found")
+    def _plan(self, target: str | None) -> tuple[list[tuple[str, str]], int, DataFrame, Snapshot | None, DataFrame, DataFrame]:
+        """(issues of the scan as far as shown, their number, files found, current version, files stored, decisions)."""
+        scanned = materialise(source.scan_frame(self.spark, self.root, (target or self.root).rstrip("/"), self.config), "scanned")
+        issues = scanned.filter("issue is not null")
+        shown = [(r.source_path, r.issue) for r in issues.orderBy("source_path").limit(SHOWN).collect()]
+        found = materialise(source.admit(source.load(self.spark, self.root, scanned.filter("issue is null"), self.config.max_file_bytes)), "found")
         snapshot = self.store.current()
         stored = snapshot.table("files") if snapshot else self._empty(FILES)
         fine = found.filter("problem is null")
-        return scan, found, snapshot, stored, incremental.decisions(fine, stored, self.identity.fingerprint())
+        return shown, issues.count() if len(shown) == SHOWN else len(shown), found, snapshot, stored, incremental.decisions(fine, stored, self.identity.fingerprint())
 
     def _gone(self, target: str | None, stored: DataFrame, seen: DataFrame, bad: int, issues: int) -> DataFrame:
         """The stored files below the target that are really gone."""
         path = F.col("source_path")
         wanted = text.admitted(path, list(self.config.include), list(self.config.exclude)) | (text.file_name(path) == CONFIG_NAME)
-        return source.vanished(incremental.deletions(stored, seen, bad, issues, wanted), self.root, (target or self.root).rstrip("/"), self.config)
+        return self._still_gone(target, materialise(incremental.deletions(stored, seen, bad, issues, wanted), "unseen"))
+
+    def _still_gone(self, target: str | None, candidates: DataFrame) -> DataFrame:
+        """Those of some stored files that the file system doesn't have now."""
+        if candidates.isEmpty():
+            return candidates
+        return materialise(source.vanished(candidates, self.root, (target or self.root).rstrip("/"), self.config), "gone")
 
     def preview(self, target: str | None = None) -> dict:
         """What ``index`` would do, without writing: files and chunks by decision, with estimates where chunks aren't known, and deletions."""
         self._open()
-        scan, found, snapshot, stored, decided = self._plan(target)
+        issues, n_issues, found, snapshot, stored, decided = self._plan(target)
         bad = found.filter("problem is not null").count()
         counts = (snapshot.table("chunks") if snapshot else self._empty(CHUNKS)).groupBy("source_path").agg(F.count(F.lit(1)).alias("chunks"))
         totals = incremental.preview_totals(decided, found.select("source_path", "document_type", "byte_size"), counts)
-        gone = self._gone(target, stored, found, bad, len(scan.issues))
-        return {"decisions": {r.decision: {"files": r.files, "chunks": r.chunks, "estimated": r.estimated} for r in totals.collect()}, "rejected": bad, "deleted": gone.count(), "issues": scan.issues}
+        gone = self._gone(target, stored, found, bad, n_issues)
+        return {"decisions": {r.decision: {"files": r.files, "chunks": r.chunks, "estimated": r.estimated} for r in totals.collect()}, "rejected": bad, "deleted": gone.count(), "issues": issues}
 
     def _open(self) -> None:
         self.store.create(lambda old: {n: old[n] for n in ("files", "chunks", "vectors")} | self._derived(old["chunks"]))
@@ -165,7 +174,7 @@ class Engine:
         self.cancelled, result, began = False, IndexResult("COMPLETE"), time.monotonic()
         self._open()
         try:
-            scan, found, old, stored, decided = self._plan(target)
+            issues, n_issues, found, old, stored, decided = self._plan(target)
             began = self._step("discover", result, began, progress)
             decided = materialise(decided, "decided")
             result.counts = {r.decision: r.files for r in incremental.run_counters(decided).collect()}
@@ -173,14 +182,14 @@ class Engine:
             numbers = {r.problem: r["count"] for r in found.groupBy("problem").count().collect() if r.problem}
             result.rejected = sum(n for p, n in numbers.items() if p in source.REJECTED)
             result.failed = sum(n for p, n in numbers.items() if p in source.FAILED)
-            result.issues = [*scan.issues, *problems]
-            result.issue_count = len(scan.issues) + sum(numbers.values())
+            result.issues = [*issues, *problems]
+            result.issue_count = n_issues + sum(numbers.values())
             self.problems = found.filter("problem is not null").select(F.lit("file").alias("kind"), "source_path", F.lit(None).cast("long").alias("chunk_id"), "problem")
-            gone = materialise(self._gone(target, stored, found, sum(numbers.values()), len(scan.issues)), "gone")
+            gone = self._gone(target, stored, found, sum(numbers.values()), n_issues)
             began = self._step("decide", result, began, progress)
             changed = found.join(decided.filter("decision <> 'UNCHANGED'").select("source_path"), "source_path", "left_semi")
             work = sum(n for d, n in result.counts.items() if d != "UNCHANGED")
-            gone = materialise(source.vanished(gone, self.root, (target or self.root).rstrip("/"), self.config), "gone")
+            gone = self._still_gone(target, gone)
             result.deleted = gone.count()
             snapshot = old
             if work or result.deleted or old is None:

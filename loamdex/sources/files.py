@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import pickle
 import re
 import stat
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -129,50 +131,95 @@ def is_config(path: str) -> bool:
     return path.rsplit("/", 1)[-1] == CONFIG_NAME
 
 
-def scan(root: str, target: str, config: Config, strict: bool = False) -> Scan:
-    """Regular files below ``target`` that the settings and ignore files admit. Symbolic links are never followed; whole excluded and ignored folders are skipped; an ignore file that can't be read skips its folder. ``strict``: any issue is an error."""
-    out, tree = Scan(), _Tree(root, config)
-    out.issues = tree.issues
-
-    def visit(folder: str, stack: list[tuple[str, IgnoreRules]]) -> None:
-        rules = tree.rules_of(folder)
+def _walk(tree: _Tree, folder: str, stack: list[tuple[str, IgnoreRules]], deep: bool = True) -> Iterator[str]:
+    """The admitted files of a folder and, with ``deep``, of all below it. ``stack`` holds the ignore rules of the folders above."""
+    pending = [(folder, stack)]
+    while pending:
+        here, above = pending.pop()
+        rules = tree.rules_of(here)
         if rules is None:
-            return
-        stack = [*stack, (tree.relative(folder), rules)]
+            continue
+        inside = [*above, (tree.relative(here), rules)]
         try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            entries = list(os.scandir(here))
         except OSError as e:
-            out.issues.append((tree.relative(folder), _issue(e)))
-            return
+            tree.issues.append((tree.relative(here), _issue(e)))
+            continue
         for e in entries:
             path = tree.relative(e.path)
             if e.is_dir(follow_symlinks=False):
-                if not tree.skipped(path, stack):
-                    visit(e.path, stack)
-            elif e.is_file(follow_symlinks=False) and not is_config(path) and not tree.ignored(stack, path, False) and tree.admits(path):
-                out.files.append(path)
+                if deep and not tree.skipped(path, inside):
+                    pending.append((e.path, inside))
+            elif e.is_file(follow_symlinks=False) and not is_config(path) and not tree.ignored(inside, path, False) and tree.admits(path):
+                yield path
+
 
-    stack: list[tuple[str, IgnoreRules]] = []
+def _start(tree: _Tree, target: str) -> tuple[str, list[tuple[str, IgnoreRules]]] | None:
+    """The folder to begin at and the ignore rules above it; None if the target lies in what is skipped."""
     start = target if os.path.isdir(target) else os.path.dirname(target)
-    steps = tree.relative(start).split("/") if start != root else []
-    here = root
+    steps = tree.relative(start).split("/") if start != tree.root else []
+    here, stack = tree.root, []
     for k, step in enumerate(steps):
         rules = tree.rules_of(here)
         if rules is None:
-            return out
+            return None
         stack.append((tree.relative(here), rules))
         here = os.path.join(here, step)
         if tree.skipped("/".join(steps[: k + 1]), stack):
-            return out
-    visit(start, stack)
-    if not os.path.isdir(target):
-        out.files = [f for f in out.files if f == tree.relative(target)]
-    out.files.sort()
+            return None
+    return start, stack
+
+
+def scan(root: str, target: str, config: Config, strict: bool = False) -> Scan:
+    """Regular files below ``target`` that the settings and ignore files admit. Symbolic links are never followed; whole excluded and ignored folders are skipped; an ignore file that can't be read skips its folder. ``strict``: any issue is an error."""
+    tree = _Tree(root, config)
+    out, begin, single = Scan(issues=tree.issues), _start(tree, target), None if os.path.isdir(target) else tree.relative(target)
+    if begin:
+        out.files = sorted(f for f in _walk(tree, *begin, deep=single is None) if single in (None, f))
     if strict and out.issues:
         raise OSError(f"{out.issues[0][0]}: {out.issues[0][1]}")
     return out
 
 
+#: Folders among which a scan is divided, at least, if there are as many.
+FOLDERS = 256
+
+
+def scan_frame(spark: SparkSession, root: str, target: str, config: Config) -> DataFrame:
+    """source_path, issue: what ``scan`` finds, a row for each file (without issue) and for each path that could not be looked at. The driver only looks for enough folders to divide the work; files are listed where the tasks run and never pass the driver."""
+    tree, schema = _Tree(root, config), "source_path string, issue string"
+    begin, single = _start(tree, target), None if os.path.isdir(target) else tree.relative(target)
+    if not begin:
+        return spark.createDataFrame(tree.issues, schema)
+    folders: list[tuple[str, bytes, bool]] = []
+    frontier = [begin]
+    while single is None and frontier and len(frontier) < FOLDERS:
+        below = []
+        for here, above in frontier:
+            folders.append((here, pickle.dumps(above), False))
+            rules = tree.rules_of(here)
+            try:
+                inside = [*above, (tree.relative(here), rules)]
+                below += [(e.path, inside) for e in os.scandir(here) if rules is not None and e.is_dir(follow_symlinks=False) and not tree.skipped(tree.relative(e.path), inside)]
+            except OSError:
+                pass  # the task that lists the folder reports it
+        frontier = below
+    folders += [(here, pickle.dumps(above), single is None) for here, above in frontier]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                mine = _Tree(root, config)
+                paths = _walk(mine, r.folder, pickle.loads(r.above), r.deep)
+                while part := list(islice(paths, 10_000)):
+                    kept = [p for p in part if single in (None, p)]
+                    yield pd.DataFrame({"source_path": kept, "issue": [None] * len(kept)})
+                yield pd.DataFrame(mine.issues, columns=["source_path", "issue"])
+
+    tasks = spark.createDataFrame(folders, "folder string, above binary, deep boolean")
+    return tasks.repartition(min(len(folders), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)
+
+
 class Vanished:
     """Tells which stored paths are gone from below a target, as opposed to being excluded, ignored or replaced by something else. Listings are kept as long as the object."""
 
@@ -280,8 +327,8 @@ def read_one(path: str, most: int) -> tuple[bytes | None, int, str | None]:
     return None, 0, "FILE_CHANGED"
 
 
-def load(spark: SparkSession, root: str, files: list[str], most: int) -> DataFrame:
-    """source_path, content (binary), byte_size, problem of files that every executor sees below ``root``; read where the tasks run."""
+def load(spark: SparkSession, root: str, files: list[str] | DataFrame, most: int) -> DataFrame:
+    """source_path, content (binary), byte_size, problem of files (a list, or a table with source_path) that every executor sees below ``root``; read where the tasks run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -290,8 +337,8 @@ def load(spark: SparkSession, root: str, files: list[str], most: int) -> DataFra
                 rows = [(p, *read_one(os.path.join(root, p), most)) for p in part["source_path"]]
                 yield pd.DataFrame(rows, columns=["source_path", "content", "byte_size", "problem"])
 
-    paths = spark.createDataFrame([(f,) for f in files], "source_path string").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
-    return paths.mapInPandas(run, "source_path string, content binary, byte_size long, problem string")
+    paths = files.select("source_path") if isinstance(files, DataFrame) else spark.createDataFrame([(f,) for f in files], "source_path string")
+    return paths.repartition(4 * spark.sparkContext.defaultParallelism, "source_path").mapInPandas(run, "source_path string, content binary, byte_size long, problem string")
 
 
 def stored_files(spark: SparkSession, root: str, config: Config) -> DataFrame:

@@ -12,7 +12,7 @@ from loamdex.plans import engine as engine_module
 from loamdex.plans.engine import Engine, QueryError, hit_text, result_json, score_text
 from loamdex.sources.config import Config, ConfigError, find_project, parse_config, write_default
 from loamdex.sources import files as source_files
-from loamdex.sources.files import IgnoreRules, Vanished, admit, load, read_one, scan, stored_files
+from loamdex.sources.files import IgnoreRules, Vanished, admit, load, read_one, scan, scan_frame, stored_files
 from loamdex.sources.storage import IndexAccessError, SnapshotStore, StorageFailure, storage_failure
 
 FILES = {
@@ -310,7 +310,7 @@ def test_embedding_in_pages(spark, tmp_path, monkeypatch):
     assert "QUERY_CUT_TO_MODEL_INPUT" in long.notices
 
 
-def test_scan_rules(project):
+def test_scan_rules(spark, project, monkeypatch):
     (project / ".gitignore").write_text("*.log\nsecret/\n!keep.log\ndocs/*.tmp.md\n")
     (project / "docs" / ".gitignore").write_text("guide.md\n!deep/\n")
     (project / "docs" / "a.tmp.md").write_text("x")
@@ -321,6 +321,10 @@ def test_scan_rules(project):
     assert found.complete and found.files == ["conf/app.yaml", "empty.txt", "notes.txt", "src/Retry.java"]
     assert scan(str(project), str(project / "src"), Config()).files == ["src/Retry.java"]
     assert scan(str(project), str(project), Config(include=("**/*.MD",), exclude=())).files == ["target/x.md"]
+    monkeypatch.setattr(source_files, "FOLDERS", 2)
+    for target, config in ((project, Config()), (project / "src", Config()), (project / "notes.txt", Config()), (project / "secret", Config()), (project, Config(include=("**/*.MD",), exclude=()))):
+        rows = scan_frame(spark, str(project), str(target), config).collect()
+        assert sorted(r.source_path for r in rows) == scan(str(project), str(target), config).files and not any(r.issue for r in rows)
     r = IgnoreRules.parse("build/\n/top.txt\na/**/b\n\\#x\n*.py[co]\n")
     assert r.decide("x/build", True) and r.decide("x/build", False) is None and r.decide("top.txt", False) and r.decide("x/top.txt", False) is None
     assert r.decide("a/b", False) and r.decide("a/x/y/b", False) and r.decide("#x", False) and r.decide("m.pyc", False) and r.decide("m.py", False) is None

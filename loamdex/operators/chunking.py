@@ -221,11 +221,23 @@ class Block:
 
 
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-_ITEM = re.compile(r"( {0,3})(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
+_FENCE = re.compile(r" {0,3}(?:(`{3,})[^`]*$|(~{3,}))")
+_ITEM = re.compile(r"( {0,3})([-*+]|(\d{1,9})[.)])(?:([ \t]+)(?=\S)|[ \t]*$)")
 _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-_HTML = re.compile(r" {0,3}<(?:!--|[/?!A-Za-z])")
+_QUOTE = re.compile(r" {0,3}>")
+# The tag names that begin an HTML block which a blank line ends.
+_TAGS = "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
+# How HTML blocks begin and end (None: before a blank line); the last kind can't break into a paragraph.
+_HTML = [
+    (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:[\s>]|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
+    (re.compile(r" {0,3}<!--"), re.compile(r"-->")),
+    (re.compile(r" {0,3}<\?"), re.compile(r"\?>")),
+    (re.compile(r" {0,3}<![A-Za-z]"), re.compile(r">")),
+    (re.compile(r" {0,3}<!\[CDATA\["), re.compile(r"\]\]>")),
+    (re.compile(rf" {{0,3}}</?(?:{'|'.join(_TAGS.split())})(?:\s|/?>|$)", re.I), None),
+    (re.compile(r""" {0,3}(?:<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$"""), None),
+]
 
 
 def heading_title(raw: str) -> str:
@@ -237,8 +249,95 @@ def heading_title(raw: str) -> str:
     return re.sub(r"\s+", " ", t).strip()
 
 
+def _html_end(row: str, kinds: list) -> tuple[bool, re.Pattern | None]:
+    """Whether an HTML block begins with a line, and what ends it."""
+    for begin, end in kinds:
+        if begin.match(row):
+            return True, end
+    return False, None
+
+
+def _breaks_paragraph(row: str) -> bool:
+    """Whether a line ends the paragraph before it by beginning another block. A list does so only with a text and, if numbered, from 1."""
+    if _HEADING.match(row) or _FENCE.match(row) or _RULE.match(row) or _QUOTE.match(row) or _html_end(row, _HTML[:6])[0]:
+        return True
+    m = _ITEM.match(row)
+    return bool(m and m[4] and (m[3] is None or int(m[3]) == 1))
+
+
+def _closing(fence: str) -> re.Pattern:
+    return re.compile(rf" {{0,3}}{re.escape(fence[0])}{{{len(fence)},}}[ \t]*$")
+
+
+class _Inside:
+    """Follows the lines inside a list item or quote far enough to know whether a paragraph is open at their end, which a line outside then goes on."""
+
+    def __init__(self):
+        self.fence: re.Pattern | None = None
+        self.paragraph = False
+
+    def line(self, row: str) -> None:
+        row = row.expandtabs(TAB)
+        if self.fence:
+            if self.fence.match(row):
+                self.fence = None
+            return
+        while True:  # containers inside have their own marks in front
+            if m := _QUOTE.match(row):
+                row, self.paragraph = row[m.end() :].removeprefix(" "), False
+            elif (m := _ITEM.match(row)) and not _RULE.match(row):
+                row, self.paragraph = row[m.end() :], False
+            else:
+                break
+        if m := _FENCE.match(row):
+            self.fence, self.paragraph = _closing(m[1] or m[2]), False
+        elif not row.strip() or _HEADING.match(row) or _RULE.match(row) or (self.paragraph and _SETEXT.match(row)):
+            self.paragraph = False
+        elif not self.paragraph:
+            self.paragraph = _indent(row) < TAB and not _html_end(row, _HTML)[0]
+
+
+def _quote_end(rows: list[str], i: int, end: int) -> int:
+    inside = _Inside()
+    while i < end:
+        if m := _QUOTE.match(rows[i]):
+            inside.line(rows[i][m.end() :].removeprefix(" "))
+        elif not rows[i].strip() or not inside.paragraph or _breaks_paragraph(rows[i]):
+            break
+        i += 1
+    return i
+
+
+def _list_end(rows: list[str], i: int, end: int) -> tuple[int, list[int]]:
+    """The line after a list and the first lines of its items. A mark of another kind begins another list."""
+    first = _ITEM.match(rows[i])
+    kind, parts, width, inside, last = first[2][-1], [], 0, _Inside(), i
+    while i < end:
+        row = rows[i]
+        m = _ITEM.match(row)
+        if not row.strip():
+            if parts and i == parts[-1] + 1 and not rows[parts[-1]][_ITEM.match(rows[parts[-1]]).end() :].strip():
+                width = 10**9  # an item may begin with one blank line only
+            inside.line("")
+            i += 1
+            continue
+        if parts and _indent(row) >= width:
+            inside.line(row.expandtabs(TAB)[width:])
+        elif m and m[2][-1] == kind and not _RULE.match(row):
+            parts.append(i)
+            gap = len(m[4].expandtabs(TAB)) if m[4] else 1
+            width = len(m[1]) + len(m[2]) + (gap if gap <= TAB else 1)
+            inside = _Inside()
+            inside.line(row[len(m[1]) + len(m[2]) :].lstrip(" \t") if gap <= TAB else row[len(m[1]) + len(m[2]) + 1 :])
+        elif not inside.paragraph or m or _breaks_paragraph(row) or not rows[i - 1].strip():
+            break
+        i += 1
+        last = i
+    return last, parts
+
+
 def markdown_blocks(rows: list[str], first: int, end: int) -> list[Block]:
-    """The blocks of some lines. A subset of CommonMark: headings of both kinds, fences, lists, quotes, HTML, rules; the rest are paragraphs."""
+    """The blocks of some lines, by the block rules of CommonMark: headings of both kinds, fences, indented code, lists, quotes with the lines that go on outside, seven kinds of HTML, rules, paragraphs. What is inside lists and quotes is looked at only when they are cut."""
     out: list[Block] = []
     i = first
     while i < end:
@@ -247,8 +346,15 @@ def markdown_blocks(rows: list[str], first: int, end: int) -> list[Block]:
             i += 1
             continue
         begin = i
-        if m := _FENCE.match(row):
-            close = re.compile(rf" {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}[ \t]*$")
+        html, closes = _html_end(row, _HTML)
+        if _indent(row) >= TAB:
+            while i < end and (not rows[i].strip() or _indent(rows[i]) >= TAB):
+                i += 1
+            while not rows[i - 1].strip():
+                i -= 1
+            out.append(Block("code", begin, i))
+        elif m := _FENCE.match(row):
+            close = _closing(m[1] or m[2])
             i += 1
             while i < end and not close.match(rows[i]):
                 i += 1
@@ -260,36 +366,28 @@ def markdown_blocks(rows: list[str], first: int, end: int) -> list[Block]:
         elif _RULE.match(row):
             i += 1
             out.append(Block("rule", begin, i))
-        elif m := _ITEM.match(row):
-            parts, inside, fence = [], len(m[0]), None
-            while i < end:
-                if fence:
-                    if re.match(rf"\s*{re.escape(fence)}", rows[i]):
-                        fence = None
-                elif (n := _ITEM.match(rows[i])) and len(n[1]) < 2 + len(m[1]) and not _RULE.match(rows[i]):
-                    parts.append(i)
-                    inside = len(n[0])
-                elif rows[i].strip() and _indent(rows[i]) < min(2, inside) and (not rows[i - 1].strip() or _HEADING.match(rows[i]) or _FENCE.match(rows[i]) or rows[i].startswith(">")):
-                    break
-                elif f := re.match(r"\s*(`{3,}|~{3,})", rows[i]):
-                    fence = f[1]
-                i += 1
+        elif _ITEM.match(row):
+            i, parts = _list_end(rows, i, end)
             out.append(Block("list", begin, i, parts=parts))
-        elif row.lstrip(" ").startswith(">") and _indent(row) < 4:
-            while i < end and rows[i].strip() and not (i > begin and not rows[i].lstrip().startswith(">") and (_HEADING.match(rows[i]) or _FENCE.match(rows[i]) or _ITEM.match(rows[i]))):
-                i += 1
+        elif _QUOTE.match(row):
+            i = _quote_end(rows, i, end)
             out.append(Block("quote", begin, i))
-        elif _HTML.match(row):
-            while i < end and rows[i].strip():
-                i += 1
+        elif html:
+            if closes:
+                while i < end and not closes.search(rows[i]):
+                    i += 1
+                i = min(end, i + 1)
+            else:
+                while i < end and rows[i].strip():
+                    i += 1
             out.append(Block("html", begin, i))
         else:
             i += 1
-            while i < end and rows[i].strip() and not (_HEADING.match(rows[i]) or _FENCE.match(rows[i]) or _ITEM.match(rows[i]) or rows[i].lstrip().startswith(">")):
+            while i < end and rows[i].strip():
                 if m := _SETEXT.match(rows[i]):
                     out.append(Block("heading", begin, i + 1, 1 if m[1][0] == "=" else 2, heading_title(" ".join(x.strip() for x in rows[begin:i]))))
                     break
-                if _RULE.match(rows[i]):
+                if _breaks_paragraph(rows[i]):
                     break
                 i += 1
             if out and out[-1].first == begin:

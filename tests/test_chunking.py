@@ -88,6 +88,47 @@ def test_word_pieces_with_known_ids(tmp_path):
     assert w.encode("payment validation " * 200) == [101, *[7909, 27354] * 127, 102]
 
 
+# Texts and the kinds and last lines of the blocks that CommonMark sees at the top.
+BLOCKS = {
+    "a\nb\n\nc": [("paragraph", 2), ("paragraph", 4)],
+    "a\n    not code\n\n    code\n\n    more\n\nb": [("paragraph", 2), ("code", 6), ("paragraph", 8)],
+    "> a\nlazy\n\nb": [("quote", 2), ("paragraph", 4)],
+    "> a\n# h": [("quote", 1), ("heading", 2)],
+    "> ```\ncode?\n": [("quote", 1), ("paragraph", 2)],
+    "> - a\nlazy\n> b": [("quote", 3)],
+    "- a\n\n  b\n\nc": [("list", 3), ("paragraph", 5)],
+    "- a\n* b\n+ c": [("list", 1), ("list", 2), ("list", 3)],
+    "1. a\n2. b\n3) c": [("list", 2), ("list", 3)],
+    "- a\nlazy\n- b": [("list", 3)],
+    "- a\n# h": [("list", 1), ("heading", 2)],
+    "- a\n  ```\n  x\n\n  # no heading\n  ```\n- b": [("list", 7)],
+    "-\n\n  a": [("list", 1), ("paragraph", 3)],
+    "text\n14. not a list\n": [("paragraph", 2)],
+    "text\n1. a list\n": [("paragraph", 1), ("list", 2)],
+    "text\n-\n": [("heading", 2)],
+    "Title\nmore\n===\nx": [("heading", 3), ("paragraph", 4)],
+    "***\na\n---\n***": [("rule", 1), ("heading", 3), ("rule", 4)],
+    "- - -\n- a": [("rule", 1), ("list", 2)],
+    "<div>\n*a*\n\nb": [("html", 2), ("paragraph", 4)],
+    "<!-- a\n\nb -->\nc": [("html", 3), ("paragraph", 4)],
+    "<pre>\n\nx\n</pre>\nc": [("html", 4), ("paragraph", 5)],
+    "<a href='x'>\ny\n\nz": [("html", 2), ("paragraph", 4)],
+    "<a href='x'> y\nz": [("paragraph", 2)],
+    "text\n<i>\nz": [("paragraph", 3)],
+    "text\n<p>\nz": [("paragraph", 1), ("html", 3)],
+    "```` md\n```\n````\na": [("fence", 3), ("paragraph", 4)],
+    "``` a`b\nc": [("paragraph", 2)],
+    "~~~\nnever closed\n\nx": [("fence", 4)],
+    "#no\n# yes #\n####### no": [("paragraph", 1), ("heading", 2), ("paragraph", 3)],
+}
+
+
+@pytest.mark.parametrize("text", BLOCKS)
+def test_blocks(text):
+    rows = text.split("\n")
+    assert [(b.kind, b.end) for b in c.markdown_blocks(rows, 0, len(rows))] == BLOCKS[text]
+
+
 def test_markdown_sections_and_titles():
     text = "# A *b* `c`\n\n" + "word " * 60 + "\n\n## Sub\n\n" + "other " * 60 + "\n\nTop\n===\n\n" + "more " * 60 + "\n\n<!-- only -->\n"
     found = c.markdown_pieces(text, 80, 0)

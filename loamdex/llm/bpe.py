@@ -38,6 +38,12 @@ def load_merges(path: str) -> tuple[list[int], dict[tuple[int, int], tuple[int,
     return [vocab[sign[b]] for b in range(256)], merges
 
 
+def largest_id(path: str) -> int:
+    """The largest id that a vocabulary can give."""
+    singles, merges = load_merges(path)
+    return max(max(singles), max((m for _, m in merges.values()), default=0))
+
+
 def replay(words: list[bytes], singles: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
     """The ids of each word, by replaying the merges over all words at once.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.bpe import TOKENIZERS, shared_encoder, slices
+from loamdex.llm.bpe import TOKENIZERS, largest_id, shared_encoder, slices
 from loamdex.session import materialise
 
 #: Tokens of a block; slots of an output shard; characters of a bucket of documents on average (their number follows from the corpus, so the mixture doesn't depend on the cluster).
@@ -74,8 +74,8 @@ def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def packed(documents: DataFrame, buckets: int, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
-    """source, bucket, at, ids: the blocks of each source in each bucket of (doc_id, source, text), numbered from 0; and what is left behind the last whole block, with ``at`` -1.
+def packed(documents: DataFrame, buckets: int, vocabulary: str, kind: str) -> DataFrame:
+    """source, bucket, at, ids: the blocks of each source in each bucket of (doc_id, source, text), numbered from 0; and what is left behind the last whole block, with ``at`` -1. The ids are bytes, numbers of the type ``kind``.
 
     Texts are shuffled once, ids not at all. A source's documents follow each other by a hash of their id; a source of any size is spread over all buckets.
     """
@@ -94,9 +94,9 @@ def packed(documents: DataFrame, buckets: int, vocabulary: str = f"{TOKENIZERS}/
             lengths.append(len(tokens) - used)
             numbers.append(-1)
             used = len(tokens)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(tokens[:used], np.int32, used)))
-        n = len(numbers)
+        raw, n = np.fromiter(tokens[:used], kind, used), len(numbers)
+        offsets = (np.concatenate([[0], np.cumsum(lengths)]) * raw.itemsize).astype(np.int32)
+        ids = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
         columns = [pa.array([key[1]] * n, pa.string()), pa.array([key[0]] * n, pa.int64()), pa.array(numbers, pa.int64()), ids]
         return pa.RecordBatch.from_arrays(columns, names=names), tokens[used:]
 
@@ -119,7 +119,7 @@ def packed(documents: DataFrame, buckets: int, vocabulary: str = f"{TOKENIZERS}/
         if held:
             yield rows(key, first, held, True)[0]
 
-    return placed.select("bucket", "source", "text").mapInArrow(run, "source string, bucket long, at long, ids array<int>")
+    return placed.select("bucket", "source", "text").mapInArrow(run, "source string, bucket long, at long, ids binary")
 
 
 def before(df: DataFrame, group: str, order: str, value: str, name: str, step: int = 4096) -> DataFrame:
@@ -132,29 +132,30 @@ def before(df: DataFrame, group: str, order: str, value: str, name: str, step: i
     return rows.withColumn(name, inside).join(starts, [group, "_step"]).withColumn(name, F.col(name) + F.col("_start")).drop("_step", "_start")
 
 
-def pack_rests(rests: DataFrame, block: int) -> DataFrame:
-    """source, at, ids: rests (source, bucket, ids), laid end to end by bucket and cut at every ``block`` tokens; the last piece may be shorter."""
-    placed = before(rests.select("source", "bucket", "ids", F.size("ids").cast("long").alias("n")), "source", "bucket", "n", "from")
+def pack_rests(rests: DataFrame, block: int, width: int) -> DataFrame:
+    """source, at, ids: rests (source, bucket, ids of ``width`` bytes each), laid end to end by bucket and cut at every ``block`` tokens; the last piece may be shorter."""
+    placed = before(rests.select("source", "bucket", "ids", F.floor(F.octet_length("ids") / width).alias("n")), "source", "bucket", "n", "from")
     first, last = F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("n") - 1) / block)
-    parts = placed.select("source", "from", "ids", F.explode(F.sequence(first, last)).alias("at"))
+    parts = placed.select("source", "from", "n", "ids", F.explode(F.sequence(first, last)).alias("at"))
     start = F.greatest(F.lit(0), F.col("at") * block - F.col("from"))
-    stop = F.least(F.size("ids").cast("long"), (F.col("at") + 1) * block - F.col("from"))
-    cut = F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int"))
-    return parts.groupBy("source", "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("from", cut.alias("part")))), lambda x: x["part"])).alias("ids"))
+    stop = F.least(F.col("n"), (F.col("at") + 1) * block - F.col("from"))
+    cut = F.substring(F.col("ids"), (start * width + 1).cast("int"), ((stop - start) * width).cast("int"))
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("from", cut.alias("part")))), F.lit(b""), lambda all_, x: F.concat(all_, x["part"]))
+    return parts.groupBy("source", "at").agg(joined.alias("ids"))
 
 
-def numbered_blocks(found: DataFrame, block: int) -> DataFrame:
+def numbered_blocks(found: DataFrame, block: int, width: int) -> DataFrame:
     """source, block_no, ids: whole blocks are numbered through the buckets of their source, those made of rests after them."""
     whole, rests = found.filter("at >= 0"), found.filter("at < 0")
     counts = whole.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     starts = before(counts, "source", "bucket", "n", "start").select("source", "bucket", "start")
     ends = counts.groupBy("source").agg(F.sum("n").alias("whole"))
     one = whole.join(starts, ["source", "bucket"]).select("source", (F.col("start") + F.col("at")).alias("block_no"), "ids")
-    two = pack_rests(rests, block).join(ends, "source", "left").select("source", (F.coalesce("whole", F.lit(0)) + F.col("at")).alias("block_no"), "ids")
+    two = pack_rests(rests, block, width).join(ends, "source", "left").select("source", (F.coalesce("whole", F.lit(0)) + F.col("at")).alias("block_no"), "ids")
     return one.unionByName(two)
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total: int | None = None, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> tuple[DataFrame, DataFrame]:
     """(mixture, shares).
 
     ``mixture``: shard, slot, source, block_no, pass, ids, a row for each block used. ``shares``: source, target_share, max_repeats, tokens (of the source), used (tokens of it in the mixture), actual_share, repeats, for every listed source.
@@ -169,8 +170,10 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total: int | No
     names = [r.source for r in rows]
     chosen = documents.select("doc_id", source_name("source").alias("source"), "text").filter(F.col("source").isin(names) & (F.length("text") > 0))
     size = chosen.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    found = materialise(packed(chosen, max(1, -(-size // BUCKET_CHARS))), "blocks")
-    tokens = {r.source: r.tokens for r in found.groupBy("source").agg(F.sum(F.size("ids").cast("long")).alias("tokens")).collect()}
+    kind = np.dtype("<u2" if largest_id(vocabulary) < 1 << 16 else "<u4")
+    width = kind.itemsize
+    found = materialise(packed(chosen, max(1, -(-size // BUCKET_CHARS)), vocabulary, kind.str), "blocks")
+    tokens = {r.source: r.tokens for r in found.groupBy("source").agg(F.floor(F.sum(F.octet_length("ids").cast("long")) / width).alias("tokens")).collect()}
     plan = plan_sources([(r.source, r.target_share or 0.0, r.max_repeats or 0.0) for r in rows], tokens, total)
     used = [p for p in plan if p.slots]
     ends, blocks = np.cumsum([p.slots for p in used]), [p.blocks for p in used]
@@ -191,7 +194,17 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total: int | No
                 yield pd.DataFrame({"shard": place[mine] // shard_slots, "slot": place[mine] % shard_slots + 1, "source": sources[i], "block_no": number, "pass": turn})
 
     drawn = spark.range(slots).mapInPandas(draw, "shard int, slot int, source string, block_no long, pass int")
-    mixture = drawn.join(numbered_blocks(found, block), ["source", "block_no"]).select("shard", "slot", "source", "block_no", "pass", "ids")
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(5)
+            offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+            values = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]) // width), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], ids], names=[*b.schema.names[:5], "ids"])
+
+    placed = drawn.join(numbered_blocks(found, block, width), ["source", "block_no"]).select("shard", "slot", "source", "block_no", "pass", "ids")
+    mixture = placed.mapInArrow(numbers, "shard int, slot int, source string, block_no long, pass int, ids array<int>")
 
     known = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.tokens) for p in plan], "source string, target_share double, max_repeats double, tokens long")
     last = drawn.join(known.select("source", "tokens"), "source").select("source", F.least(F.lit(block), F.col("tokens") - F.col("block_no") * block).alias("n"))

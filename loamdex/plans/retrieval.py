@@ -72,7 +72,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Index:
-    """What searches need of a data directory: rows without texts, postings sorted by term, (chunks, tokens)."""
+    """What searches need of a data directory: its rows, postings sorted by term, (chunks, tokens)."""
 
     rows: DataFrame
     postings: DataFrame
@@ -80,9 +80,10 @@ class _Index:
 
 
 def build_index(spark: SparkSession, d: str) -> _Index:
-    rows = _rows(spark, d)
-    postings = lexical.postings(rows).hint("rebalance").sortWithinPartitions("term", "chunk_id")
-    return _Index(materialise(rows, "rows"), materialise(postings, "postings"), lexical.totals(lexical.chunk_lengths(rows)))
+    """Rows are written once; texts are then split by chunk, so that no token is shuffled before it is grouped."""
+    rows = materialise(_rows(spark, d), "rows")
+    postings = lexical.postings(rows.repartition("chunk_id")).hint("rebalance").sortWithinPartitions("term", "chunk_id")
+    return _Index(rows, materialise(postings, "postings"), lexical.totals(lexical.chunk_lengths(rows)))
 
 
 _indexes: dict[tuple[str, str], _Index] = {}
@@ -611,6 +612,38 @@ def stale_content_guard(spark: SparkSession, d: str) -> DataFrame:
     return semantic.still_current(new, chunks, _vectors(spark, d).filter("profile_id = 1")).select("chunk_id")
 
 
+@query("select doc_id, sha256(case when length(text) > 400 then substr(text, 1, 399) || '…' else text end) bounded_sha from documents")
+def bounded_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as a hit without matches shows them: at most 400 characters."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.bounded(F.col("text")), 256).alias("bounded_sha"))
+
+
+@query("select doc_id, length(case when starts_with(text, chr(65279)) then substr(text, 2) else text end) n from documents")
+def strip_byte_order_mark(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.length(text.strip_bom(F.col("text"))).alias("n"))
+
+
+@query(r"select id chunk_id, part from (select distinct id, string_split_regex(content, '\r\n|\r|\n') lines from chunks where content is not null) c, unnest(range(len(lines))) u(part) where not regexp_matches(lines[part + 1], '^ {0,3}(```|~~~)|`') and regexp_matches(regexp_replace(regexp_replace(lines[part + 1], '<!--.*?-->', '', 'g'), '</?[A-Za-z][^<>]*>', '', 'g'), '^[\s>]*$')")
+def only_markup_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each chunk that hold nothing but markup."""
+    lines = table(spark, d, "chunks").filter("content is not null").select(F.col("id").alias("chunk_id"), F.split("content", r"\r\n|\r|\n").alias("lines")).distinct()
+    each = lines.select("chunk_id", F.posexplode("lines").alias("part", "line"))
+    return each.filter(text.only_markup(F.col("line"))).select("chunk_id", F.col("part").cast("long").alias("part"))
+
+
+@query(f"""with {_GRADES_SQL}, z as (select distinct query_id, kind from search_queries), a as (select kind, avg(r5) recall_at_5, avg(r10) recall_at_10, avg(rr) mrr, avg(nd) ndcg_at_10 from m join z using (query_id) where kind is not null group by kind)
+select kind, metric, round("value", 6) "value", threshold from (unpivot a on recall_at_5, recall_at_10, mrr, ndcg_at_10 into name metric value "value") u
+join (values ('identifier', 0.9, 0.9, 0.3, 0.2), ('keyword', 0.1, 0.9, 0.9, 0.1), ('paraphrase', 0.0, 0.0, 0.0, 0.0), ('mixed', 0.5, 0.5, 0.5, 0.5)) t(kind, a5, a10, am, an) using (kind),
+lateral (select (case metric when 'recall_at_5' then a5 when 'recall_at_10' then a10 when 'mrr' then am else an end)::double threshold) where "value" < threshold""")
+def quality_below_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """The mean measures of each kind of query that miss their threshold."""
+    kinds = table(spark, d, "search_queries").filter("kind is not null").select("query_id", "kind").distinct()
+    means = evaluate.mean_metrics(_metrics(spark, d).join(kinds, "query_id"), "kind")
+    gates = [("identifier", 0.9, 0.9, 0.3, 0.2), ("keyword", 0.1, 0.9, 0.9, 0.1), ("paraphrase", 0.0, 0.0, 0.0, 0.0), ("mixed", 0.5, 0.5, 0.5, 0.5)]
+    limits = spark.createDataFrame(gates, "kind string, recall_at_5 double, recall_at_10 double, mrr double, ndcg_at_10 double")
+    return evaluate.below(means, limits, "kind").select("kind", "metric", F.round("value", 6).alias("value"), "threshold")
+
+
 @query(f"with {_VECTORS_SQL} select count(*) > 0 has_embeddings from v")
 def index_has_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).agg((F.count(F.lit(1)) > 0).alias("has_embeddings"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loamdex.functions.progress import duration_text, progress_text
 from loamdex.functions import scoring, text
 from loamdex.operators import evaluate, hybrid, incremental, lexical, semantic
+from loamdex.operators import snippets
 from loamdex.operators.snippets import snippet
 
 
@@ -238,6 +239,31 @@ def test_snippets():
     assert len(long) == 400 and long.endswith("…") and all(b <= 399 for _, b in marks)
 
 
+def test_snippets_equal_full_text_search(monkeypatch):
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("create virtual table t using fts5(content, headings, source_path, tokenize = 'unicode61 remove_diacritics 2')")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text search in this sqlite")
+    monkeypatch.setattr(snippets, "MOST", 10**9)
+    rnd, seen = random.Random(1), 0
+    words = "alpha beta gamma delta eps zeta eta theta naïve İade x1 long_name".split()
+    gaps = [" "] * 8 + [". ", ": ", ".\n", "! ", ", ", "  ", ".)", " (", ".", ":\t", "\n\n"]
+    for _ in range(1500):
+        body = "".join(rnd.choice(words + ["filler"] * rnd.choice([1, 30])) + rnd.choice(gaps) for _ in range(rnd.choice([0, 3, 10, 31, 32, 33, 40, 70, 150])))
+        parts = [rnd.choice([*words, "alpha beta", "beta gamma delta", "filler alpha"]) for _ in range(rnd.choice([1, 2, 3]))]
+        con.execute("delete from t")
+        con.execute("insert into t values (?, '', ?)", (body, " ".join(parts)))
+        want = con.execute("select snippet(t, 0, '\1', '\2', '…', 32) from t where t match ?", (" AND ".join(f'"{p}"' for p in parts),)).fetchone()
+        if want:
+            got, ranges = snippet(body, [[snippets.fold_term(m[0]) for m in snippets._term().finditer(p)] for p in parts])
+            for a, b in reversed(ranges):
+                got = got[:a] + "\1" + got[a:b] + "\2" + got[b:]
+            assert got == want[0]
+            seen += 1
+    assert seen > 1000
+
+
 def test_rankings_do_not_depend_on_partitions(spark):
     rows = [(f"alpha beta {'gamma ' * (i % 7)}", "", f"f{i % 5}.md") for i in range(40)]
     asked = spark.createDataFrame([(1, "alpha gamma")], "query_id long, text string")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loamdex.session import ship
+
 #: Where the public vocabularies lie.
 TOKENIZERS = "/opt/tokenizers"
 #: The published pre-tokenizer pattern of byte_bpe_50k (fixed value).
@@ -157,6 +159,7 @@ def encode_corpus(df: DataFrame, text: str = "text", keep: list[str] | None = No
 
     No special tokens; text that looks like one is plain text; null and empty texts give an empty list. Whole texts are encoded, whatever their length, in time about proportional to it. One narrow stage: no shuffle.
     """
+    ship(df.sparkSession)
     keep = [c for c in df.columns if c != text] if keep is None else keep
     if output in keep:
         raise ValueError(f"{output} is among the columns kept")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.session import materialise
+from loamdex.session import materialise, ship
 
 #: Files a mined pattern needs, and the share of them that must show evidence.
 MIN_FILES, MIN_SHARE = 5, 0.5
@@ -304,6 +304,7 @@ def unwritten_files(files: DataFrame, documents: DataFrame) -> DataFrame:
 
     An attribute line decides on the files it matches, for others any of the rest does. Null paths leave only the text, null and blank texts only the path; repeated rows change nothing. A text that says it was not generated outweighs patterns. Texts are read once and stay where they are read; what is written and shuffled is a few flags a document and the parts of paths.
     """
+    ship(files.sparkSession)
     source = files.filter("document_type = 'SOURCE_CODE' and id is not null").select("id", "source_path").distinct()
     flags = text_evidence(documents).groupBy("file_id").agg(*[F.max(c).alias(c) for c in ("generated", "vendored", "minified", "data", "denied")], F.array_distinct(F.flatten(F.collect_set("packages"))).alias("packages"))
     shown = F.col("generated") | F.col("vendored") | F.col("minified") | F.col("data")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.llm.bpe import TOKENIZERS, largest_id, shared_encoder, slices
-from loamdex.session import materialise
+from loamdex.session import materialise, ship
 
 #: Tokens of a block; slots of an output shard; characters of a bucket of documents on average (their number follows from the corpus, so the mixture doesn't depend on the cluster).
 BLOCK, SHARD_SLOTS, BUCKET_CHARS = 512, 4096, 1 << 21
@@ -163,6 +163,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total: int | No
     Sources are compared in one spelling (``source_name``); documents of unlisted, null or empty sources and null or empty texts take no part; a source listed without documents gets no share and is reported with 0. No source is used more than max_repeats times its tokens, no block more than max_repeats times rounded up. The same seed gives the same mixture. Empty tables give an empty mixture.
     """
     spark, block, shard_slots = documents.sparkSession, BLOCK, SHARD_SLOTS
+    ship(spark)
     listed = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).orderBy("source")
     rows = listed.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:

@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.session import materialise
+from loamdex.session import materialise, ship
 
 #: Bytes of a range of a file, and of a value in a table, which is in memory as a whole and is only looked at in parts. They decide how the work is divided, never the pieces.
 FILE_RANGE, VALUE_RANGE = 1 << 20, 1 << 12
@@ -123,6 +123,7 @@ def split_files(files: DataFrame, max_tokens: int, overlap: int, range_bytes: in
 
     Two passes over ranges, none over whole files: the first gives the boundary tables from which the pieces are planned; the second finds the bytes at which the pieces' first and last tokens lie, each within its own range. A piece is then read by its offsets. An empty file has no pieces; overlap below 0 is 0.
     """
+    ship(files.sparkSession)
     tables = materialise(file_ranges(files, range_bytes), "boundaries")
     limits = tables.withColumns({"max_tokens": F.lit(max_tokens), "overlap": F.lit(max(0, overlap))})
     pieces = materialise(_planned(limits), "pieces")
@@ -240,6 +241,7 @@ def split_oversized(chunks: DataFrame, profiles: DataFrame, range_bytes: int = V
 
     Chunks of files without a profile are no cases; a null start_line counts as 1; repeated rows give their pieces once. Boundary tables are written once, so contents are read once; only these tables are shuffled and joined. The tables of a giant chunk's ranges meet to be stitched; they hold a few bytes a line.
     """
+    ship(chunks.sparkSession)
     tables = materialise(boundary_tables(chunks, range_bytes), "boundaries")
     sized = tables.join(newest_limits(profiles), "file_id").withColumn("start_line", F.coalesce("start_line", F.lit(1)))
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loamdex.session import ship
+
 # Abbreviations that stand before the rest of their sentence.
 INNER = "approx aprox abb art bd bkz bsp bzw ca cap cf ch dr ed eds ej eq eqs esp fig figs gen hr hrsg inkl kap lt mio mr mrd mrs ms mt nr núm no nos nro örn pág págs par pp prof ref refs resp rev sec sgt sra sr sta st str tab tbl vd vgl vol vs yy zb bl krş sn çev dgl evtl ggf max min tel e.g i.e z.b d.h u.a p.ej v.chr a.k.a s.o o.ä d h p z b u".split()
 # Abbreviations that may also end a sentence.
@@ -207,6 +209,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
 
 def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, start_char, end_char of each sentence unit of each row's text; a narrow stage without shuffle."""
+    ship(df.sparkSession)
     schema = T.StructType([df.schema[key], T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

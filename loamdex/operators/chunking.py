@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from loamdex.functions.counters import BasicCounter
+from loamdex.session import ship
 
 #: Tab stops of indentation, and what makes a Markdown section tiny.
 TAB, TINY = 4, 24
@@ -538,6 +539,7 @@ def _units(text: str) -> Callable[[int], int]:
 
 def chunk_documents(documents: DataFrame, budget: int, overlap: int, counter=None, overrides: dict | None = None) -> DataFrame:
     """The chunks of documents (source_path, document_type, content). Null, empty and blank contents have none; the overlap is kept below the budget."""
+    ship(documents.sparkSession)
     counter = counter or BasicCounter()
     overlap = max(0, min(overlap, budget - 1))
 

@@ -15,7 +15,7 @@ from loamdex.functions import scoring, text
 from loamdex.functions.counters import BasicCounter
 from loamdex.functions.progress import progress_text
 from loamdex.operators import chunking, hybrid, incremental, lexical, semantic, snippets
-from loamdex.session import materialise
+from loamdex.session import materialise, ship
 from loamdex.sources import files as source
 from loamdex.sources.config import CONFIG_NAME, Config
 from loamdex.sources.storage import BUCKETS, IndexAccessError, Snapshot, SnapshotStore, StorageFailure, storage_failure
@@ -80,6 +80,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None, counter=None, model: Model | None = None, profile: text.EmbeddingProfile | None = None, store: str | None = None, overrides: dict | None = None, buckets: int = BUCKETS):
+        ship(spark)
         self.spark, self.root, self.config = spark, root, config or Config()
         self.counter, self.model, self.profile, self.overrides = counter or BasicCounter(), model, profile, overrides
         c = self.counter

@@ -3,15 +3,41 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once a session: they import it for every Python stage. Only its own source files go, from the driver's file server."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # not if it was itself shipped as an archive
+        folder = tempfile.mkdtemp(prefix="loamdex-")  # executors that join later fetch it too
+        atexit.register(shutil.rmtree, folder, True)
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "loamdex"), "zip", _sources(package, folder)))
+
+
+def _sources(package: str, folder: str) -> str:
+    """A folder that holds the package's source files and nothing else."""
+    root = os.path.join(folder, "root")
+    shutil.copytree(package, os.path.join(root, os.path.basename(package)), ignore=lambda here, names: [n for n in names if not (n.endswith(".py") or os.path.isdir(os.path.join(here, n))) or n == "__pycache__"])
+    return root
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
@@ -39,6 +65,7 @@ _roots: set[str] = set()
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     """A path below the shared folder that nothing has used. What is written there goes when this process ends."""
+    ship(spark)
     root = f"{shared_dir(spark).rstrip('/')}/{_RUN}"
     if root not in _roots:
         _roots.add(root)

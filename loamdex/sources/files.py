@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.functions import text
+from loamdex.session import ship
 from loamdex.sources.config import CONFIG_NAME, STATE_DIR, Config
 
 REJECTED = ("TOO_LARGE", "INVALID_UTF8", "BINARY_CONTENT", "UNSUPPORTED_TYPE")
@@ -187,6 +188,7 @@ FOLDERS = 256
 
 def scan_frame(spark: SparkSession, root: str, target: str, config: Config) -> DataFrame:
     """source_path, issue: what ``scan`` finds, a row for each file (without issue) and for each path that could not be looked at. The driver only looks for enough folders to divide the work; files are listed where the tasks run and never pass the driver."""
+    ship(spark)
     tree, schema = _Tree(root, config), "source_path string, issue string"
     begin, single = _start(tree, target), None if os.path.isdir(target) else tree.relative(target)
     if not begin:
@@ -298,6 +300,7 @@ class Vanished:
 
 def vanished(candidates: DataFrame, root: str, target: str, config: Config) -> DataFrame:
     """The rows of stored files (source_path, ...) that are really gone, looked up where the tasks run; what is excluded, ignored, or now a folder or link stays."""
+    ship(candidates.sparkSession)
     schema = candidates.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +333,8 @@ def read_one(path: str, most: int) -> tuple[bytes | None, int, str | None]:
 def load(spark: SparkSession, root: str, files: list[str] | DataFrame, most: int) -> DataFrame:
     """source_path, content (binary), byte_size, problem of files (a list, or a table with source_path) that every executor sees below ``root``; read where the tasks run."""
 
+    ship(spark)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 64):

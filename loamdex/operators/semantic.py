@@ -115,6 +115,12 @@ def still_current(new: DataFrame, chunks: DataFrame, existing: DataFrame) -> Dat
     return new.join(same, ["chunk_id", "content"], "left_semi").join(existing.select("chunk_id"), "chunk_id", "left_anti")
 
 
+def only_profile(vectors: DataFrame, fingerprint: str) -> DataFrame:
+    """The vectors, of which one of another profile fails the job: vectors of two models must not be stored side by side."""
+    other = F.raise_error(F.concat(F.lit("a vector of another profile: chunk "), F.col("chunk_id").cast("string")))
+    return vectors.filter(F.when(F.col("fingerprint").eqNullSafe(fingerprint), F.lit(True)).otherwise(other))
+
+
 class BrokenModel(RuntimeError):
     """Raised by a model that can't embed anything any more; the run stops instead of trying the rest."""
 

@@ -289,7 +289,7 @@ class Engine:
             errors = bad if errors is None else errors.unionByName(bad)
             done = made.filter(fine).count()
             if done:
-                snapshot = self.store.commit({"vectors": vectors.unionByName(new)}, {"vectors": page}, snapshot)
+                snapshot = self.store.commit({"vectors": semantic.only_profile(vectors.unionByName(new), fingerprint)}, {"vectors": page}, snapshot)
                 result.embedded += done
             failed, tried = 0 if done else failed + 1, tried + sum(sizes[b] for b in page)
             if progress:

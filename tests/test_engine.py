@@ -51,7 +51,7 @@ PROFILE = EmbeddingProfile("toy", "r1", "0" * 64, 8, "basic-tokens-v1", "0" * 64
 
 
 def test_index_query_and_incremental_runs(spark, project):
-    e = Engine(spark, str(project))
+    e = Engine(spark, str(project), buckets=4)
     assert e.preview()["decisions"]["NEW"]["files"] == 5
     first = e.index()
     assert first.status == "COMPLETE" and first.counts == {"NEW": 5} and first.version == 1 and first.chunks == 4
@@ -82,7 +82,7 @@ def test_index_query_and_incremental_runs(spark, project):
 
 
 def test_semantic_and_hybrid(spark, project):
-    e = Engine(spark, str(project), Config(semantic=True), model=toy_model(), profile=PROFILE)
+    e = Engine(spark, str(project), Config(semantic=True), model=toy_model(), profile=PROFILE, buckets=4)
     run = e.index()
     assert run.embedded == run.chunks == 4
     h = e.query("payment policy")
@@ -194,7 +194,7 @@ def test_a_changed_file_rewrites_its_bucket_only(spark, tmp_path):
 
 
 def test_an_index_of_the_format_before_is_migrated(spark, project):
-    e = Engine(spark, str(project))
+    e = Engine(spark, str(project), buckets=4)
     e.index()
     now, old = e.store.current(), project / "old"
     for n in ("files", "chunks", "postings", "lengths", "vectors"):
@@ -214,7 +214,7 @@ def test_only_what_is_really_gone_is_removed(spark, project):
     for n in ("a/x.txt", "a/y.txt", "b/z.txt", "B2/w.txt", "conf/loamdex.toml", "k/link.txt", "k/dir.txt", "gone/deep/u.txt"):
         (project / n).parent.mkdir(parents=True, exist_ok=True)
         (project / n).write_text("payment")
-    e = Engine(spark, str(project))
+    e = Engine(spark, str(project), buckets=4)
     assert e.index().counts == {"NEW": 12}
 
     def left():
@@ -247,7 +247,7 @@ def test_only_what_is_really_gone_is_removed(spark, project):
 
 
 def test_a_path_that_comes_back_before_the_write_stays(spark, project, monkeypatch):
-    e = Engine(spark, str(project))
+    e = Engine(spark, str(project), buckets=4)
     e.index()
     os.remove(project / "notes.txt")
     real, calls = source_files.vanished, []

@@ -204,6 +204,14 @@ def test_decisions_and_snapshots(spark):
         incremental.checked_removal(stored, spark.createDataFrame([("a", "ZZ")], "source_path string, content_hash string")).collect()
 
 
+def test_vectors_of_two_profiles_are_refused(spark):
+    v = spark.createDataFrame([(1, "f"), (2, "f")], "chunk_id long, fingerprint string")
+    assert semantic.only_profile(v, "f").count() == 2
+    for bad in ("g", None):
+        with pytest.raises(Exception, match="another profile"):
+            semantic.only_profile(v.union(spark.createDataFrame([(3, bad)], v.schema)), "f").collect()
+
+
 def test_fusion_refuses_what_does_not_fit(spark):
     side, q = "query_id long, rank int, chunk_id long, source_path string, chunk_index int", spark.createDataFrame([(1, "IDENTIFIER")], "query_id long, shape string")
     lex, sem = spark.createDataFrame([(1, 1, 5, "a", 0), (1, 2, 6, "b", 0)], side), spark.createDataFrame([(1, 1, 6, "b", 0)], side)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from loamdex.session import materialise, ship
 
-#: Files a mined pattern needs, and the share of them that must show evidence.
-MIN_FILES, MIN_SHARE = 5, 0.5
+#: Files a mined pattern needs, and the share of them that must show evidence: most for a directory, nearly all for a name ending, of which there are so many that chance finds some.
+MIN_FILES, DIR_SHARE, ENDING_SHARE = 5, 0.5, 0.9
 
 # Fixed values, used for patterns too rare to mine: directories that by convention hold what others or tools wrote.
 VENDORED_DIRS = "node_modules bower_components jspm_packages vendor vendors _vendor _vendored vendored third_party third-party thirdparty 3rdparty 3rd_party external externals extern ext deps _deps dependencies Godeps Pods Carthage site-packages dist-packages".split()
@@ -316,7 +316,8 @@ def unwritten_files(files: DataFrame, documents: DataFrame) -> DataFrame:
     copies = offered.join(packages, "feature", "left_semi").select("id").distinct().withColumn("copied", F.lit(True))
     # A declaration outweighs the text, as it does for the file itself.
     counts = offered.join(copies, "id", "left").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("declared", F.col("by_text") | F.coalesce("copied", F.lit(False)))).alias("shown"))
-    counts = materialise(counts.filter((F.col("n") >= MIN_FILES) & (F.col("shown") >= MIN_SHARE * F.col("n")) | (F.col("n") < MIN_FILES) & usual(F.col("feature"))), "patterns")
+    share = F.when(F.col("feature").endswith("/"), DIR_SHARE).otherwise(ENDING_SHARE)
+    counts = materialise(counts.filter((F.col("n") >= MIN_FILES) & (F.col("shown") >= share * F.col("n")) | (F.col("n") < MIN_FILES) & usual(F.col("feature"))), "patterns")
     patterns = counts.filter(F.col("n") >= MIN_FILES).select("feature").union(packages).distinct()
     by_mining = offered.join(patterns, "feature", "left_semi").select("id").distinct().withColumn("by_mining", F.lit(True))
     rare = counts.filter(F.col("n") < MIN_FILES).select("feature")

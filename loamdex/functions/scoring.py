@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,13 @@ def idf(rows: Column, with_phrase: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(LEAST_IDF)
 
 
+def idf_value(rows: int, with_phrase: int) -> float:
+    """``idf`` of plain numbers."""
+    return max(math.log((rows - with_phrase + 0.5) / (with_phrase + 0.5)), 0.0) or LEAST_IDF
+
+
 def bm25_part(weight: Column, frequency: Column, length: Column, mean_length: Column) -> Column:
-    """One phrase's share of a score; lower is better."""
+    """One phrase's share of a score; lower is better. Columns or arrays."""
     return -weight * (frequency * (K1 + 1)) / (frequency + K1 * (1 - B + B * length / mean_length))
 
 

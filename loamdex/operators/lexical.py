@@ -17,12 +17,23 @@ COLUMNS = ["content", "headings", "source_path"]
 def index_rows(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """chunk_id, file_id, chunk_index, content, headings, source_path, start_line, end_line: each chunk once, with its file's path.
 
-    Repeated rows count once. A heading_path column becomes headings, joined by spaces; without one they are empty. Files are joined by id, so the shuffle is by file; chunks of unknown files drop out.
+    Chunks of unknown files drop out. Contents are shuffled once, by chunk; only ids meet the files.
+    """
+    rows = single_rows(chunks)
+    paths = files.groupBy(F.col("id").alias("_file")).agg(F.max("source_path").alias("source_path"))
+    named = chunks.select(F.col("id").alias("chunk_id"), F.col("file_id").alias("_file")).join(paths, "_file").dropDuplicates(["_file", "chunk_id"])
+    same = F.array_contains(F.array("_file"), F.col("file_id"))  # an equality would become a key of the join and shuffle contents again
+    return rows.join(named, "chunk_id").filter(same).select("file_id", "chunk_id", "chunk_index", "content", "headings", "start_line", "end_line", "source_path")
+
+
+def single_rows(chunks: DataFrame) -> DataFrame:
+    """chunk_id, file_id, chunk_index, content, headings, start_line, end_line: each chunk once; of rows that differ under one id always the same.
+
+    A heading_path column becomes headings, joined by spaces; without one they are empty.
     """
     headings = F.coalesce(F.array_join("heading_path", " "), F.lit("")) if "heading_path" in chunks.columns else F.lit("")
-    rows = chunks.select(F.col("id").alias("chunk_id"), "file_id", "chunk_index", "content", headings.alias("headings"), "start_line", "end_line").filter("chunk_id is not null").dropDuplicates(["chunk_id"])
-    paths = files.groupBy(F.col("id").alias("file_id")).agg(F.max("source_path").alias("source_path"))
-    return rows.join(paths, "file_id")
+    row = F.struct("file_id", "chunk_index", "content", headings.alias("headings"), "start_line", "end_line")
+    return chunks.filter("id is not null").groupBy(F.col("id").alias("chunk_id")).agg(F.min(row).alias("r")).select("chunk_id", "r.*")
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -55,11 +66,15 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return per_chunk.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def query_phrases(queries: DataFrame) -> DataFrame:
-    """query_id, part, phrase (array of terms), parts: the searchable parts of each query; queries with more than 64 parts or none have no row. Repeated query rows count once."""
+def searchable(queries: DataFrame) -> DataFrame:
+    """query_id, phrases (arrays of terms): the searchable parts of each query; queries with more than 64 parts or none have no row. Repeated query rows count once."""
     fine = queries.filter(F.col("query_id").isNotNull() & F.col("text").isNotNull() & (text.part_count(F.col("text")) <= text.MAX_PARTS)).select("query_id", "text").dropDuplicates(["query_id"])
-    split = fine.select("query_id", F.filter(text.phrases(F.col("text")), lambda p: F.size(p) > 0).alias("p"))
-    return split.select("query_id", F.size("p").alias("parts"), F.posexplode("p").alias("part", "phrase"))
+    return fine.select("query_id", F.filter(text.phrases(F.col("text")), lambda p: F.size(p) > 0).alias("phrases")).filter(F.size("phrases") > 0)
+
+
+def query_phrases(queries: DataFrame) -> DataFrame:
+    """query_id, part, phrase (array of terms), parts: the parts of each searchable query."""
+    return searchable(queries).select("query_id", F.size("phrases").alias("parts"), F.posexplode("phrases").alias("part", "phrase"))
 
 
 def totals(lengths: DataFrame) -> tuple[int, int]:

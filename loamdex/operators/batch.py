@@ -5,7 +5,7 @@ No token is shuffled and no posting is written: each row is matched with the phr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ from loamdex.operators import lexical
 from loamdex.session import materialise, ship
 
 #: Distinct queries that meet the rows in one pass; what is shipped with its tasks grows with this number alone.
-BLOCK = 65_536
+BLOCK = 131_072
 #: Matches that a worker holds at once.
 MATCHES = 2_000_000
 
@@ -44,7 +44,7 @@ class Phrases:
     number: int
 
     @staticmethod
-    def of(asked: list[list[list[str]]]) -> tuple[Phrases, list[list[int]]]:
+    def of(asked: Iterable[list[list[str]]]) -> tuple[Phrases, list[list[int]]]:
         """The phrases, and the numbers of each query's."""
         terms: dict[str, int] = {}
         known: dict[tuple[int, ...], int] = {}
@@ -194,7 +194,7 @@ def _hits(found: DataFrame, asked: _Asked, kind: T.DataType, limit: int, digits:
 def _block(spark: SparkSession, rows: DataFrame, asked: DataFrame, limit: int, digits: int) -> tuple[DataFrame, DataFrame]:
     """(hits, matches) of some distinct queries (ask, phrases)."""
     got = asked.toArrow()
-    phrases, lists = Phrases.of(got.column("phrases").to_pylist())
+    phrases, lists = Phrases.of(ps for b in got.select(["phrases"]).to_batches(4096) for ps in b.column(0).to_pylist())
     found = materialise(_matches(rows, phrases), "matches")
     n_rows, tokens = lexical.totals(found)
     counted = found.select(F.explode("phrases").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -204,7 +204,8 @@ def _block(spark: SparkSession, rows: DataFrame, asked: DataFrame, limit: int, d
     offsets = np.cumsum([0, *map(len, lists)])
     weight = np.array([scoring.idf_value(n_rows, n) for n in having.tolist()])
     plan = _Asked(got.column("ask").combine_chunks(), offsets, np.array(numbers, np.int64), weight, tokens / max(n_rows, 1))
-    return _hits(found, plan, asked.schema["ask"].dataType, limit, digits), found
+    tasks = max(spark.sparkContext.defaultParallelism, int(having.sum()) // MATCHES)  # each lets a query's first hits leave: no more than it takes
+    return _hits(found.coalesce(tasks), plan, asked.schema["ask"].dataType, limit, digits), found
 
 
 def search(rows: DataFrame, asked: DataFrame, limit: int, digits: int = 12) -> DataFrame:

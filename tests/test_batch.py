@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -38,6 +39,16 @@ def test_bm25_batch_topk_shuffles_no_hit_that_is_cut(spark, tmp_path):
     assert shuffled(spark) - before < 600_000
 
 
+def test_hits_json_shuffles_no_hit_that_is_cut(spark, tmp_path):
+    folder = frequent(spark, tmp_path)
+    before = shuffled(spark)
+    rows = retrieval.QUERIES["hits_json"](spark, folder).collect()
+    assert shuffled(spark) - before < 1_000_000
+    got = {r.query_id: json.loads(r.json)["hits"] for r in rows}
+    assert len(rows) == len(got) == 1560 and all([h["rank"] for h in hits] == [1, 2, 3] for hits in got.values())
+    assert all(got[i] == got[i + 780] for i in range(780))
+
+
 @pytest.mark.parametrize("block, held", [(65_536, 2_000_000), (7, 40)])
 def test_batch_search_equals_the_search_of_an_index(spark, monkeypatch, block, held):
     monkeypatch.setattr(batch, "BLOCK", block)

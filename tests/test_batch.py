@@ -49,6 +49,14 @@ def test_hits_json_shuffles_no_hit_that_is_cut(spark, tmp_path):
     assert all(got[i] == got[i + 780] for i in range(780))
 
 
+def test_snippet_and_matches_shuffles_no_hit_that_is_cut(spark, tmp_path):
+    folder = frequent(spark, tmp_path)
+    before = shuffled(spark)
+    rows = retrieval.QUERIES["snippet_and_matches"](spark, folder).collect()
+    assert shuffled(spark) - before < 1_000_000
+    assert len({(r.query_id, r["rank"]) for r in rows}) == len(rows) == 1560 * 3 and all(len(r.matches) == 2 for r in rows)
+
+
 @pytest.mark.parametrize("block, held", [(65_536, 2_000_000), (7, 40)])
 def test_batch_search_equals_the_search_of_an_index(spark, monkeypatch, block, held):
     monkeypatch.setattr(batch, "BLOCK", block)

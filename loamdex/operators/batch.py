@@ -1,6 +1,6 @@
 """Ranked phrase search of a whole table of queries over rows of which no index is kept.
 
-No token is shuffled and no posting is written: each row is matched with the phrases where it is split, and leaves as the numbers of the phrases it holds. Queries with the same phrases are asked once.
+No token or text is shuffled and no posting is written: each row is matched with the phrases where it is split, and leaves as the numbers of the phrases it holds. Queries with the same phrases are asked once.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamdex.functions import scoring, text
 from loamdex.operators import lexical
-from loamdex.session import materialise, ship
+from loamdex.session import fresh_dir, materialise, materialised, remove, ship
 
 #: Distinct queries that meet the rows in one pass; what is shipped with its tasks grows with this number alone.
 BLOCK = 131_072
@@ -87,11 +88,20 @@ class Phrases:
         return np.concatenate(at), np.concatenate(what)
 
 
-def _matches(rows: DataFrame, phrases: Phrases) -> DataFrame:
-    """chunk_id, source_path, chunk_index, n_tokens, phrases, counts: which phrases each row holds and how often, all columns together."""
+def _matches(rows: DataFrame, phrases: Phrases, paths: DataFrame | None) -> DataFrame:
+    """chunk_id, source_path, chunk_index, n_tokens, phrases, counts: which phrases each row holds and how often, all columns together. ``paths``: see ``search``; what a row holds meets its path as numbers."""
     shared = rows.sparkSession.sparkContext.broadcast(phrases)
     keep = ["chunk_id", "source_path", "chunk_index"]
-    split = rows.select(*keep, *[text.tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(lexical.COLUMNS)])
+    if paths is None:
+        return _matched(rows, shared, keep, lexical.COLUMNS)
+    own = _matched(rows, shared, ["chunk_id", "file_id", "chunk_index"], [c for c in lexical.COLUMNS if c != "source_path"])
+    return _matched(own.join(paths, "file_id"), shared, keep, ["source_path"])
+
+
+def _matched(rows: DataFrame, shared: Broadcast, keep: list[str], columns: list[str]) -> DataFrame:
+    """The columns ``keep``, n_tokens, phrases, counts: the phrases that stand in some columns, added to what the rows have found already."""
+    before = [c for c in ("n_tokens", "phrases", "counts") if c in rows.columns]
+    split = rows.select(*keep, *before, *[text.tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
     numbers = T.ArrayType(T.IntegerType())
     schema = T.StructType([*(split.schema[k] for k in keep), T.StructField("n_tokens", T.LongType()), T.StructField("phrases", numbers), T.StructField("counts", numbers)])
 
@@ -100,14 +110,21 @@ def _matches(rows: DataFrame, phrases: Phrases) -> DataFrame:
         terms = pa.array(p.terms, pa.string())
         for b in batches:
             n = b.num_rows
-            lists = [b.column(f"_{i}") for i in range(len(lexical.COLUMNS))]
+            lists = [b.column(f"_{i}") for i in range(len(columns))]
             sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
             place = np.repeat(np.arange(n * len(lists)), np.concatenate(sizes))
             ids = np.concatenate([pc.fill_null(pc.index_in(x.flatten().cast(pa.string()), value_set=terms), -1).to_numpy(zero_copy_only=False) for x in lists])
             at, what = p.found(ids, place)
             keys, counts = np.unique((place[at] % n) * max(p.number, 1) + what, return_counts=True)
+            tokens = sum(sizes)
+            if before:
+                tokens = tokens + b.column("n_tokens").to_numpy()
+                row = np.repeat(np.arange(n), pc.list_value_length(b.column("phrases")).to_numpy(zero_copy_only=False))
+                had, often = (b.column(c).flatten().to_numpy() for c in ("phrases", "counts"))
+                keys, which = np.unique(np.concatenate([keys, row * max(p.number, 1) + had]), return_inverse=True)
+                counts = np.bincount(which, np.concatenate([counts, often]), len(keys))
             offsets = pa.array(np.searchsorted(keys, np.arange(n + 1) * max(p.number, 1)), pa.int32())
-            out = [*(b.column(k) for k in keep), pa.array(sum(sizes)), *(pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (keys % max(p.number, 1), counts))]
+            out = [*(b.column(k) for k in keep), pa.array(tokens), *(pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (keys % max(p.number, 1), counts))]
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return split.mapInArrow(run, schema)
@@ -191,11 +208,12 @@ def _hits(found: DataFrame, asked: _Asked, kind: T.DataType, limit: int, digits:
     return ordered.select("chunk_id", "n_tokens", "phrases", "counts").mapInArrow(run, schema)
 
 
-def _block(spark: SparkSession, rows: DataFrame, asked: DataFrame, limit: int, digits: int) -> tuple[DataFrame, DataFrame]:
-    """(hits, matches) of some distinct queries (ask, phrases)."""
+def _block(spark: SparkSession, rows: DataFrame, asked: DataFrame, limit: int, digits: int, paths: DataFrame | None) -> DataFrame:
+    """The hits of some distinct queries (ask, phrases); see ``search``. They are written once; the matches go again."""
     got = asked.toArrow()
     phrases, lists = Phrases.of(ps for b in got.select(["phrases"]).to_batches(4096) for ps in b.column(0).to_pylist())
-    found = materialise(_matches(rows, phrases), "matches")
+    matches = fresh_dir(spark, "matches")
+    found = materialised(_matches(rows, phrases, paths), matches)
     n_rows, tokens = lexical.totals(found)
     counted = found.select(F.explode("phrases").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).toArrow()
     having = np.zeros(phrases.number, np.int64)
@@ -205,21 +223,26 @@ def _block(spark: SparkSession, rows: DataFrame, asked: DataFrame, limit: int, d
     weight = np.array([scoring.idf_value(n_rows, n) for n in having.tolist()])
     plan = _Asked(got.column("ask").combine_chunks(), offsets, np.array(numbers, np.int64), weight, tokens / max(n_rows, 1))
     tasks = max(spark.sparkContext.defaultParallelism, int(having.sum()) // MATCHES)  # each lets a query's first hits leave: no more than it takes
-    return _hits(found.coalesce(tasks), plan, asked.schema["ask"].dataType, limit, digits), found
+    hits = _hits(found.coalesce(tasks), plan, asked.schema["ask"].dataType, limit, digits)
+    ranked = materialise(lexical.top_hits(hits.withColumnRenamed("ask", "query_id"), found, limit, digits=digits).withColumnRenamed("query_id", "ask"), "hits")
+    remove(spark, matches)
+    return ranked
 
 
-def search(rows: DataFrame, asked: DataFrame, limit: int, digits: int = 12) -> DataFrame:
+def search(rows: DataFrame, asked: DataFrame, limit: int, digits: int = 12, paths: DataFrame | None = None) -> DataFrame:
     """ask, rank, chunk_id, score, source_path, chunk_index: the first ``limit`` rows of each distinct query of ``asked`` (see ``distinct_queries``), exactly; ties (scores equal to ``digits`` digits) by path, chunk_index, chunk_id.
 
+    With ``paths`` (file_id, source_path; a file once) the rows have file_id in place of source_path, and rows of other files drop out: their texts are never shuffled.
+
     Every task ranks its share of the rows and lets only each query's first ``limit`` leave. More than BLOCK distinct queries take further passes over the rows.
     """
     spark = rows.sparkSession
     ship(spark)
     each = asked.filter("query_id = ask").select("ask", "phrases")
     blocks = max(1, -(-each.count() // BLOCK))
-    hits, found = None, None
+    hits = None
     for k in range(blocks):
         some = each.filter(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == k) if blocks > 1 else each
-        more, found = _block(spark, rows, some, limit, digits)
+        more = _block(spark, rows, some, limit, digits, paths)
         hits = more if hits is None else hits.unionByName(more)
-    return lexical.top_hits(hits.withColumnRenamed("ask", "query_id"), found, limit, digits=digits).withColumnRenamed("query_id", "ask")
+    return hits

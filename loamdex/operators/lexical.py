@@ -12,6 +12,8 @@ from loamdex.functions import scoring, text
 from loamdex.session import materialise
 
 COLUMNS = ["content", "headings", "source_path"]
+#: Bits of what ``sifted`` ships: 2 MB, whatever the table.
+SIEVE = 1 << 24
 
 
 def index_rows(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -20,20 +22,46 @@ def index_rows(chunks: DataFrame, files: DataFrame) -> DataFrame:
     Chunks of unknown files drop out. Contents are shuffled once, by chunk; only ids meet the files.
     """
     rows = single_rows(chunks)
-    paths = files.groupBy(F.col("id").alias("_file")).agg(F.max("source_path").alias("source_path"))
+    paths = file_paths(files).withColumnRenamed("file_id", "_file")
     named = chunks.select(F.col("id").alias("chunk_id"), F.col("file_id").alias("_file")).join(paths, "_file").dropDuplicates(["_file", "chunk_id"])
     same = F.array_contains(F.array("_file"), F.col("file_id"))  # an equality would become a key of the join and shuffle contents again
     return rows.join(named, "chunk_id").filter(same).select("file_id", "chunk_id", "chunk_index", "content", "headings", "start_line", "end_line", "source_path")
 
 
+def file_paths(files: DataFrame) -> DataFrame:
+    """file_id, source_path: each file once."""
+    return files.groupBy(F.col("id").alias("file_id")).agg(F.max("source_path").alias("source_path"))
+
+
+def _fields(chunks: DataFrame) -> list[Column]:
+    headings = F.coalesce(F.array_join("heading_path", " "), F.lit("")) if "heading_path" in chunks.columns else F.lit("")
+    return [*map(F.col, ("file_id", "chunk_index", "content")), headings.alias("headings"), *map(F.col, ("start_line", "end_line"))]
+
+
 def single_rows(chunks: DataFrame) -> DataFrame:
     """chunk_id, file_id, chunk_index, content, headings, start_line, end_line: each chunk once; of rows that differ under one id always the same.
 
     A heading_path column becomes headings, joined by spaces; without one they are empty.
     """
-    headings = F.coalesce(F.array_join("heading_path", " "), F.lit("")) if "heading_path" in chunks.columns else F.lit("")
-    row = F.struct("file_id", "chunk_index", "content", headings.alias("headings"), "start_line", "end_line")
-    return chunks.filter("id is not null").groupBy(F.col("id").alias("chunk_id")).agg(F.min(row).alias("r")).select("chunk_id", "r.*")
+    return chunks.filter("id is not null").groupBy(F.col("id").alias("chunk_id")).agg(F.min(F.struct(*_fields(chunks))).alias("r")).select("chunk_id", "r.*")
+
+
+def single_rows_in_place(chunks: DataFrame) -> DataFrame:
+    """The same as ``single_rows``, but only rows whose id may stand in several rows are shuffled with their contents; of the others not even the ids are, behind a count of each id."""
+    known = chunks.filter("id is not null")
+    several = known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = sifted(known, "id", several)
+    alone = dealt.filter("not _may").select(F.col("id").alias("chunk_id"), *_fields(chunks))
+    return alone.unionByName(single_rows(dealt.filter("_may").drop("_may")))
+
+
+def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``_may``: false only where no row of ``wanted`` has the row's ``key``. No row is shuffled: SIEVE bits are shipped, one for each hash of a wanted key."""
+    bit = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    each = wanted.select(bit.alias("_bit")).selectExpr("shiftright(_bit, 6) as _word", "shiftleft(1L, cast(_bit & 63 as int)) as _bits")
+    words = F.broadcast(each.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")))
+    met = rows.withColumn("_bit", bit).join(words, F.expr("shiftright(_bit, 6) = _word"), "left")
+    return met.withColumn("_may", F.expr("coalesce(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1L = 1L, false)")).drop("_bit", "_word", "_bits")
 
 
 def postings(rows: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import glob
 import json
 import random
 
@@ -5,6 +6,7 @@ import pytest
 
 from loamdex.operators import batch, lexical
 from loamdex.plans import retrieval
+from loamdex.session import shared_dir
 
 CHUNKS = "id long, file_id long, chunk_index int, content string, start_line int, end_line int"
 
@@ -57,6 +59,46 @@ def test_snippet_and_matches_shuffles_no_hit_that_is_cut(spark, tmp_path):
     assert len({(r.query_id, r["rank"]) for r in rows}) == len(rows) == 1560 * 3 and all(len(r.matches) == 2 for r in rows)
 
 
+def test_snippet_and_matches_shuffles_only_texts_that_are_shown(spark, tmp_path):
+    rnd = random.Random(7)
+    chunks = [(i, 1 + i % 2, i, f"w{i % 500} " + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=4000)), i, i) for i in range(2000)]
+    folder = stored(spark, tmp_path, [*chunks, *chunks[:20]], [(i, f"w{i}") for i in range(20)])
+    before = shuffled(spark)
+    rows = retrieval.QUERIES["snippet_and_matches"](spark, folder).collect()
+    assert shuffled(spark) - before < 1_500_000  # the texts: 8 MB; those shown: 0.25 MB
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in rows) == [(q, k + 1, c) for q in range(20) for k, c in enumerate(sorted(range(q, 2000, 500), key=lambda c: (c % 2, c))[:3])]
+
+
+def test_no_matches_stay_behind_a_search(spark, tmp_path):
+    folder = stored(spark, tmp_path, [(i, 1, i, "some words", 1, 1) for i in range(9)], [(1, "words"), (2, "some words")])
+    left = set(glob.glob(f"{shared_dir(spark)}/*/matches-*"))
+    assert retrieval.QUERIES["snippet_and_matches"](spark, folder).count() == 6
+    assert set(glob.glob(f"{shared_dir(spark)}/*/matches-*")) == left
+
+
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_search_by_files_equals_the_search_of_rows(spark, monkeypatch, bits):
+    monkeypatch.setattr(lexical, "SIEVE", bits)
+    rnd = random.Random(9)
+    words = ["alpha", "beta", "gamma_1", "x", "one"]
+    each = [(rnd.choice([None, *range(150)]), rnd.choice([None, 1, 2, 3, 9]), rnd.randrange(3), rnd.choice([None, " ".join(rnd.choices(words, k=rnd.randrange(1, 9)))]), rnd.choice([None, [rnd.choice(words)]]), 1, rnd.randrange(9)) for _ in range(400)]
+    chunks = spark.createDataFrame(each, "id long, file_id long, chunk_index int, content string, heading_path array<string>, start_line int, end_line int")
+    files = spark.createDataFrame([(1, "a/one.md"), (1, "a/alpha.md"), (2, "gamma/x_1.md"), (3, None), (None, "beta.md")], "id long, source_path string")
+    alone = lexical.single_rows_in_place(chunks)
+    assert sorted(alone.collect(), key=str) == sorted(lexical.single_rows(chunks).collect(), key=str)
+    asked = batch.distinct_queries(spark.createDataFrame([*enumerate(["alpha", "gamma-1 x", "one", "md alpha", "a_one", "gamma_x"])], "query_id long, text string"))
+    got = batch.search(alone, asked, 40, paths=lexical.file_paths(files)).collect()
+    assert sorted(got, key=str) == sorted(batch.search(lexical.index_rows(chunks, files), asked, 40).collect(), key=str) and len(got) > 60
+
+
+def test_sifted_rows_lose_no_key(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SIEVE", 1 << 12)
+    rows = lexical.sifted(spark.range(-1000, 3000), "id", spark.range(-5, 200, 3).union(spark.range(5))).collect()
+    may = {r.id for r in rows if r._may}
+    assert len(rows) == 4000 and may >= {*range(-5, 200, 3), *range(5)} and len(may) < 250
+    assert not any(r._may for r in lexical.sifted(spark.range(50), "id", spark.range(0)).collect())
+
+
 @pytest.mark.parametrize("block, held", [(65_536, 2_000_000), (7, 40)])
 def test_batch_search_equals_the_search_of_an_index(spark, monkeypatch, block, held):
     monkeypatch.setattr(batch, "BLOCK", block)

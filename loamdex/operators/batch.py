@@ -167,6 +167,8 @@ def _ranked(held: list[pa.RecordBatch], asked: _Asked, best: np.ndarray, digits:
         a, *others = asked.phrases[asked.offsets[i] : asked.offsets[i + 1]].tolist()
         r, s = row[start[a] : start[a + 1]], share[start[a] : start[a + 1]]
         for k in others:
+            if not len(r):
+                break
             there = row[start[k] : start[k + 1]]
             at = np.minimum(np.searchsorted(there, r), len(there) - 1)
             meets = there[at] == r
